@@ -1,8 +1,8 @@
 """Clause and document classification by generated rule expressions.
 
-Rule sets are small and known when the plan is built, so every keyword and
-pattern becomes a literal expression: patterns compile once per task, nothing is
-joined or shuffled, and a cheap substring test runs before each regex.
+Rule sets are small and known when the plan is built, so they enter the plan as
+literals: nothing is joined or shuffled, category patterns compile once per task,
+and a cheap substring test runs before each keyword pattern.
 """
 
 from __future__ import annotations
@@ -18,19 +18,18 @@ MIN_CONFIDENCE = 0.3
 STRUCTURED = "Structured Field"
 
 
-def keyword_hit(low: Column, keyword: str) -> Column:
-    return low.contains(keyword) & low.rlike(P.jvm(P.word(keyword)))
+def keyword_literals(keywords: tuple[str, ...]) -> Column:
+    """array<struct<k, p>> of keywords and their whole-word patterns (folds to one literal)."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(P.jvm(P.word(k))).alias("p")) for k in keywords])
 
 
-def keyword_hits(low: Column, keywords: tuple[str, ...]) -> Column:
-    total = F.lit(0)
-    for k in keywords:
-        total = total + keyword_hit(low, k).cast("int")
-    return total
+def matched_keywords(low: Column, keywords: Column) -> Column:
+    """Keywords present as whole words. The substring test runs first, so few patterns are ever compiled.
 
-
-def matched_keywords(low: Column, keywords: tuple[str, ...]) -> Column:
-    return F.filter(F.array(*[F.when(keyword_hit(low, k), F.lit(k)) for k in keywords]), lambda k: k.isNotNull())
+    A loop over a literal array keeps the generated code small; one expression per
+    keyword would exceed what the JIT compiles.
+    """
+    return F.transform(F.filter(keywords, lambda w: low.contains(w["k"]) & F.rlike(low, w["p"])), lambda w: w["k"])
 
 
 def first_line(text: Column) -> Column:
@@ -38,30 +37,55 @@ def first_line(text: Column) -> Column:
     return F.regexp_extract(text, r"(?U)^\s*(\S(?:[^\n\r]*\S)?)", 1)
 
 
-def category_points(low: Column, head_low: Column, rule: rules.ClauseRule) -> Column:
-    """Score in whole hundredths: 25 for the regex, 10 per keyword up to 5, 15 for a heading mention."""
-    return (25 * low.rlike(P.jvm(rule.regex)).cast("int")
-            + 10 * F.least(keyword_hits(low, rule.keywords), F.lit(5))
-            + 15 * head_low.contains(rule.category.lower()).cast("int"))
+def once(df: DataFrame, *structs: Column) -> DataFrame:
+    """Add the fields of costly struct expressions so that each is evaluated exactly once per row.
+
+    A generator's output cannot be folded back into later filters and
+    projections, which would otherwise repeat the whole rule set.
+    """
+    for struct in structs:
+        df = df.select("*", F.inline(F.array(struct)))
+    return df
+
 
+def with_categories(df: DataFrame, text: Column, clause_rules: list[rules.ClauseRule] | None = None) -> DataFrame:
+    """_cats: array<struct<points, ordinal, category, keywords, snippet>> in rule order, General last.
 
-def scored_categories(text: Column, clause_rules: list[rules.ClauseRule] | None = None) -> Column:
-    """array<struct<points int, ordinal int, category string>> in rule order."""
+    Points are whole hundredths: 25 for the regex, 10 per keyword up to 5, 15 for a heading mention.
+    """
     clause_rules = clause_rules or rules.CLAUSE_RULES
-    low, head = F.lower(text), F.lower(first_line(text))
-    return F.array(*[F.struct(category_points(low, head, r).alias("points"), F.lit(-i).alias("ordinal"),
-                              F.lit(r.category).alias("category"))
-                     for i, r in enumerate(clause_rules)])
+    df = once(df, F.struct(F.lower(text).alias("_low"), F.lower(first_line(text)).alias("_head")))
+    step = 25
+    parts = []
+    for start in range(0, len(clause_rules), step):
+        some = clause_rules[start:start + step]
+        df = once(df, F.struct(F.array(*[F.regexp_extract("_low", P.jvm(r.regex), 0) for r in some]).alias(f"_rx{start}")))
+        parts.append(f"_rx{start}")
+    names = F.array(*[F.struct(F.lit(r.category).alias("name"), F.lit(r.category.lower()).alias("low"),
+                               F.lit(-i - 1).alias("no"), keyword_literals(r.keywords).alias("ks"))
+                      for i, r in enumerate(clause_rules)])
+    df = once(df, F.struct(F.concat(*parts).alias("_rx")))
+    found = F.zip_with(names, F.col("_rx"), lambda r, m: F.struct(
+        r["name"].alias("category"), r["no"].alias("ordinal"), m.alias("snippet"),
+        matched_keywords(F.col("_low"), r["ks"]).alias("keywords"),
+        F.col("_head").contains(r["low"]).alias("headed")))
+    df = once(df, F.struct(found.alias("_found"))).drop("_rx", *parts)
+    points = F.transform("_found", lambda r: F.struct(
+        (25 * (r["snippet"] != "").cast("int") + 10 * F.least(F.size(r["keywords"]), F.lit(5))
+         + 15 * r["headed"].cast("int")).alias("points"), r["ordinal"].alias("ordinal"),
+        r["category"].alias("category"), r["keywords"].alias("keywords"), r["snippet"].alias("snippet")))
+    return once(df, F.struct(points.alias("_cats"))).drop("_found", "_low", "_head")
 
 
 def with_clause_type(df: DataFrame, text: Column, clause_rules: list[rules.ClauseRule] | None = None,
                      prefix: str = "clause") -> DataFrame:
     """<prefix>_type and <prefix>_points; the earliest rule wins a tie, General when nothing scores."""
-    best = F.array_max(scored_categories(text, clause_rules))
-    df = df.withColumn("_best", best)
+    df = with_categories(df, text, clause_rules)
+    best = F.array_max(F.transform("_cats", lambda c: F.struct(c["points"], c["ordinal"], c["category"])))
+    df = once(df, F.struct(best.alias("_best"))).drop("_cats")
     hit = F.col("_best.points") > 0
-    return (df.withColumn(f"{prefix}_type", F.when(hit, F.col("_best.category")).otherwise("General"))
-            .withColumn(f"{prefix}_points", F.when(hit, F.col("_best.points")).otherwise(0)).drop("_best"))
+    return once(df, F.struct(F.when(hit, F.col("_best.category")).otherwise("General").alias(f"{prefix}_type"),
+                             F.col("_best.points").alias(f"{prefix}_points"))).drop("_best")
 
 
 def looks_structured(text: Column) -> Column:
@@ -74,27 +98,22 @@ def accept_clauses(df: DataFrame, text: str = "text_content", rescue_fields: boo
     """classification, confidence and reason for each block; rejected blocks keep a reason."""
     general = F.col("clause_type") == "General"
     failed = general | (F.col("clause_points") < 30)
-    field = looks_structured(F.col(text)) if rescue_fields else F.lit(False)
+    df = once(df, F.struct((looks_structured(F.col(text)) if rescue_fields else F.lit(False)).alias("_field")))
+    field = F.col("_field")
     return (df.withColumn("outcome", F.when(~failed, "accepted").when(field, "recovered").otherwise("rejected"))
             .withColumn("reason", F.when(failed & general, "classified_general")
                         .when(failed, "below_min_confidence"))
             .withColumn("classification", F.when(~failed, F.col("clause_type")).when(field, STRUCTURED))
             .withColumn("confidence_score", F.when(~failed, F.col("clause_points") / 100.0)
-                        .when(field, MIN_CONFIDENCE)))
+                        .when(field, MIN_CONFIDENCE)).drop("_field"))
 
 
 def multilabel(df: DataFrame, text: Column, keep: list[str], min_points: int = 30,
                clause_rules: list[rules.ClauseRule] | None = None) -> DataFrame:
     """Every category at or above the bar, best first, with its evidence."""
-    clause_rules = clause_rules or rules.CLAUSE_RULES
-    low, head = F.lower(text), F.lower(first_line(text))
-    parts = [F.struct(category_points(low, head, r).alias("points"), F.lit(i).alias("ordinal"),
-                      F.lit(r.category).alias("category"),
-                      matched_keywords(low, r.keywords).alias("keywords"),
-                      F.regexp_extract(low, P.jvm(r.regex), 0).alias("snippet"))
-             for i, r in enumerate(clause_rules)]
-    hits = F.filter(F.array(*parts), lambda s: s["points"] >= min_points)
-    return df.select(*keep, F.inline(hits))
+    df = with_categories(df, text, clause_rules)
+    hits = F.filter("_cats", lambda c: c["points"] >= min_points)
+    return df.select(*keep, F.inline(hits)).withColumn("ordinal", -F.col("ordinal") - 1)
 
 
 def explain(keywords: Column, snippet: Column, category: Column) -> Column:
@@ -111,12 +130,13 @@ def explain(keywords: Column, snippet: Column, category: Column) -> Column:
 def clause_title(category: Column, text: Column) -> Column:
     """Subtopic title, else the type's own title, else the first significant words."""
     low = F.lower(text)
-    title = F.lit(None).cast("string")
-    for kind, topics in rules.TITLE_SUBTOPICS.items():
-        for phrases, name in topics:
-            title = F.coalesce(title, F.when((category == kind) & X.any_contains(low, list(phrases)), name))
-    for kind, name in rules.FALLBACK_TITLES.items():
-        title = F.coalesce(title, F.when(category == kind, name))
+    named = []
+    for kind in {**rules.TITLE_SUBTOPICS, **rules.FALLBACK_TITLES}:
+        title = F.lit(rules.FALLBACK_TITLES.get(kind)).cast("string")
+        for phrases, name in reversed(rules.TITLE_SUBTOPICS.get(kind, [])):
+            title = F.when(X.any_contains(low, list(phrases)), name).otherwise(title)
+        named += [F.lit(kind), title]
+    title = F.create_map(*named)[category]
     sentence = F.get(F.split(X.strip(text), r"(?U)(?<=[.;])\s+", 2), F.lit(0))
     words = F.regexp_extract_all(sentence, F.lit(r"[A-Za-z']+"), F.lit(0))
     strong = F.filter(words, lambda w: ~F.lower(w).isin(rules.TITLE_STOPWORDS))
@@ -137,14 +157,19 @@ def document_type(df: DataFrame, text: Column, type_patterns: dict[str, list[str
     """document_type, runner_up and type_confidence = margin x evidence of the pattern counts."""
     type_patterns = type_patterns or rules_documents.TYPE_PATTERNS
     low = X.strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
-    scored = []
-    for i, (kind, pats) in enumerate(type_patterns.items()):
-        total = F.lit(0)
-        for p in pats:
-            total = total + F.regexp_count(F.col("_low"), F.lit(P.jvm(p, True)))
-        scored.append(F.struct((-total).alias("minus"), F.lit(i).alias("ordinal"), F.lit(kind).alias("kind")))
-    ranked = F.slice(F.array_sort(F.array(*scored)), 1, 2)
-    df = df.withColumn("_low", low).withColumn("_top", ranked).drop("_low")
+    df = once(df, F.struct(low.alias("_low")))
+    kinds = list(type_patterns.items())
+    parts = []
+    for start in range(0, len(kinds), 5):
+        counts = []
+        for i, (kind, pats) in list(enumerate(kinds))[start:start + 5]:
+            total = F.lit(0)
+            for p in pats:
+                total = total + F.regexp_count("_low", F.lit(P.jvm(p, True)))
+            counts.append(F.struct((-total).alias("minus"), F.lit(i).alias("ordinal"), F.lit(kind).alias("kind")))
+        df = once(df, F.struct(F.array(*counts).alias(f"_t{start}")))
+        parts.append(f"_t{start}")
+    df = once(df, F.struct(F.slice(F.array_sort(F.concat(*parts)), 1, 2).alias("_top"))).drop("_low", *parts)
     best, second = -F.col("_top")[0]["minus"], -F.col("_top")[1]["minus"]
     known = best >= 1
     margin = (best - second) / (best + second)
@@ -160,11 +185,12 @@ def language(df: DataFrame, text: Column, profiles: dict[str, list[str]] | None
     profiles = profiles or rules.LANGUAGE_PROFILES
     head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 2000))
     tokens = F.filter(F.split(head, "[^a-z]+"), lambda t: t != "")
-    scored = [F.struct(F.size(F.filter(F.col("_tokens"), lambda t, ws=words: t.isin(ws))).alias("hits"),
-                       F.lit(-i).alias("ordinal"), F.lit(code).alias("code"))
+    def hits(words):
+        return F.size(F.filter("_tokens", lambda t: t.isin(words)))
+    scored = [F.struct(hits(words).alias("hits"), F.lit(-i).alias("ordinal"), F.lit(code).alias("code"))
               for i, (code, words) in enumerate(profiles.items())]
-    df = df.withColumn("_tokens", tokens)
-    df = df.withColumn("_lang", F.array_max(F.array(*scored)))
+    df = once(df, F.struct(tokens.alias("_tokens")))
+    df = once(df, F.struct(F.array_max(F.array(*scored)).alias("_lang")))
     return (df.withColumn("language", F.when(F.col("_lang.hits") > 0, F.col("_lang.code")).otherwise("unknown"))
             .drop("_tokens", "_lang"))
 
@@ -219,10 +245,11 @@ def modifiers(text: Column, phrases: list[str]) -> Column:
 
 def query_intent(df: DataFrame, text: Column, clause_rules: list[rules.ClauseRule] | None = None) -> DataFrame:
     """Categories whose keywords occur in a question; an empty list means no filter."""
-    low = F.lower(text)
-    hits = F.filter(F.array(*[F.when(keyword_hits(low, r.keywords) > 0, F.lit(r.category))
-                              for r in (clause_rules or rules.CLAUSE_RULES)]), lambda c: c.isNotNull())
-    return df.withColumn("intent_types", hits)
+    df = once(df, F.struct(F.lower(text).alias("_low")))
+    table = F.array(*[F.struct(F.lit(r.category).alias("name"), keyword_literals(r.keywords).alias("ks"))
+                      for r in (clause_rules or rules.CLAUSE_RULES)])
+    hits = F.filter(table, lambda r: F.size(matched_keywords(F.col("_low"), r["ks"])) > 0)
+    return df.withColumn("intent_types", F.transform(hits, lambda r: r["name"])).drop("_low")
 
 
 def metric_key(text: Column) -> Column:

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_ROWS = 2_000_000
 
 
@@ -22,9 +24,24 @@ def hot_groups(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*by)
 
 
-def split_hot(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    hot = F.broadcast(hot_groups(df, by, hot_rows))
-    return df.join(hot, by, "left_anti"), df.join(hot, by, "left_semi")
+def split_hot(df: DataFrame, by: list[str], hot_rows: int = HOT_ROWS,
+              keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(ordinary rows, rows of hot groups or None).
+
+    One cheap job counts the key column first, so the plan for hot groups is built
+    only when there are any. ``keys`` names a cheaper table with the same keys to
+    count. Hot rows are written to the checkpoint folder once, because the steps
+    that follow read them several times.
+    """
+    hot = hot_groups(df if keys is None else keys, by, hot_rows)
+    if hot.isEmpty():
+        return df, None
+    hot = F.broadcast(cut_lineage(hot))
+    return df.join(hot, by, "left_anti"), cut_lineage(df.join(hot, by, "left_semi"))
+
+
+def merged(normal: DataFrame, hot: DataFrame | None) -> DataFrame:
+    return normal if hot is None else normal.unionByName(hot)
 
 
 def window_totals(df: DataFrame, by: list[str], totals: dict[str, Column]) -> DataFrame:
@@ -34,6 +51,7 @@ def window_totals(df: DataFrame, by: list[str], totals: dict[str, Column]) -> Da
 
 def joined_totals(df: DataFrame, by: list[str], totals: dict[str, Column]) -> DataFrame:
     """Totals of hot groups: combined on the map side, broadcast back (one row per hot group)."""
+    df = cut_lineage(df)
     small = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in totals.items()])
     return df.join(F.broadcast(small), by)
 
@@ -58,6 +76,7 @@ def bucketed_ranks(df: DataFrame, by: list[str], columns: list[str], buckets: in
     longform = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_e"))
     counts = longform.select(*by, "_e._col", "_e._v").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(counts)
     span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
@@ -70,6 +89,7 @@ def bucketed_ranks(df: DataFrame, by: list[str], columns: list[str], buckets: in
     offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_bn").over(chain), F.lit(0)).alias("_before"))
     ranks = running.join(offsets, [*keys, "_b"]).select(
         *keys, "_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("_rank"))
+    ranks = cut_lineage(ranks)
     out = df
     for c in columns:
         one = ranks.filter(F.col("_col") == c).select(*by, F.col("_v").alias(f"_{c}_v"),
@@ -83,7 +103,7 @@ def bucketed_ranks(df: DataFrame, by: list[str], columns: list[str], buckets: in
 
 def group_ranks(df: DataFrame, by: list[str], columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     normal, hot = split_hot(df, by, hot_rows)
-    return window_ranks(normal, by, columns).unionByName(bucketed_ranks(hot, by, columns))
+    return merged(window_ranks(normal, by, columns), None if hot is None else bucketed_ranks(hot, by, columns))
 
 
 def percentile(rank: Column, n: Column) -> Column:
@@ -138,5 +158,5 @@ def numbered(df: DataFrame, by: list[str], order: str, name: str = "rn", hot_row
     """Gap-free number inside each group; hot groups are numbered in slices."""
     normal, hot = split_hot(df, by, hot_rows)
     w = Window.partitionBy(*by).orderBy(order)
-    return normal.withColumn(name, F.row_number().over(w).cast("bigint")).unionByName(
-        running_number(hot, by, order, name))
+    return merged(normal.withColumn(name, F.row_number().over(w).cast("bigint")),
+                  None if hot is None else running_number(hot, by, order, name))

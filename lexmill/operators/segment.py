@@ -269,7 +269,7 @@ def backfill_titles(clauses: DataFrame, doc: str = "doc_id", order: str = "claus
     stale = clauses.filter(F.coalesce(bare, F.lit(False)) & (F.trim("classification") != ""))
     base = F.coalesce(classify.own_heading(F.col("text_content")),
                       classify.clause_title(F.col("classification"), F.col("text_content")))
-    wanted = groups.numbered(stale.select(doc, order, base.alias("base")).withColumn("_key", F.lower("base")),
+    wanted = groups.numbered(classify.once(stale, F.struct(base.alias("base"))).select(doc, order, "base").withColumn("_key", F.lower("base")),
                              [doc, "_key"], order, "_k")
     split = F.regexp_extract(F.lower(F.trim("section_name")), r"^(.*?)(?: \((\d+)\))?$", 1)
     slot = F.regexp_extract(F.lower(F.trim("section_name")), r"^(.*?)(?: \((\d+)\))?$", 2)
@@ -359,8 +359,9 @@ def identify_clauses(documents: DataFrame, text: str = "full_text", doc: str = "
     rows = candidate_blocks(documents, text)
     rows = classify.with_clause_type(rows, F.col("block"), clause_rules)
     rows = classify.accept_clauses(rows, "block", rescue_fields).filter(F.col("classification").isNotNull())
-    rows = rows.withColumn("clause_title", F.coalesce(
-        classify.own_heading(F.col("block")), classify.clause_title(F.col("classification"), F.col("block"))))
+    rows = classify.once(rows, F.struct(F.coalesce(
+        classify.own_heading(F.col("block")),
+        classify.clause_title(F.col("classification"), F.col("block"))).alias("clause_title")))
     rows = offsets(rows, text, "block").drop(text)
     kept = fold_near_copies(rows.withColumnRenamed("block", "text_content"), doc)
     return unique_titles(kept, "clause_title", "slot_no", doc, hot_rows)

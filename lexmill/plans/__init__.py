@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["facts", "labels"]
+MODULES = ["facts", "labels", "scores"]
 
 
 def load_all():

@@ -55,11 +55,8 @@ def typed(spark, sf, both: bool = False):
     for r in rules.CLAUSE_RULES for k in r.keywords).replace("FROM l ", f"FROM (SELECT lower({T}) AS l FROM c) ")
     + ") GROUP BY 1, 2")
 def label_keywords(spark, sf):
-    low = F.lower(T)
-    hits = [F.struct(F.lit(r.category).alias("category"), K.matched_keywords(F.col("l"), r.keywords).alias("ks"))
-            for r in rules.CLAUSE_RULES]
-    rows = clauses(spark, sf).select(low.alias("l")).select(F.inline(F.array(*hits)))
-    return rows.select("category", F.explode("ks").alias("keyword")).groupBy("keyword", "category").agg(
+    rows = K.with_categories(clauses(spark, sf), F.col(T)).select(F.inline("_cats"))
+    return rows.select("category", F.explode("keywords").alias("keyword")).groupBy("keyword", "category").agg(
         F.count(F.lit(1)).alias("n_clauses"))
 
 
@@ -116,7 +113,7 @@ SELECT clause_id, CASE WHEN n > 1 THEN concat(title, ' (', n, ')') ELSE title EN
   SELECT doc_id, clause_id, {title_sql('clause_type', 'l', T)} AS title FROM (
    SELECT *, lower({T}) AS l FROM ({best_type_sql('c', T, 'doc_id, clause_id, ' + T)}))))""")
 def label_titles(spark, sf):
-    rows = typed(spark, sf).withColumn("title", K.clause_title(F.col("clause_type"), F.col(T)))
+    rows = K.once(typed(spark, sf), F.struct(K.clause_title(F.col("clause_type"), F.col(T)).alias("title")))
     from ..operators.segment import unique_titles
     return unique_titles(rows, "title", "clause_id").select("clause_id", F.col("title").alias("clause_title"))
 
