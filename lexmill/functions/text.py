@@ -71,12 +71,17 @@ def polarity(modal_lower: Column) -> Column:
     return F.when(modal_lower.endswith("not"), "prohibition").when(strong, "obligation").otherwise("right")
 
 
-def modal_mentions(text: Column) -> Column:
+def obligation_subjects(text: Column) -> Column:
+    return F.transform(obligations(text), lambda o: F.lower(o["subject"]))
+
+
+def modal_mentions(text: Column, subjects: Column | None = None) -> Column:
     """Subject, modal, polarity and action of each modal phrase, weak modals included.
 
     Confidence is 2/3 when the strong-modal extractor saw the same subject, else 1/2.
     """
-    subjects = F.transform(obligations(text), lambda o: F.lower(o["subject"]))
+    if subjects is None:
+        subjects = obligation_subjects(text)
 
     def mention(m):
         subject = strip(group_of(m, P.MODAL_MENTION, 1))
@@ -146,11 +151,11 @@ def penalties(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(matches(text, P.PENALTY, True), strip)))
 
 
-def deadlines(text: Column) -> Column:
-    by_date = F.transform(dates(text), lambda d: F.struct(
+def deadlines(found_dates: Column, found_durations: Column) -> Column:
+    by_date = F.transform(found_dates, lambda d: F.struct(
         F.lit("date").alias("kind"), d.alias("value"), F.lit(None).cast("double").alias("days")))
     unit_days = F.create_map(*[F.lit(x) for kv in rules.DAYS_PER_UNIT.items() for x in kv])
-    by_span = F.transform(durations(text), lambda d: F.struct(
+    by_span = F.transform(found_durations, lambda d: F.struct(
         F.lit("duration").alias("kind"), F.concat_ws(" ", d["n"].cast("string"), d["unit"]).alias("value"),
         (d["n"].cast("double") * unit_days[d["unit"]]).alias("days")))
     return F.concat(by_date, by_span)
@@ -166,9 +171,9 @@ def capped(text: Column) -> Column:
     return F.when(any_contains(low, rules.UNCAP_WORDS), False).when(any_contains(low, rules.CAP_WORDS), True)
 
 
-def financial_terms(text: Column) -> Column:
+def financial_terms(text: Column, mentions: Column) -> Column:
     """amount stays null when a mention carries no digit; is_capped is null when nothing is said."""
-    cap = capped(text)
+    cap = F.element_at(F.array(capped(text)), 1)
 
     def term(raw):
         s = strip(raw)
@@ -183,24 +188,19 @@ def financial_terms(text: Column) -> Column:
             safe_number(F.regexp_extract(s, r"[\d,]+(?:\.\d+)?", 0)) * scale)
         return F.struct(amount.alias("amount"), F.when(~percent, currency).alias("currency"),
                         percent.alias("is_percentage"), cap.alias("is_capped"))
-    return F.transform(money(text), term)
+    return F.transform(mentions, term)
 
 
 def legal_actions(text: Column) -> Column:
     """Action types named by a phrase or a lexicon word, with evidence-count confidence."""
     low = F.lower(text)
-    kinds = sorted({k for _, k in rules.ACTION_PHRASES} | {k for _, k in rules.ACTION_WORDS})
-    found = []
-    for kind in kinds:
-        count = F.lit(0)
-        for phrase, k in rules.ACTION_PHRASES:
-            if k == kind:
-                count = count + low.contains(phrase).cast("int")
-        for word, k in rules.ACTION_WORDS:
-            if k == kind:
-                count = count + (low.contains(word) & low.rlike(P.jvm(P.word(word)))).cast("int")
-        found.append(F.struct(F.lit(kind).alias("action_type"), evidence_confidence(count).alias("confidence")))
-    return F.filter(F.array(*found), lambda a: a["confidence"] > 0)
+    lexicon = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(P.jvm(p)).alias("p"), F.lit(k).alias("k")) for w, p, k in (
+        *[(w, w, k) for w, k in rules.ACTION_PHRASES], *[(w, P.word(w), k) for w, k in rules.ACTION_WORDS])])
+    hits = F.transform(F.filter(lexicon, lambda e: low.contains(e["w"]) & F.rlike(low, e["p"])), lambda e: e["k"])
+    counted = F.transform(F.array_sort(F.array_distinct(hits)), lambda k: F.struct(
+        k.alias("action_type"), F.size(F.filter(hits, lambda h: h == k)).alias("n")))
+    return F.transform(counted, lambda a: F.struct(
+        a["action_type"].alias("action_type"), evidence_confidence(a["n"]).alias("confidence")))
 
 
 def has_prose_verb(text: Column) -> Column:

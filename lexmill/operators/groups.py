@@ -101,8 +101,9 @@ def bucketed_ranks(df: DataFrame, by: list[str], columns: list[str], buckets: in
     return out
 
 
-def group_ranks(df: DataFrame, by: list[str], columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    normal, hot = split_hot(df, by, hot_rows)
+def group_ranks(df: DataFrame, by: list[str], columns: list[str], hot_rows: int = HOT_ROWS,
+                keys: DataFrame | None = None) -> DataFrame:
+    normal, hot = split_hot(df, by, hot_rows, keys)
     return merged(window_ranks(normal, by, columns), None if hot is None else bucketed_ranks(hot, by, columns))
 
 
@@ -154,9 +155,17 @@ def in_order(df: DataFrame, by: list[str], order: str, value: str, rows: int = 1
     return border.groupBy(*by).agg(F.sum("_n").alias("n_numbered"), (~F.max("_drop")).alias("ordered"))
 
 
-def numbered(df: DataFrame, by: list[str], order: str, name: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Gap-free number inside each group; hot groups are numbered in slices."""
-    normal, hot = split_hot(df, by, hot_rows)
+def numbered(df: DataFrame, by: list[str], order: str, name: str = "rn", hot_rows: int = HOT_ROWS,
+             keys: DataFrame | None = None) -> DataFrame:
+    """Gap-free number inside each group; hot groups are numbered in slices.
+
+    ``keys`` may be a coarser table (fewer columns of ``by``): a group cannot be hot
+    when none of the coarser groups is.
+    """
+    if keys is not None and hot_groups(keys, [c for c in by if c in keys.columns], hot_rows).isEmpty():
+        normal, hot = df, None
+    else:
+        normal, hot = split_hot(df, by, hot_rows)
     w = Window.partitionBy(*by).orderBy(order)
     return merged(normal.withColumn(name, F.row_number().over(w).cast("bigint")),
                   None if hot is None else running_number(hot, by, order, name))

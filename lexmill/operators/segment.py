@@ -256,9 +256,9 @@ def _slots(group) -> list[tuple[int, int]]:
 
 
 def unique_titles(df: DataFrame, title: str, order: str, doc: str = "doc_id",
-                  hot_rows: int = groups.HOT_ROWS) -> DataFrame:
+                  hot_rows: int = groups.HOT_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """Second and later uses of a title in a document get " (n)"."""
-    out = groups.numbered(df, [doc, title], order, "_n", hot_rows)
+    out = groups.numbered(df, [doc, title], order, "_n", hot_rows, keys)
     return out.withColumn(title, F.when(F.col("_n") > 1, F.concat(F.col(title), F.lit(" ("), F.col("_n").cast("string"),
                                                                   F.lit(")"))).otherwise(F.col(title))).drop("_n")
 
@@ -364,4 +364,5 @@ def identify_clauses(documents: DataFrame, text: str = "full_text", doc: str = "
         classify.clause_title(F.col("classification"), F.col("block"))).alias("clause_title")))
     rows = offsets(rows, text, "block").drop(text)
     kept = fold_near_copies(rows.withColumnRenamed("block", "text_content"), doc)
-    return unique_titles(kept, "clause_title", "slot_no", doc, hot_rows)
+    # A document is one row here, so its clauses are bounded by the size of that row.
+    return unique_titles(kept, "clause_title", "slot_no", doc, hot_rows, documents.select(doc))

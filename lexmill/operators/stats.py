@@ -56,8 +56,9 @@ def gini_from_sums(n: Column, total: Column, rank_weighted: Column) -> Column:
     return F.when((n < 2) | (total == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), g)))
 
 
-def gini(df: DataFrame, by: str, value: str, hot_rows: int = groups.HOT_ROWS) -> DataFrame:
-    ranked = groups.group_ranks(df.select(by, F.col(value).cast("double").alias("v")), [by], ["v"], hot_rows)
+def gini(df: DataFrame, by: str, value: str, hot_rows: int = groups.HOT_ROWS,
+         keys: DataFrame | None = None) -> DataFrame:
+    ranked = groups.group_ranks(df.select(by, F.col(value).cast("double").alias("v")), [by], ["v"], hot_rows, keys)
     sums = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"),
                                   F.sum(F.col("v_rank") * F.col("v")).alias("rv"))
     return sums.select(by, "n", (F.col("s") / F.col("n")).alias("mean_value"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["facts", "labels", "scores"]
+MODULES = ["facts", "labels", "scores", "cuts"]
 
 
 def load_all():

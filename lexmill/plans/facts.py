@@ -154,7 +154,7 @@ SELECT clause_id, 'duration', concat(n, ' ', unit), CAST(n * CASE unit {_DAYS} E
          lower(regexp_extract(m, {rx(P.DURATION, True)}, 2)) AS unit
   FROM (SELECT clause_id, unnest({all_of(P.DURATION, True)}) AS m FROM c))""")
 def fact_deadlines(spark, sf):
-    return clauses(spark, sf).select("clause_id", F.inline(X.deadlines(F.col(T))))
+    return clauses(spark, sf).select("clause_id", F.inline(X.deadlines(X.dates(F.col(T)), X.durations(F.col(T)))))
 
 
 _CUR = "CASE " + " ".join(f"WHEN starts_with(s, {quoted(p)}) THEN '{c}'" for p, c in rules.CURRENCY_PREFIXES) + " END"
@@ -179,7 +179,7 @@ FROM (SELECT c_custkey, t, trim(unnest(regexp_extract_all(t, {rx(P.MONEY, True)}
       FROM (SELECT c_custkey, {_MONEY_TEXT} AS t FROM customer))""")
 def fact_financial_terms(spark, sf):
     df = table(spark, sf, "customer").withColumn("t", F.expr(_MONEY_TEXT))
-    return df.select("c_custkey", F.inline(X.financial_terms(F.col("t"))))
+    return df.select("c_custkey", F.inline(X.financial_terms(F.col("t"), X.money(F.col("t")))))
 
 
 def _action_count(kind: str) -> str:

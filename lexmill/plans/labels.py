@@ -115,7 +115,7 @@ SELECT clause_id, CASE WHEN n > 1 THEN concat(title, ' (', n, ')') ELSE title EN
 def label_titles(spark, sf):
     rows = K.once(typed(spark, sf), F.struct(K.clause_title(F.col("clause_type"), F.col(T)).alias("title")))
     from ..operators.segment import unique_titles
-    return unique_titles(rows, "title", "clause_id").select("clause_id", F.col("title").alias("clause_title"))
+    return unique_titles(rows, "title", "clause_id", keys=rows.select("doc_id")).select("clause_id", F.col("title").alias("clause_title"))
 
 
 def type_counts_sql() -> str:

@@ -140,7 +140,7 @@ def risk_clause_scores(spark, sf):
    rank() OVER (PARTITION BY doc_id ORDER BY lrsi) + (count(*) OVER (PARTITION BY doc_id, lrsi) - 1) / 2.0 AS r FROM sc) GROUP BY doc_id)
 SELECT doc_id, n_clauses, round(m, 4) AS average_lrsi, round(gini, 4) AS gini, round(least(100.0, m * (1 + 0.15 * gini)), 4) AS document_risk_score FROM g""")
 def risk_document_scores(spark, sf):
-    d = risk.document_scores(scored(spark, sf))
+    d = risk.document_scores(scored(spark, sf), keys=document_keys(spark, sf))
     return d.select("doc_id", "n_clauses", *[F.round(c, 4).alias(c) for c in ("average_lrsi", "gini", "document_risk_score")])
 
 
