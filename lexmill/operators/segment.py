@@ -278,7 +278,7 @@ def backfill_titles(clauses: DataFrame, doc: str = "doc_id", order: str = "claus
     need = wanted.groupBy(doc, "_key").agg(F.max("_k").alias("_need"))
     used = taken.join(need, [doc, "_key"]).groupBy(doc, "_key").agg(F.count(F.lit(1)).alias("_used"))
     room = need.join(used, [doc, "_key"], "left").withColumn("_top", F.col("_need") + F.coalesce("_used", F.lit(0)))
-    free = room.select(doc, "_key", F.explode(F.sequence(F.lit(1), F.col("_top"))).cast("bigint").alias("_slot")).join(
+    free = room.select(doc, "_key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_top").cast("bigint"))).alias("_slot")).join(
         taken, [doc, "_key", "_slot"], "left_anti")
     placed = groups.numbered(free, [doc, "_key"], "_slot", "_k")
     made = wanted.join(placed, [doc, "_key", "_k"]).select(doc, order, F.when(F.col("_slot") == 1, F.col("base")).otherwise(
