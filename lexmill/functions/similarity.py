@@ -38,3 +38,23 @@ def may_reach(left: Column, right: Column, threshold: float) -> Column:
     """Length bound: 2*min/(la+lb) is the most the ratio can be, so this drops no match."""
     la, lb = F.length(left), F.length(right)
     return 2.0 * F.least(la, lb) >= threshold * (la + lb)
+
+
+def fold_names(names: list[str], threshold: float) -> list[int]:
+    """Group number of each name: the first earlier group whose opening name is similar enough."""
+    heads: list[str] = []
+    out = []
+    for name in names:
+        hit = next((i for i, head in enumerate(heads) if sequence_ratio(name, head) >= threshold), None)
+        if hit is None:
+            heads.append(name)
+            hit = len(heads) - 1
+        out.append(hit)
+    return out
+
+
+def all_similar(values: str | Column, target: str | Column, threshold: float) -> Column:
+    """Is every element of an array at least ``threshold`` similar to the target?"""
+    def check(batch: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([all(sequence_ratio(v, t) >= threshold for v in vs) for vs, t in zip(batch, targets)], dtype=bool)
+    return F.pandas_udf(check, "boolean")(values, target)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["facts", "labels", "scores", "cuts"]
+MODULES = ["facts", "labels", "scores", "cuts", "trust"]
 
 
 def load_all():
