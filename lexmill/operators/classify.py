@@ -154,7 +154,7 @@ def own_heading(block: Column) -> Column:
 
 
 def document_type(df: DataFrame, text: Column, type_patterns: dict[str, list[str]] | None = None) -> DataFrame:
-    """document_type, runner_up and type_confidence = margin x evidence of the pattern counts."""
+    """(Patterns are lower-case and so is the text they see.) document_type, runner_up and type_confidence = margin x evidence of the pattern counts."""
     type_patterns = type_patterns or rules_documents.TYPE_PATTERNS
     low = X.strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
     df = once(df, F.struct(low.alias("_low")))
@@ -165,7 +165,7 @@ def document_type(df: DataFrame, text: Column, type_patterns: dict[str, list[str
         for i, (kind, pats) in list(enumerate(kinds))[start:start + 5]:
             total = F.lit(0)
             for p in pats:
-                total = total + F.regexp_count("_low", F.lit(P.jvm(p, True)))
+                total = total + F.regexp_count("_low", F.lit(P.jvm(p)))
             counts.append(F.struct((-total).alias("minus"), F.lit(i).alias("ordinal"), F.lit(kind).alias("kind")))
         df = once(df, F.struct(F.array(*counts).alias(f"_t{start}")))
         parts.append(f"_t{start}")

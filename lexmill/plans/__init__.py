@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["facts", "labels", "scores", "cuts", "trust"]
+MODULES = ["facts", "labels", "scores", "cuts", "trust", "search"]
 
 
 def load_all():
