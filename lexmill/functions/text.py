@@ -33,8 +33,13 @@ def any_contains(text_lower: Column, phrases: list[str]) -> Column:
     return hit
 
 
+# Every character Python's str.strip() removes.
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+              + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def evidence_confidence(count: Column) -> Column:

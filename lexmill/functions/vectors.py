@@ -25,7 +25,8 @@ def unit(a: Column) -> Column:
 
 
 def centroids(df: DataFrame, by: list[str], vector: str, dim: int) -> DataFrame:
-    """Mean vector per group: one partial average per component, so map sides combine."""
+    """Direction of the mean vector per group: one partial average per component, so map sides combine."""
     means = [F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"_c{i}") for i in range(dim)]
+    # Callers compare directions, so the mean is returned at unit length.
     wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_items"), *means)
-    return wide.select(*by, "n_items", F.array(*[F.col(f"_c{i}") for i in range(dim)]).alias("centroid"))
+    return wide.select(*by, "n_items", unit(F.array(*[F.col(f"_c{i}") for i in range(dim)])).alias("centroid"))

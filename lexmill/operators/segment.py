@@ -22,7 +22,7 @@ from . import classify, groups
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_BLOCK = 15
-MARKERS = r"\n(?=" + "|".join(p[4:-1] for p in (P.NUMBERED_MARKER, P.LETTERED_MARKER, P.BULLET_MARKER)) + ")"
+MARKERS = r"\n(?=" + "|".join(p[5:-1] for p in (P.NUMBERED_MARKER, P.LETTERED_MARKER, P.BULLET_MARKER)) + ")"
 
 
 def strip_glyphs(text: Column) -> Column:

@@ -37,12 +37,20 @@ def vector_signals(spark, sf):
 
 
 def signals(spark, sf):
-    sig = features.raw_signals(features.with_facts(clauses(spark, sf)))
+    base = clauses(spark, sf)
+    sig = features.raw_signals(features.with_facts(base))
     sig = sig.select("doc_id", "clause_id", "part_no", *[f"raw_{d}" for d in risk.RANKED], "f_ambiguity", "feature_confidence")
-    emb = vector_signals(spark, sf)
+    emb = vector_signals(spark, sf).drop("label", "embedding")
     n = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
-    sig = sig.withColumn("_vec", F.pmod("part_no", n)).join(emb.drop("label"), F.col("_vec") == F.col("vec_id"))
-    return risk.outlier_signal(sig.drop("_vec", "vec_id")).drop("embedding")
+    of_clause = F.pmod("part_no", n)
+    sig = sig.withColumn("_vec", of_clause).join(emb, F.col("_vec") == F.col("vec_id"))
+    lean = document_vectors(spark, sf).withColumn("_vec", of_clause).join(emb.select("vec_id", "unit"), F.col("_vec") == F.col("vec_id"))
+    return risk.outlier_signal(sig.drop("_vec", "vec_id"), vectors=lean).drop("unit")
+
+
+def document_vectors(spark, sf):
+    """Document and vector number of each clause, straight from the scan."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("part_no"))
 
 
 def scored(spark, sf, alpha=None):
