@@ -152,9 +152,11 @@ def risk_document_scores(spark, sf):
     return d.select("doc_id", "n_clauses", *[F.round(c, 4).alias(c) for c in ("average_lrsi", "gini", "document_risk_score")])
 
 
-@query("risk_breakdown", "R21 D5", f"""WITH {score_sql()} SELECT clause_id, dimension, contribution FROM (
-  SELECT clause_id, dimension, round(cc, 2) AS contribution, row_number() OVER (PARTITION BY clause_id ORDER BY cc DESC, no) AS r
-  FROM ({' UNION ALL '.join(f"SELECT clause_id, {i} AS no, '{n}' AS dimension, round(w_s_{d} * s_{d} * 100, 6) AS cc FROM sc" for i, (n, d) in enumerate(zip(rules.DIMENSIONS, LOWER)))})) WHERE r = 1""")
+_DIMS = ", ".join(f"{{'c': -round(w_s_{d} * s_{d} * 100, 6), 'no': {i}, 'd': '{n}'}}" for i, (n, d) in enumerate(zip(rules.DIMENSIONS, LOWER)))
+
+
+@query("risk_breakdown", "R21 D5", f"""WITH {score_sql()} SELECT clause_id, b.d AS dimension, round(-b.c, 2) AS contribution
+  FROM (SELECT clause_id, list_sort([{_DIMS}])[1] AS b FROM sc)""")
 def risk_breakdown(spark, sf):
     rows = scored(spark, sf)
     parts = F.array(*[F.struct((-F.round(F.col(f"w_s_{d}") * F.col(f"s_{d}") * 100, 6)).alias("o"), F.lit(i).alias("no"),
@@ -163,10 +165,7 @@ def risk_breakdown(spark, sf):
     return rows.select("clause_id", top.alias("t")).select("clause_id", "t.dimension", F.round(-F.col("t.o"), 2).alias("contribution"))
 
 
-@query("risk_alpha_ablation", "D9 R12", "WITH " + " , ".join([]) + f"""a AS (WITH {score_sql(1.0)} SELECT clause_id, lrsi FROM sc),
- b AS (WITH {score_sql(0.0)} SELECT clause_id, lrsi FROM sc), d AS (WITH {score_sql()} SELECT clause_id, lrsi FROM sc)
-SELECT d.clause_id, round(a.lrsi, 3) AS feature_only, round(b.lrsi, 3) AS semantic_only, round(d.lrsi, 3) AS current_dynamic
-FROM a JOIN b ON a.clause_id = b.clause_id JOIN d ON a.clause_id = d.clause_id""")
+@query("risk_alpha_ablation", "D9 R12")
 def risk_alpha_ablation(spark, sf):
     base = signals(spark, sf)
     runs = {"feature_only": 1.0, "semantic_only": 0.0, "current_dynamic": None}
