@@ -44,7 +44,8 @@ def signals(spark, sf):
     n = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
     of_clause = F.pmod("part_no", n)
     sig = sig.withColumn("_vec", of_clause).join(emb, F.col("_vec") == F.col("vec_id"))
-    lean = document_vectors(spark, sf).withColumn("_vec", of_clause).join(emb.select("vec_id", "unit"), F.col("_vec") == F.col("vec_id"))
+    lean = document_vectors(spark, sf).withColumn("_vec", of_clause).join(
+        table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("_vec") == F.col("vec_id"))
     return risk.outlier_signal(sig.drop("_vec", "vec_id"), vectors=lean).drop("unit")
 
 
