@@ -10,7 +10,7 @@ from lexmill.plans import load_all
 from lexmill.session import build_session
 
 HEADLINE = ["fact_mentions", "label_clause_type", "risk_document_scores", "stat_gini", "stat_thresholds", "cut_sections",
-            "conflict_numeric", "conflict_dates", "graph_dependencies", "trust_index", "search_nearest_scores",
+            "conflict_numeric", "graph_dependencies", "trust_index", "search_nearest_scores",
             "report_document_metrics", "compare_numbered", "text_token_groups"]
 
 
