@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import rule_cascade
+from lexmill.llm import mixing, rule_cascade
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f"""
 
 
+@register("op1_source_mix", mixing.MIX_SQL)
+def source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 @register("op5_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rule_cascade.rule_report(table(spark, sf, "documents"))
