@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import mixing, rule_cascade
+from lexmill.llm import bpe, mixing, rule_cascade
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,18 @@ def source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """The place of an installed public tokenizer file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op2_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @register("op5_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rule_cascade.rule_report(table(spark, sf, "documents"))
