@@ -297,8 +297,8 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     figures = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     long = F.char_length("text") > part_chars
     short = rows.filter(~long).mapInPandas(whole_rows(path), figures)
-    leaves = rows.filter(long).withColumn("row_no", F.monotonically_increasing_id()).mapInPandas(
-        leaf_rows(path, part_chars), f"row_no long, doc_id {kind}, section int, leaf int, special boolean, text string")
+    leaf = f"row_no long, doc_id {kind}, section int, leaf int, special boolean, text string"
+    leaves = rows.filter(long).withColumn("row_no", F.monotonically_increasing_id()).mapInPandas(leaf_rows(path, part_chars), leaf)
     spread = leaves.repartition(F.col("row_no"), F.col("section"), F.col("leaf"))
-    coded = spread.mapInPandas(encoded_leaves(path), spread.schema.add("ends", "binary").add("counts", "binary").add("ids", "binary"))
+    coded = spread.mapInPandas(encoded_leaves(path), f"{leaf}, ends binary, counts binary, ids binary")
     return short.unionByName(coded.groupBy("row_no").applyInPandas(joined_rows(path), figures))
