@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, mixing, rule_cascade
+from lexmill.llm import bpe, language_net, mixing, quality_net, rule_cascade
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +68,23 @@ def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def remainder_is(divisor: int, value: int):
+    """Rows whose crc32 of the id as text leaves this remainder."""
+    def test(key: Column) -> Column:
+        return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % divisor == value
+    return test
+
+
+@register("op3_quality_net")
+def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_net.rate(table(spark, sf, "documents"), table(spark, sf, "labels"), remainder_is(5, 0))
+
+
+@register("op4_language_net")
+def language_guesses(spark: SparkSession, sf: str) -> DataFrame:
+    return language_net.detect(table(spark, sf, "documents"), remainder_is(4, 2))
+
+
 @register("op5_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rule_cascade.rule_report(table(spark, sf, "documents"))
