@@ -27,6 +27,8 @@ FILTERS = 8
 SAMPLE_ROWS = 3000
 WINDOWS = 4
 EPOCHS = 8
+#: Small samples are gone through more often, up to about this many steps of 128 windows.
+STEPS = 700
 BATCH_BYTES = 1 << 16
 UNKNOWN = "und"
 
@@ -53,7 +55,7 @@ def fit(texts: list[bytes], languages: list[str], seed: int = 5) -> Net:
     chosen = np.concatenate([f + np.unique(np.linspace(0, c - 1, min(c, WINDOWS)).astype(int)) for f, c in zip(first, counts)] or [np.zeros(0, int)])
     labels = np.searchsorted(names, np.repeat(np.array(languages, dtype=object), counts).astype(str)) if names else np.zeros(0, int)
     rng, adam = np.random.default_rng(seed), Adam([*net.filters.parameters(), net.weights, net.bias], 0.01)
-    for _ in range(EPOCHS if len(names) > 1 else 0):
+    for _ in range(max(EPOCHS, -(-STEPS * 128 // len(chosen))) if len(names) > 1 else 0):
         rng.shuffle(chosen)
         for at in range(0, len(chosen), 128):
             pick = chosen[at:at + 128]

@@ -32,6 +32,8 @@ HIDDEN = 24
 SAMPLE_ROWS = 4000
 HALVES = 40
 EPOCHS = 10
+#: Small samples are gone through more often, up to about this many steps of 32 texts.
+STEPS = 1000
 BATCH_BYTES = 1 << 16
 
 
@@ -85,8 +87,9 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 11) -> Net:
         return net
     grids, order = spread(texts), np.arange(len(texts))
     adam = Adam([*net.filters.parameters(), net.weights, net.bias, net.out, net.out_bias], 0.006)
-    for epoch in range(EPOCHS):
-        adam.rate = 0.006 * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * 32 // len(texts)))
+    for epoch in range(epochs):
+        adam.rate = 0.006 * (1 - epoch / epochs)
         rng.shuffle(order)
         for at in range(0, len(order), 32):
             pick = order[at:at + 32]
