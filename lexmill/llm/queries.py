@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, language_net, mixing, quality_net, rule_cascade
+from lexmill.llm import avi, bpe, language_net, mixing, quality_net, rule_cascade, secret_scan
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,13 @@ def language_guesses(spark: SparkSession, sf: str) -> DataFrame:
 @register("op5_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rule_cascade.rule_report(table(spark, sf, "documents"))
+
+
+@register("op6_avi_frames")
+def avi_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return avi.figures(avi.store(table(spark, sf, "documents")))
+
+
+@register("op7_secret_spans")
+def secret_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf, "documents"))
