@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -211,19 +212,30 @@ def leaf_rows(path: str, limit: int):
     return run
 
 
+def packed(values: list[int]) -> bytes:
+    """Numbers in the fewest whole bytes each, behind the sign of their type."""
+    kind = np.min_scalar_type(max(values, default=0))
+    return kind.char.encode() + np.array(values, kind).tobytes()
+
+
+def unpacked(data: bytes) -> list[int]:
+    return np.frombuffer(data[1:], chr(data[0])).tolist()
+
+
 def encoded_leaves(path: str):
-    """Adds the ends of a leaf's pieces and the tokens of each, packed."""
+    """Adds how far each piece of a leaf lies behind the one before, and the tokens of each, packed."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = codec(path)
         for batch in batches:
-            ends, counts, ids = [], [], []
+            steps, counts, ids = [], [], []
             for text, special in zip(batch["text"], batch["special"]):
                 found = [] if special else [(m.end(), m.group()) for m in code.pieces.finditer(text)]
                 parts = [code.numbers[w] for _, w in found]
-                ends.append(np.array([e for e, _ in found], "int32").tobytes())
-                counts.append(np.array([p.count(" ") + 1 for p in parts], "int32").tobytes())
-                ids.append(np.array(" ".join(parts).split(), "int32").tobytes())
-            yield batch.assign(ends=ends, counts=counts, ids=ids)
+                ends = [e for e, _ in found]
+                steps.append(packed([b - a for a, b in zip([0, *ends], ends)]))
+                counts.append(packed([p.count(" ") + 1 for p in parts]))
+                ids.append(packed(list(map(int, " ".join(parts).split()))))
+            yield batch.assign(steps=steps, counts=counts, ids=ids)
     return run
 
 
@@ -274,12 +286,12 @@ def joined_rows(path: str):
                 ids.append(code.special[part["text"].iloc[0]])
                 continue
             leaves = []
-            for text, ends, counts, packed in zip(part["text"], part["ends"], part["counts"], part["ids"]):
-                flat, at, parts = np.frombuffer(packed, "int32").tolist(), 0, []
-                for n in np.frombuffer(counts, "int32").tolist():
+            for text, steps, counts, numbers in zip(part["text"], part["steps"], part["counts"], part["ids"]):
+                flat, at, parts = unpacked(numbers), 0, []
+                for n in unpacked(counts):
                     parts.append(tuple(flat[at:at + n]))
                     at += n
-                leaves.append(Stretch(code, text, np.frombuffer(ends, "int32").tolist(), parts))
+                leaves.append(Stretch(code, text, list(accumulate(unpacked(steps))), parts))
             ids += [i for p in fold(leaves).parts for i in p]
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].tolist(), "n_tokens": [len(ids)],
                              "ids_sha256": [sha(" ".join(map(str, ids)))], "decoded_sha256": [sha(code.decode(ids))]}).astype(
@@ -300,5 +312,5 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     leaf = f"row_no long, doc_id {kind}, section int, leaf int, special boolean, text string"
     leaves = rows.filter(long).withColumn("row_no", F.monotonically_increasing_id()).mapInPandas(leaf_rows(path, part_chars), leaf)
     spread = leaves.repartition(F.col("row_no"), F.col("section"), F.col("leaf"))
-    coded = spread.mapInPandas(encoded_leaves(path), f"{leaf}, ends binary, counts binary, ids binary")
+    coded = spread.mapInPandas(encoded_leaves(path), f"{leaf}, steps binary, counts binary, ids binary")
     return short.unionByName(coded.groupBy("row_no").applyInPandas(joined_rows(path), figures))
