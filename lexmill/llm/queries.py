@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import avi, bpe, language_net, mixing, quality_net, rule_cascade, secret_scan
+from lexmill.llm import avi, bpe, html_text, language_net, mixing, quality_net, rule_cascade, secret_scan
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def avi_frames(spark: SparkSession, sf: str) -> DataFrame:
 @register("op7_secret_spans")
 def secret_spans(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf, "documents"))
+
+
+@register("op8_html_layout")
+def html_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
