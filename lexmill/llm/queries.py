@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import avi, bpe, html_text, language_net, line_dedup, mixing, quality_net, rule_cascade, secret_scan
+from lexmill.llm import avi, bpe, html_text, language_net, line_dedup, mixing, quality_net, rule_cascade, secret_scan, shingle_forest
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,11 @@ def html_layout(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
 
 
+@register("op9_shingle_join")
+def shingle_join(spark: SparkSession, sf: str) -> DataFrame:
+    return shingle_forest.classes(table(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @register("op10_line_dedup")
 def line_copies(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf, "documents"))
