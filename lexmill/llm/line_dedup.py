@@ -121,27 +121,47 @@ def earliest_neighbours(near: DataFrame) -> DataFrame:
         F.levenshtein("line", "other_line", 1) >= 0).select(*LINE, F.col("other.first").alias("other_first"))
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document: doc_id, n_lines (with a word), n_kept and text, the lines that stay."""
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).withColumn("row_hash", F.xxhash64("text"))
+def kept_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, row_hash and the sorted numbers of the lines that stay, from rows of doc_id and text."""
+    rows = rows.withColumn("row_hash", F.xxhash64("text"))
     classes = cut_lineage(line_classes(rows.filter("text IS NOT NULL"), min_chars))
     sharing = cut_lineage(sharing_classes(classes))
-    wanted = sharing.select(*LINE, "first", "front", "back", "first.*")
+    wanted = sharing.select(*LINE, "first", "front", "back", F.col("first.doc_id").alias("_id"), F.col("first.row_hash").alias("_hash"),
+                            F.col("first.line_no").alias("_line"))
     if sharing.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    near = cut_lineage(rows.join(wanted, ["doc_id", "row_hash"]).select(
-        *LINE, "first", "front", "back", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(LINE))
+    near = cut_lineage(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash"))).select(
+        *LINE, "first", "front", "back", F.get(F.split("text", "\n"), F.col("_line")).alias("line")).dropDuplicates(LINE))
     gone = earliest_neighbours(near).select(*LINE, "other_first")
     kept = classes.join(gone, LINE, "left").filter("other_first IS NULL OR other_first > first").select("first.*")
-    per_row = kept.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"))
-    joined = rows.join(per_row, rows.doc_id.eqNullSafe(per_row.doc_id) & rows.row_hash.eqNullSafe(per_row.row_hash), "left").select(
-        rows.doc_id, rows.text, F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines"))
+    return kept.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
+
+
+def rebuilt(lines: Column, kept: Column) -> Column:
+    """n_lines (with a word) and text of the kept and the blank lines."""
     worded = lambda line: line.rlike(WORD_CLASS)
+    blank = F.filter(F.transform(lines, lambda line, i: F.when(~worded(line), i)), lambda i: i.isNotNull())
+    return F.struct(F.size(F.filter(lines, worded)).cast("long").alias("n_lines"), F.array_join(F.transform(
+        F.sort_array(F.array_union(kept, blank)), lambda i: F.get(lines, i)), "\n").alias("text"))
+
+
+def with_kept_lines(docs: DataFrame, id_column: str, text: str, min_chars: int) -> DataFrame:
+    """row (all columns of docs), n_lines, n_kept and text. The row travels as one value, so its names clash with none here."""
+    per_row = kept_lines(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), min_chars)
+    packed = docs.select(F.struct("*").alias("row"))
+    on = F.col("row")[id_column].eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row")[text]) == F.col("row_hash"))
+    joined = packed.join(per_row, on, "left").select("row", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    made = joined.select("row", F.size("kept").cast("long").alias("n_kept"), F.inline_outer(F.array(
+        let(F.split(F.col("row")[text], "\n"), lambda lines: rebuilt(lines, F.col("kept"))))))
+    return made.select("row", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), "n_kept", "text")
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per document: doc_id, n_lines (with a word), n_kept and text, the lines that stay."""
+    return with_kept_lines(docs, id_column, text, min_chars).select(F.col("row")[id_column].alias("doc_id"), "n_lines", "n_kept", "text")
 
-    def rebuilt(lines: Column) -> Column:
-        blank = F.filter(F.transform(lines, lambda line, i: F.when(~worded(line), i)), lambda i: i.isNotNull())
-        return F.struct(F.size(F.filter(lines, worded)).cast("long").alias("n_lines"), F.array_join(F.transform(
-            F.sort_array(F.array_union("kept_lines", blank)), lambda i: F.get(lines, i)), "\n").alias("text"))
 
-    made = joined.select("doc_id", F.size("kept_lines").cast("long").alias("n_kept"), let(F.split("text", "\n"), rebuilt).alias("_made"))
-    return made.select("doc_id", F.coalesce("_made.n_lines", F.lit(0)).cast("long").alias("n_lines"), "n_kept", F.col("_made.text").alias("text"))
+def cleaned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with their texts reduced to the lines that stay; documents that lose every line with a word go."""
+    left = with_kept_lines(docs, id_column, text, min_chars).filter("n_lines = 0 OR n_kept > 0")
+    return left.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

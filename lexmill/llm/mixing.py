@@ -85,12 +85,17 @@ def apportion(parties: DataFrame, by: list[str], order: list[str], weight: str,
 def sized(docs: DataFrame, id_column: str, text: str, source: str) -> DataFrame:
     name = F.col(source).cast("string")
     return docs.select(F.col(id_column).alias("doc_id"), F.isnull(name).cast("int").alias("no_source"),
-                       F.coalesce(name, F.lit("")).alias("source"), n_words(F.col(text)).alias("size"))
+                       F.coalesce(name, F.lit("")).alias("source"), n_words(F.col(text)).alias("size"),
+                       row_hash(F.col(text)).alias("row_hash"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+def row_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
         repeats: int = REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words that the mix takes."""
+    """doc_id, no_source, source, row_hash, size, source_size, target and taken of each row."""
     sizes = cut_lineage(sized(docs, id_column, text, source))
     shards_per_source = F.lit(max(1, int(sizes.count() ** 0.5)))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -108,7 +113,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     plan = cut_lineage(apportion(per_shard, SOURCE, ["shard"], "blocks", "_cap", "source_quota").select(
         *shard, "words", "blocks", "quota", "source_size", "target"))
     extra = taken_once_more(plan, seed)
-    in_shard = Window.partitionBy(*shard).orderBy("doc_id", "size")
+    in_shard = Window.partitionBy(*shard).orderBy("doc_id", "size", "row_hash")
     placed = dealt.select("*", F.row_number().over(in_shard).alias("place"),
                           F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("end"))
     on = placed.join(plan, shard).select("*", (F.col("end") - F.col("size")).alias("start"))
@@ -120,7 +125,30 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     times = F.expr("quota div blocks") + F.coalesce("once_more", F.lit(0))
     given = parts.join(extra, [*shard, "block"], "left").groupBy(*shard, "place").agg(F.sum(overlap * times).alias("taken"))
     return on.join(given, [*shard, "place"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", *SOURCE, "row_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target and taken, the words that the mix takes."""
+    return mixed_rows(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """docs, each row as often as the mix takes its words, to the nearest whole number (a half counts as one).
+
+    Rows equal in id, source and text share what is taken of them evenly.
+    """
+    taken = mixed_rows(docs, id_column=id_column, text=text, source=source, **options).groupBy("doc_id", *SOURCE, "row_hash").agg(
+        F.sum("size").alias("size"), F.sum("taken").alias("taken")).filter("size > 0").select(
+        F.col("doc_id").alias("_id"), F.col("no_source").alias("_no"), F.col("source").alias("_source"), F.col("row_hash").alias("_hash"),
+        F.expr("(2 * taken + size) div (2 * size)").cast("int").alias("_times")).filter("_times > 0")
+    row = F.col("row")
+    packed = docs.select(F.struct("*").alias("row"))
+    name = row[source].cast("string")
+    on = row[id_column].eqNullSafe(F.col("_id")) & (F.isnull(name).cast("int") == F.col("_no")) & (
+        F.coalesce(name, F.lit("")) == F.col("_source")) & (row_hash(row[text]) == F.col("_hash"))
+    chosen = packed.join(taken, on).select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy"))
+    return chosen.select(*[row[c].alias(c) for c in docs.columns])
 
 
 def taken_once_more(plan: DataFrame, seed: int) -> DataFrame:

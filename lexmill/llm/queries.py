@@ -107,7 +107,7 @@ def html_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op9_shingle_join")
 def shingle_join(spark: SparkSession, sf: str) -> DataFrame:
-    return shingle_forest.classes(table(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
+    return shingle_forest.classes(table(spark, sf, "documents"))
 
 
 @register("op10_line_dedup")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.star import components
@@ -231,9 +231,12 @@ def dealt(members: DataFrame, group: list[str], size: str, most: int, sort_key:
     return cells.repartition(*[F.col(c) for c in cell]).sortWithinPartitions(*cell)
 
 
+def text_key(text: Column) -> Column:
+    return F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit("00")))
+
+
 def keyed_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).withColumn(
-        "text_key", F.coalesce(F.unhex(F.md5("text")), F.unhex(F.lit("00"))))
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", text_key(F.col("text")))
 
 
 def linked_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
@@ -263,12 +266,25 @@ def linked_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return signed.select("doc_id", "text_key"), counted, components(found.filter("b IS NOT NULL").select("a", "b"))
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+def members(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
             words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, text_key, class_id (least id of its class) and n_links, the other texts at or above the bound."""
+    """doc_id, text_key, root (key of the class), class_id and n_links of each row."""
     rows, counted, parts = linked_texts(docs, id_column, text, similarity, words, recall)
     least = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"))
     placed = least.join(parts.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("class_id")), "root").join(counted, "text_key", "left")
-    by_text = named.select("text_key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(by_text, "text_key").select("doc_id", "text_key", "class_id", "n_links")
+    by_text = named.select("text_key", "root", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(by_text, "text_key").select("doc_id", "text_key", "root", "class_id", "n_links")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id (least id of its class) and n_links, the other texts at or above the bound."""
+    return members(docs, **options).select("doc_id", "class_id", "n_links")
+
+
+def first_of_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without near copies: the row with the least id of each class stays, once."""
+    first = members(docs, id_column, text, **options).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    packed = docs.select(F.struct("*").alias("row")).withColumn("_key", text_key(F.col("row")[text])).withColumn("_id", F.col("row")[id_column])
+    stay = packed.join(first, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_semi")
+    return stay.dropDuplicates(["_id", "_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
