@@ -112,22 +112,46 @@ def signature_rows(n: int, words: int):
     return run
 
 
-def spanning(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric matrix of links."""
-    left, edges = np.ones(len(links), bool), []
+def spanning(links: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest of a symmetric matrix of links, and the tree of each row."""
+    left, tree, edges = np.ones(len(links), bool), np.zeros(len(links), "int64"), []
     for root in range(len(links)):
         if not left[root]:
             continue
-        left[root], todo = False, [root]
+        left[root], tree[root], todo = False, root, [root]
         while todo:
             at = todo.pop()
             fresh = np.flatnonzero(links[at] & left)
-            left[fresh] = False
+            left[fresh], tree[fresh] = False, root
             edges += [(at, int(f)) for f in fresh]
             todo += fresh.tolist()
+    return edges, tree
+
+
+def bridges(links: np.ndarray, between: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one block; of two blocks, only the links that tie trees of the one to trees of the other."""
+    if between is None:
+        return spanning(links)[0]
+    _, tree = spanning(links & ~between)
+    x, y = np.nonzero(np.triu(links & between))
+    ends = np.sort(np.stack([tree[x], tree[y]], axis=1), axis=1)
+    _, first = np.unique(ends, axis=0, return_index=True) if len(ends) else (None, np.zeros(0, int))
+    names, edges = list(range(len(links))), []
+    for i in first.tolist():
+        a, b = (find(names, int(e)) for e in ends[i])
+        if a != b:
+            names[a] = b
+            edges.append((int(x[i]), int(y[i])))
     return edges
 
 
+def find(names: list[int], at: int) -> int:
+    while names[at] != at:
+        names[at] = names[names[at]]
+        at = names[at]
+    return at
+
+
 def in_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Rows that arrive sorted by keys -> one frame per group, over the ends of batches."""
     rest = None
@@ -166,7 +190,7 @@ def node_edges(bound: float):
                     alike += column[:, None] == column[None, :]
                 links = alike >= bound * rows.shape[1]
                 between = crossing(cell["block"].to_numpy(), cell["first"].iloc[0], cell["second"].iloc[0])
-                for x, y in spanning(links if between is None else links & between):
+                for x, y in bridges(links, between):
                     a.append(keys[x])
                     b.append(keys[y])
             if len(a) >= 20_000:
@@ -211,10 +235,8 @@ def verified_links(similarity: float, words: int):
             links = (common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9) & (common > 0)
             np.fill_diagonal(links, False)
             between = crossing(cell["block"].to_numpy(), cell["first"].iloc[0], cell["second"].iloc[0])
-            if between is not None:
-                links &= between
-            counts = links.sum(axis=1)
-            edges = spanning(links)
+            counts = (links if between is None else links & between).sum(axis=1)
+            edges = bridges(links, between)
             linked = np.flatnonzero(counts)
             yield pd.DataFrame({"a": [*keys[linked], *[keys[x] for x, _ in edges]], "b": [*[None] * len(linked), *[keys[y] for _, y in edges]],
                                 "n": np.concatenate([counts[linked], np.zeros(len(edges), "int64")]).astype("int64")})
