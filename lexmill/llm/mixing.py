@@ -62,7 +62,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> Data
 def apportion(parties: DataFrame, by: list[str], order: list[str], weight: str, cap: str, seats: str) -> DataFrame:
     """Adds quota: seats go one by one to the highest weight / (2k + 1) among parties of a group, at most cap each.
 
-    Quotas lie near their proportional share, so only quotients near it are compared: with p parties the
+    Caps may turn seats away only by rounding, which `targets` sees to. Then quotas lie near their proportional share, so only quotients near it are compared: with p parties the
     divisor moves by less than 5p / seats of itself (rounding, and seats that caps turn away).
     """
     group = Window.partitionBy(*by)
