@@ -7,6 +7,8 @@ and a cheap substring test runs before each keyword pattern.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,33 @@ def matched_keywords(low: Column, keywords: Column) -> Column:
     return F.transform(F.filter(keywords, lambda w: low.contains(w["k"]) & F.rlike(low, w["p"])), lambda w: w["k"])
 
 
+def leading_words(regex: str) -> list[str] | None:
+    """Plain text that begins the alternatives of a pattern, one of which any match must contain; None if one begins otherwise."""
+    found, depth, start = [], 0, 0
+    for i, ch in enumerate(regex + "|"):
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "|" and depth == 0:
+            found.append(regex[start:i].removeprefix(r"\b"))
+            start = i + 1
+    stems = []
+    for part in found:
+        stem = re.match(r"[a-z0-9 -]*", part).group()
+        if part[len(stem):len(stem) + 1] in ("?", "*", "{"):
+            stem = stem[:-1]
+        if len(stem) < 3:
+            return None
+        stems.append(stem)
+    return stems
+
+
+def first_match(low: Column, regex: str) -> Column:
+    """The first match of a pattern in lower-case text; plain text tests spare most texts the pattern."""
+    stems, found = leading_words(regex), F.regexp_extract(low, P.jvm(regex), 0)
+    if stems is None:
+        return found
+    return F.when(F.exists(F.array(*map(F.lit, stems)), lambda s: low.contains(s)), found).otherwise("")
+
+
 def first_line(text: Column) -> Column:
     """First non-blank line, trimmed."""
     return F.regexp_extract(text, r"(?U)^\s*(\S(?:[^\n\r]*\S)?)", 1)
@@ -59,7 +88,7 @@ def with_categories(df: DataFrame, text: Column, clause_rules: list[rules.Clause
     parts = []
     for start in range(0, len(clause_rules), step):
         some = clause_rules[start:start + step]
-        df = once(df, F.struct(F.array(*[F.regexp_extract("_low", P.jvm(r.regex), 0) for r in some]).alias(f"_rx{start}")))
+        df = once(df, F.struct(F.array(*[first_match(F.col("_low"), r.regex) for r in some]).alias(f"_rx{start}")))
         parts.append(f"_rx{start}")
     names = F.array(*[F.struct(F.lit(r.category).alias("name"), F.lit(r.category.lower()).alias("low"),
                                F.lit(-i - 1).alias("no"), keyword_literals(r.keywords).alias("ks"))

@@ -13,16 +13,17 @@ from ..functions import text as X
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Native digit zeros of the scripts that are mapped to 0-9 (each block holds ten digits in order).
+# The zeros of the scripts that are mapped to 0-9. They stand for the fixed digit table: each zero and the nine code points after it.
 DIGIT_ZEROS = [0x09E6, 0x0AE6, 0x0CE6, 0x0966, 0x0660, 0xABF0, 0x0B66, 0x0A66, 0x1C50, 0x06F0, 0x0C66]
 
 # Punctuation replacements, in order.
 PUNCTUATION = [("\r", ""), ("(", " ("), (")", ") "), ("( ", "("), (" )", ")"), (" :", ":"), (" ;", ";"), ("`", "'"), ("„", '"'), ("“", '"'),
                ("”", '"'), ("–", "-"), ("—", " - "), ("´", "'"), ("‘", "'"), ("‚", "'"), ("’", "'"), ("''", '"'), ("´´", '"'), ("…", "..."),
-               (" « ", ' "'), ("« ", '"'), ("«", '"'), (" » ", '" '), (" »", '"'), ("»", '"'), (" %", "%"), (" :", ":"), (" ?", "?"),
-               (" !", "!"), (" ;", ";")]
+               ("\u00a0«\u00a0", ' "'), ("«\u00a0", '"'), ("«", '"'), ("\u00a0»\u00a0", '" '), ("\u00a0»", '"'), ("»", '"'),
+               ("\u00a0%", "%"), ("nº\u00a0", "nº "), ("\u00a0:", ":"), ("\u00a0ºC", " ºC"), ("\u00a0cm", " cm"), ("\u00a0?", "?"),
+               ("\u00a0!", "!"), ("\u00a0;", ";"), (",\u00a0", ", ")]
 PUNCTUATION_PATTERNS = [(r"[ ]{2,}", " "), (r"\.{2,}", "."), (r"\) ([\.!:?;,])", ")$1"), (r"(\d) %", "$1%"), (r"\"([,\.]+)", '$1"'),
-                        (r"(\d) (\d)", "$1.$2")]
+                        ("(\\d)\u00a0(\\d)", "$1.$2")]
 
 
 def cache_key(source: str, target: str, text: Column) -> Column:
@@ -39,9 +40,12 @@ def cache_split(texts: DataFrame, cache: DataFrame, source: str = "en", target:
     return out, misses
 
 
+NATIVE_DIGITS = "".join(chr(zero + d) for zero in DIGIT_ZEROS for d in range(10))
+ROMAN_DIGITS = "0123456789" * len(DIGIT_ZEROS)
+
+
 def roman_digits(text: Column) -> Column:
-    native = "".join(chr(zero + d) for zero in DIGIT_ZEROS for d in range(10))
-    return F.translate(text, native, "0123456789" * len(DIGIT_ZEROS))
+    return F.translate(text, NATIVE_DIGITS, ROMAN_DIGITS)
 
 
 def punctuation(text: Column) -> Column:

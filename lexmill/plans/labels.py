@@ -12,7 +12,7 @@ from ..operators import classify as K
 from .corpus import ansi_clauses, ansi_papers, clauses, papers, table
 from .registry import contains_any, in_list, query, quoted, rx
 
-CL = f"WITH c AS {ansi_clauses()} "
+CL = f"WITH c AS MATERIALIZED {ansi_clauses()} "
 T = "text_content"
 
 
@@ -51,7 +51,7 @@ def typed(spark, sf, both: bool = False):
 
 
 @query("label_keywords", "C1 S4", CL + f"SELECT keyword, category, count(*) AS n_clauses FROM (" + " UNION ALL ".join(
-    f"SELECT {quoted(k)} AS keyword, {quoted(r.category)} AS category FROM l WHERE regexp_matches(l, {rx(P.word(k))})"
+    f"SELECT {quoted(k)} AS keyword, {quoted(r.category)} AS category FROM l WHERE contains(l, {quoted(k)}) AND regexp_matches(l, {rx(P.word(k))})"
     for r in rules.CLAUSE_RULES for k in r.keywords).replace("FROM l ", f"FROM (SELECT lower({T}) AS l FROM c) ")
     + ") GROUP BY 1, 2")
 def label_keywords(spark, sf):
@@ -75,7 +75,7 @@ def label_clause_type(spark, sf):
 
 
 def _kw_array(r, low="l"):
-    items = ", ".join(f"CASE WHEN regexp_matches({low}, {rx(P.word(k))}) THEN {quoted(k)} END" for k in r.keywords)
+    items = ", ".join(f"CASE WHEN contains({low}, {quoted(k)}) AND regexp_matches({low}, {rx(P.word(k))}) THEN {quoted(k)} END" for k in r.keywords)
     return f"list_filter([{items}], lambda k: k IS NOT NULL)"
 
 

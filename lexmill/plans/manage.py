@@ -278,12 +278,27 @@ def text_masking(spark, sf):
     return rows.select("doc_id", F.md5("masked").alias("masked_hash"), F.size("placeholders").alias("n_masked"))
 
 
-@query("text_punctuation", "N3 N4", "SELECT c_custkey, concat('a (b): \"x\",', c_custkey % 10, '%. c') AS clean, '0123456789' AS digits FROM customer")
+def punctuation_sql(text: str) -> str:
+    for old, new in normalize.PUNCTUATION:
+        text = f"replace({text}, {quoted(old)}, {quoted(new)})"
+    for pattern, new in normalize.PUNCTUATION_PATTERNS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(new.replace('$', chr(92)))}, 'g')"
+    return f"trim({text}, ' ')"
+
+
+#: Texts with the marks that documents seldom hold put between their words, by document number.
+MARKS = ["\u00a0?", "\u00a0«\u00a0", "\u00a0»", "nº\u00a0", "5\u00a0%", "3\u00a0ºC", "2\u00a0cm", "1\u00a01", ",\u00a0", "“(x)”", " ;", "\u00a0!", "…"]
+_MARKS = "[" + ", ".join(quoted(m) for m in MARKS) + "]"
+
+
+@query("text_punctuation", "N3 N4", f"""SELECT doc_id, {punctuation_sql('t')} AS clean, translate(digits, {quoted(normalize.NATIVE_DIGITS)},
+  {quoted(normalize.ROMAN_DIGITS)}) AS digits FROM (SELECT doc_id, concat(text, {_MARKS}[1 + doc_id % {len(MARKS)}], text) AS t,
+  {quoted(normalize.NATIVE_DIGITS)}[1 + doc_id % 100 : 9 + doc_id % 100] AS digits FROM documents)""")
 def text_punctuation(spark, sf):
-    raw = F.concat(F.lit("a(b) :  “x”,"), (F.col("c_custkey") % 10).cast("string"), F.lit(" %.. c"))
-    digits = F.lit("".join(chr(0x0966 + d) for d in range(10)))
-    df = table(spark, sf, "customer")
-    return df.select("c_custkey", F.replace(normalize.punctuation(raw), F.lit(',"'), F.lit('",')).alias("clean"), normalize.roman_digits(digits).alias("digits"))
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.pmod("doc_id", F.lit(len(MARKS))) + 1).cast("int"))
+    digits = F.substring(F.lit(normalize.NATIVE_DIGITS), (F.pmod("doc_id", F.lit(100)) + 1).cast("int"), F.lit(9))
+    return table(spark, sf, "documents").select("doc_id", normalize.punctuation(F.concat("text", mark, "text")).alias("clean"),
+                                                normalize.roman_digits(digits).alias("digits"))
 
 
 @query("text_token_groups", "N5", """SELECT doc_id, CASE WHEN n > 256 THEN n // 256 + 1 ELSE 1 END AS n_groups, true AS whole FROM (

@@ -153,27 +153,28 @@ def risk_document_scores(spark, sf):
     return d.select("doc_id", "n_clauses", *[F.round(c, 4).alias(c) for c in ("average_lrsi", "gini", "document_risk_score")])
 
 
-_DIMS = ", ".join(f"{{'c': -round(w_s_{d} * s_{d} * 100, 6), 'no': {i}, 'd': '{n}'}}" for i, (n, d) in enumerate(zip(rules.DIMENSIONS, LOWER)))
+_DIMS = ", ".join(f"{{'c': -round(w_s_{d} * s_{d} * 100 + 1e-7, 2), 'no': {i}, 'd': '{n}'}}" for i, (n, d) in enumerate(zip(rules.DIMENSIONS, LOWER)))
 
 
-@query("risk_breakdown", "R21 D5", f"""WITH {score_sql()} SELECT clause_id, b.d AS dimension, round(-b.c, 2) AS contribution
-  FROM (SELECT clause_id, list_sort([{_DIMS}])[1] AS b FROM sc)""")
+@query("risk_breakdown", "R21 D5", f"""WITH {score_sql()} SELECT clause_id, array_to_string(list_transform(b, lambda x: x.d), ' > ') AS dimensions,
+  -b[1].c AS contribution, -b[{len(LOWER)}].c AS least FROM (SELECT clause_id, list_sort([{_DIMS}]) AS b FROM sc)""")
 def risk_breakdown(spark, sf):
-    rows = scored(spark, sf)
-    parts = F.array(*[F.struct((-F.round(F.col(f"w_s_{d}") * F.col(f"s_{d}") * 100, 6)).alias("o"), F.lit(i).alias("no"),
-                               F.lit(n).alias("dimension")) for i, (n, d) in enumerate(zip(rules.DIMENSIONS, LOWER))])
-    top = F.array_min(parts)
-    return rows.select("clause_id", top.alias("t")).select("clause_id", "t.dimension", F.round(-F.col("t.o"), 2).alias("contribution"))
+    rows = risk.breakdown(scored(spark, sf)).select("clause_id", F.col("dimension_breakdown").alias("b"))
+    return rows.select("clause_id", F.array_join(F.transform("b", lambda p: p["dimension"]), " > ").alias("dimensions"),
+                       F.get("b", F.lit(0))["contribution"].alias("contribution"), F.element_at("b", -1)["contribution"].alias("least"))
 
 
-@query("risk_alpha_ablation", "D9 R12")
+@query("risk_alpha_ablation", "D9 R12", f"""WITH a AS (WITH {score_sql(1.0)} SELECT clause_id, lrsi FROM sc),
+ b AS (WITH {score_sql(0.0)} SELECT clause_id, lrsi FROM sc), d AS (WITH {score_sql()} SELECT clause_id, lrsi FROM sc)
+SELECT d.clause_id, round(a.lrsi + 1e-7, 3) AS feature_only, round(b.lrsi + 1e-7, 3) AS semantic_only, round(d.lrsi + 1e-7, 3) AS current_dynamic
+FROM a JOIN b ON a.clause_id = b.clause_id JOIN d ON a.clause_id = d.clause_id""")
 def risk_alpha_ablation(spark, sf):
     base = signals(spark, sf)
     runs = {"feature_only": 1.0, "semantic_only": 0.0, "current_dynamic": None}
     rows = None
     for name, a in runs.items():
         alpha = None if a is None else {d: a for d in rules.DIMENSIONS}
-        one = risk.score_clauses(base, alpha=alpha, keys=document_keys(spark, sf)).select("clause_id", F.round("lrsi", 3).alias("lrsi"), F.lit(name).alias("scenario"))
+        one = risk.score_clauses(base, alpha=alpha, keys=document_keys(spark, sf)).select("clause_id", F.round(F.col("lrsi") + 1e-7, 3).alias("lrsi"), F.lit(name).alias("scenario"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy("clause_id").agg(*[F.max(F.when(F.col("scenario") == n, F.col("lrsi"))).alias(n) for n in runs])
 

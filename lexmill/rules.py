@@ -29,39 +29,212 @@ class ClauseRule(NamedTuple):
 # Clause categories with keywords and regex, in rule order.
 CLAUSE_RULES: list[ClauseRule] = [
     ClauseRule("Termination",
-               ("terminate", "termination", "expiry", "expiration", "material breach", "cure period",
-                "written notice", "termination for cause", "notice of termination", "early termination"),
-               r"\bterminate\b|\btermination\b|\bexpiry\b|\bexpiration\b|\bbreach\b|\bterminat(ing|ed)\b"),
+               ("terminate", "termination", "expiry", "expiration", "material breach", "cure period", "written notice",
+                "terminate for convenience", "termination for cause", "notice of termination", "early termination", "wind down",
+                "cessation of services"),
+               r"\bterminate\b|\btermination\b|\bexpiry\b|\bexpiration\b|\bbreach\b|\bwind[\s-]?down\b|"
+               r"\bcease\s+to\s+be\s+effective\b|\bterminat(ing|ed)\b"),
     ClauseRule("Liability",
-               ("liability", "limitation of liability", "liable", "cap", "indirect damages",
-                "consequential damages", "aggregate liability", "no event shall"),
+               ("liability", "limitation of liability", "liable", "cap", "indirect damages", "consequential damages",
+                "special damages", "limitation of damages", "aggregate liability", "exclusion of liability", "punitive damages",
+                "no event shall"),
                r"\bliab(le|ility)\b|\blimit(ation)?\s+of\s+liability\b|\bconsequential\s+damages\b|"
-               r"\baggregate\s+liability\b"),
+               r"\bexclu(de|sion)\s+of\s+liability\b|\baggregate\s+liability\b|\bpunitive\s+damages\b"),
     ClauseRule("Confidentiality",
-               ("confidential", "confidentiality", "non-disclosure", "nda", "proprietary information",
-                "trade secret", "protected information"),
-               r"\bconfidential(ity)?\b|\bnon-disclosure\b|\bproprietary\b|\bsecrets?\b"),
+               ("confidential", "confidentiality", "non-disclosure", "nda", "proprietary information", "trade secret",
+                "non-disclosure agreement", "confidential disclosure", "protected information", "restricted information"),
+               r"\bconfidential(ity)?\b|\bnon-disclosure\b|\bproprietary\b|\bsecrets?\b|\bnon-disclosure\s+agreement\b|"
+               r"\brestricted\s+information\b|\bprotected\s+information\b"),
     ClauseRule("Arbitration",
-               ("arbitration", "arbitrate", "arbitrator", "binding", "dispute resolution", "mediation"),
-               r"\barbitrat(e|ion|or)\b|\bdispute\s+resolution\b|\bmediation\b|\bfinal\s+and\s+binding\b"),
+               ("arbitration", "arbitrate", "arbitrator", "aaa", "jams", "binding", "dispute resolution", "icc", "uncitral",
+                "mediation", "final and binding", "arbitral tribunal"),
+               r"\barbitrat(e|ion|or)\b|\bdispute\s+resolution\b|\bmediation\b|\bfinal\s+and\s+binding\b|\barbitral\s+tribunal\b|"
+               r"\bicc\b|\buncitral\b"),
     ClauseRule("Payment",
-               ("payment", "invoice", "fee", "price", "billing", "due date", "interest", "reimbursement"),
-               r"\bpay(ment)?s?\b|\binvoic(es?|ing)\b|\bfee(s)?\b|\bbill(ing)?\b"),
+               ("payment", "invoice", "fee", "price", "billing", "due date", "interest", "reimbursement", "remuneration",
+                "consideration", "wire transfer", "net 30", "late payment", "outstanding balance", "invoiced amount"),
+               r"\bpay(ment)?s?\b|\binvoic(es?|ing)\b|\bfee(s)?\b|\bbill(ing)?\b|\bremuneration\b|\bconsideration\b|"
+               r"\bwire\s+transfer\b|\bnet\s+\d+\b|\boutstanding\s+balance\b"),
     ClauseRule("Indemnity",
-               ("indemnify", "indemnity", "indemnification", "hold harmless", "defend", "losses", "claims"),
-               r"\bindemni(fy|t|fication)\b|\bhold\s+harmless\b|\bdefend\b"),
+               ("indemnify", "indemnity", "indemnification", "hold harmless", "defend", "losses", "claims", "indemnitee",
+                "indemnitor", "third-party claim", "hold-harmless", "liabilities arising"),
+               r"\bindemni(fy|t|fication)\b|\bhold\s+harmless\b|\bdefend\b|\bindemnit(ee|or)\b|\bthird[\s-]?party\s+claims?\b"),
     ClauseRule("Compliance",
-               ("compliance", "comply", "applicable laws", "regulations", "sanctions", "anti-corruption"),
-               r"\bcompli(ance|y|ied)\b|\bapplicable\s+laws?\b|\bregulations?\b"),
+               ("compliance", "comply", "applicable laws", "regulations", "sanctions", "anti-corruption", "fcpa",
+                "regulatory requirements", "legal requirements", "governmental authority", "code of conduct", "aml", "kyc",
+                "data protection laws"),
+               r"\bcompli(ance|y|ied)\b|\bapplicable\s+laws?\b|\bregulations?\b|\bregulatory\s+requirements?\b|"
+               r"\bgovernmental\s+authority\b|\bcode\s+of\s+conduct\b|\baml\b|\bkyc\b"),
     ClauseRule("Jurisdiction",
-               ("jurisdiction", "governing law", "venue", "forum", "courts of", "governed by", "state of"),
-               r"\bjurisdiction\b|\bgoverning\s+law\b|\bvenue\b|\bforum\b|\bchoice\s+of\s+law\b"),
+               ("jurisdiction", "governing law", "venue", "forum", "courts of", "governed by", "state of",
+                "exclusive jurisdiction", "choice of law", "submit to the jurisdiction", "courts located in"),
+               r"\bjurisdiction\b|\bgoverning\s+law\b|\bvenue\b|\bforum\b|\bchoice\s+of\s+law\b|\bexclusive\s+jurisdiction\b|"
+               r"\bsubmit\s+to\s+the\s+jurisdiction\b"),
     ClauseRule("Force Majeure",
-               ("force majeure", "act of god", "natural disaster", "unforeseeable", "war", "strike"),
-               r"\bforce\s+majeure\b|\bact\s+of\s+god\b|\bunforeseeable\b"),
+               ("force majeure", "act of god", "natural disaster", "unforeseeable", "war", "strike", "riot", "fire", "pandemic",
+                "epidemic", "government action", "beyond reasonable control", "acts of terrorism"),
+               r"\bforce\s+majeure\b|\bact\s+of\s+god\b|\bunforeseeable\b|\bpandemic\b|\bepidemic\b|"
+               r"\bbeyond\s+(its\s+|their\s+|the\s+)?reasonable\s+control\b|\bacts?\s+of\s+terrorism\b"),
+    ClauseRule("Assignment",
+               ("assign", "assignment", "assignable", "transfer of rights", "delegate", "successors and assigns", "novation"),
+               r"\bassign(s|ed|ment|able)?\b|\bnovation\b|\bsuccessors\s+and\s+assigns\b|\bdelegat(e|ion)\b"),
+    ClauseRule("Amendment",
+               ("amendment", "amend", "modification", "modify", "written consent of both parties", "supplement", "revise"),
+               r"\bamend(ment|ed|s)?\b|\bmodif(y|ication|ied)\b|\bsupplement(al)?\b"),
+    ClauseRule("Entire Agreement",
+               ("entire agreement", "integration clause", "supersedes", "entire understanding", "whole agreement", "merger clause"),
+               r"\bentire\s+agreement\b|\bintegration\s+clause\b|\bsupersede(s)?\b|\bwhole\s+agreement\b|\bmerger\s+clause\b"),
+    ClauseRule("Severability",
+               ("severability", "severable", "unenforceable provision", "invalid provision", "remainder shall remain"),
+               r"\bsever(ability|able)\b|\bunenforceable\b|\binvalid\s+or\s+unenforceable\b|\bremain(der|ing)\s+provisions?\b"),
     ClauseRule("Notices",
-               ("notice", "notices", "notify", "registered mail", "certified mail"),
-               r"\bnotices?\b|\bnotify\b|\bregistered\s+mail\b|\bcertified\s+mail\b"),
+               ("notice", "notices", "notify", "written notice", "delivered by hand", "registered mail", "certified mail",
+                "email notice"),
+               r"\bnotices?\b|\bnotify\b|\bregistered\s+mail\b|\bcertified\s+mail\b|\bdeliver(ed|y)\s+(by|to)\b"),
+    ClauseRule("Waiver",
+               ("waiver", "waive", "no waiver", "failure to enforce", "waived right"),
+               r"\bwaiv(er|e|ed)\b|\bfailure\s+to\s+enforce\b|\bno\s+waiver\b"),
+    ClauseRule("Representations and Warranties",
+               ("represents and warrants", "representation", "warranty", "warrants that", "each party represents"),
+               r"\brepresent(s|ation)?\s+and\s+warrant(s|y|ies)?\b|\brepresents\s+and\s+warrants\b|\bwarrants?\s+that\b"),
+    ClauseRule("Warranty Disclaimer",
+               ("as is", "disclaims all warranties", "no warranty", "without warranty", "merchantability",
+                "fitness for a particular purpose"),
+               r"\bdisclaims?\s+(all\s+)?warrant(y|ies)\b|\bas[\s-]is\b|\bmerchantability\b|"
+               r"\bfitness\s+for\s+a\s+particular\s+purpose\b"),
+    ClauseRule("Intellectual Property",
+               ("intellectual property", "copyright", "trademark", "patent", "trade secret", "ip rights", "work product",
+                "license grant"),
+               r"\bintellectual\s+property\b|\bcopyright(s)?\b|\btrademark(s)?\b|\bpatent(s)?\b|\bwork\s+product\b|"
+               r"\blicense\s+grant\b"),
+    ClauseRule("Restrictive Covenants",
+               ("non-compete", "non-competition", "non-solicitation", "non-circumvention", "restrictive covenant",
+                "competing business", "solicit employees"),
+               r"\bnon[\s-]?compet(e|ition)\b|\bnon[\s-]?solicit(ation)?\b|\bnon[\s-]?circumvent(ion)?\b|"
+               r"\brestrictive\s+covenant\b"),
+    ClauseRule("Data Protection",
+               ("data protection", "personal data", "privacy policy", "gdpr", "data processing", "data subject", "data breach",
+                "medical information", "medical records", "health information", "health records"),
+               r"\bdata\s+protection\b|\bpersonal\s+data\b|\bprivacy\s+polic(y|ies)\b|\bgdpr\b|\bdata\s+process(ing|or)\b|"
+               r"\bdata\s+breach\b|\bmedical\s+(information|records)\b|\bhealth\s+(information|records)\b"),
+    ClauseRule("Insurance Requirements",
+               ("maintain insurance", "insurance coverage", "certificate of insurance", "additional insured",
+                "general liability insurance", "workers compensation insurance"),
+               r"\bmaintain\s+insurance\b|\bcertificate\s+of\s+insurance\b|\badditional\s+insured\b|"
+               r"\bworkers[\s']?\s+compensation\b|\bgeneral\s+liability\s+insurance\b"),
+    ClauseRule("Independent Contractor",
+               ("independent contractor", "not an employee", "no employer-employee relationship", "self-employed"),
+               r"\bindependent\s+contractor\b|\bnot\s+an\s+employee\b|\bemployer[\s-]employee\s+relationship\b"),
+    ClauseRule("Counterparts",
+               ("counterparts", "executed in counterparts", "duplicate originals", "facsimile signature", "electronic signature",
+                "in witness whereof", "witness", "executed by", "execution", "signature block"),
+               r"\bcounterparts?\b|\bduplicate\s+originals?\b|\belectronic\s+signature\b|\bfacsimile\s+signature\b|"
+               r"\bin\s+witness\s+whereof\b|\bwitness(es)?\b|\bexecuted\s+by\b|\bexecution\b|\bsignature\s+block\b"),
+    ClauseRule("Survival",
+               ("survival", "survive termination", "survive expiration", "shall survive"),
+               r"\bsurviv(al|e|es|ed)\b|\bshall\s+survive\b"),
+    ClauseRule("Third-Party Beneficiaries",
+               ("third-party beneficiary", "no third party rights", "no third-party beneficiaries"),
+               r"\bthird[\s-]?party\s+benefici(ary|aries)\b|\bno\s+third[\s-]?party\s+rights\b"),
+    ClauseRule("Audit Rights",
+               ("audit", "right to audit", "inspect records", "books and records", "audit rights"),
+               r"\baudit(s|ing)?\b|\bright\s+to\s+audit\b|\binspect\s+records\b|\bbooks\s+and\s+records\b"),
+    ClauseRule("Coverage and Scope",
+               ("coverage", "covered loss", "scope of coverage", "insured event", "sum insured", "policy limits",
+                "insuring clause", "covers", "covered by", "driver eligibility", "authorized driver", "permitted use",
+                "limitations as to use"),
+               r"\bcoverage\b|\bcovered\s+(loss|event|peril|by)\b|\bcovers?\b|\bsum\s+insured\b|\bpolicy\s+limits?\b|"
+               r"\binsuring\s+clause\b|\bdriver\s+eligibility\b|\bauthorized\s+driver(s)?\b|\bpermitted\s+use\b|"
+               r"\blimitations?\s+as\s+to\s+use\b"),
+    ClauseRule("Premium",
+               ("premium", "premium payment", "premium due", "grace period", "premium amount"),
+               r"\bpremium(s)?\b|\bgrace\s+period\b"),
+    ClauseRule("Deductible and Exclusions",
+               ("deductible", "exclusion", "excluded loss", "not covered", "policy exclusions"),
+               r"\bdeductible(s)?\b|\bexclu(sion|ded)s?\b|\bnot\s+covered\b"),
+    ClauseRule("Claims Procedure",
+               ("claim", "claims procedure", "notice of claim", "proof of loss", "file a claim", "claims adjuster"),
+               r"\bclaims?\b|\bproof\s+of\s+loss\b|\bclaims?\s+adjuster\b|\bfile\s+a\s+claim\b"),
+    ClauseRule("Beneficiary Designation",
+               ("beneficiary", "named beneficiary", "beneficiary designation", "policyholder", "insured party"),
+               r"\bbenefici(ary|aries)\b|\bpolicyholder\b|\binsured\s+part(y|ies)\b"),
+    ClauseRule("Policy Period and Renewal",
+               ("policy period", "effective date", "renewal", "policy term", "expiration date of the policy"),
+               r"\bpolicy\s+(period|term)\b|\brenewal\b|\beffective\s+date\b"),
+    ClauseRule("Cancellation",
+               ("cancellation", "cancel the policy", "right to cancel", "cancellation notice", "non-renewal", "void",
+                "void ab initio", "null and void"),
+               r"\bcancel(lation|led|s)?\b|\bnon[\s-]?renewal\b|\bvoid\b|\bvoid\s+ab\s+initio\b|\bnull\s+and\s+void\b"),
+    ClauseRule("Subrogation",
+               ("subrogation", "subrogate", "right of subrogation", "waiver of subrogation"),
+               r"\bsubrogat(ion|e)\b"),
+    ClauseRule("Compensation and Benefits",
+               ("salary", "wages", "compensation", "bonus", "benefits", "base pay", "annual salary", "employee benefits"),
+               r"\bsalary\b|\bwages\b|\bcompensation\b|\bbonus(es)?\b|\bbase\s+pay\b|\bemployee\s+benefits\b"),
+    ClauseRule("Rent and Lease Payments",
+               ("rent", "monthly rent", "rental payment", "lease payment", "rent due"),
+               r"\brent(al)?\b|\blease\s+payment\b|\brent\s+due\b"),
+    ClauseRule("Security Deposit",
+               ("security deposit", "deposit refund", "damage deposit", "return of deposit"),
+               r"\bsecurity\s+deposit\b|\bdamage\s+deposit\b|\breturn\s+of\s+(the\s+)?deposit\b"),
+    ClauseRule("Maintenance and Repairs",
+               ("maintenance", "repairs", "upkeep", "landlord shall maintain", "tenant shall maintain", "condition of premises"),
+               r"\bmaintenance\b|\brepairs?\b|\bupkeep\b|\bcondition\s+of\s+(the\s+)?premises\b"),
+    ClauseRule("Delivery and Risk of Loss",
+               ("delivery", "risk of loss", "shipping terms", "fob", "title passes", "delivery date"),
+               r"\bdelivery\b|\brisk\s+of\s+loss\b|\bshipping\s+terms\b|\bfob\b|\btitle\s+passes\b"),
+    ClauseRule("Inspection and Acceptance",
+               ("inspection", "acceptance", "reject the goods", "acceptance testing", "inspect and accept"),
+               r"\binspection\b|\bacceptance\b|\breject(ed|ion)?\s+(the\s+)?goods\b|\bacceptance\s+testing\b"),
+    ClauseRule("Interest and Fees",
+               ("interest rate", "annual percentage rate", "apr", "late fee", "penalty interest", "default interest"),
+               r"\binterest\s+rate\b|\bannual\s+percentage\s+rate\b|\bapr\b|\bdefault\s+interest\b|\blate\s+fee\b"),
+    ClauseRule("Collateral and Security Interest",
+               ("collateral", "security interest", "lien", "pledge", "secured party", "encumbrance"),
+               r"\bcollateral\b|\bsecurity\s+interest\b|\blien(s)?\b|\bpledge(d)?\b|\bencumbrance(s)?\b"),
+    ClauseRule("Covenants",
+               ("affirmative covenant", "negative covenant", "financial covenant", "covenant to", "borrower shall"),
+               r"\bcovenant(s)?\b|\baffirmative\s+covenant\b|\bnegative\s+covenant\b|\bfinancial\s+covenant\b"),
+    ClauseRule("Events of Default",
+               ("event of default", "default", "acceleration", "cross-default", "cure period", "remedies upon default"),
+               r"\bevent(s)?\s+of\s+default\b|\bdefault(ed|s)?\b|\bacceleration\b|\bcross[\s-]?default\b"),
+    ClauseRule("Capital Contribution",
+               ("capital contribution", "contribute capital", "initial contribution", "additional contribution", "capital account"),
+               r"\bcapital\s+contribution(s)?\b|\bcapital\s+account\b"),
+    ClauseRule("Profit and Loss Allocation",
+               ("profit and loss", "profits and losses", "distribution of profits", "allocation of profits", "share of profits",
+                "loss allocation"),
+               r"\bprofit(s)?\s+and\s+loss(es)?\b|\ballocation\s+of\s+profits?\b|\bdistribution\s+of\s+profits?\b"),
+    ClauseRule("Dissolution and Withdrawal",
+               ("dissolution", "withdrawal of a partner", "winding up", "dissolve the partnership", "exit of a partner"),
+               r"\bdissolution\b|\bdissolve(d)?\b|\bwinding\s+up\b|\bwithdrawal\s+of\s+(a\s+)?partner\b"),
+    ClauseRule("Relationship of Parties",
+               ("relationship of the parties", "independent parties", "no partnership", "no joint venture", "no agency"),
+               r"\brelationship\s+of\s+the\s+parties\b|\bno\s+(partnership|joint\s+venture|agency)\s+is\s+created\b|"
+               r"\bindependent\s+parties\b"),
+    ClauseRule("Dispute Resolution",
+               ("dispute resolution", "mediation", "litigation", "negotiate in good faith", "escalation procedure",
+                "resolve disputes"),
+               r"\bdispute\s+resolution\b|\bmediation\b|\blitigation\b|\bnegotiate\s+in\s+good\s+faith\b|\bresolve\s+disputes?\b"),
+    ClauseRule("Recitals and Background",
+               ("borrower", "lender", "employer", "employee", "party identification", "registered office", "registered address",
+                "residing at", "purpose of agreement", "this agreement is made", "whereas", "recitals", "background"),
+               r"\bwhereas\b|\brecitals\b|\bbackground\b|\bthis\s+agreement\s+is\s+made\b|"
+               r"\bpurpose\s+of\s+(this\s+|the\s+)?agreement\b|\bregistered\s+(office|address)\b|\bresiding\s+at\b"),
+    ClauseRule("Term and Duration",
+               ("term of agreement", "duration", "effective period", "shall continue", "months", "years", "commencement",
+                "agreement period"),
+               r"\bterm\s+of\s+(this\s+|the\s+)?agreement\b|\bagreement\s+period\b|\beffective\s+period\b|\bshall\s+continue\b|"
+               r"\bcommenc(e|ement|ing)\b|\bduration\b"),
+    ClauseRule("Workplace Monitoring and Surveillance",
+               ("surveillance", "monitoring", "camera", "cctv", "microphone", "tracking device", "gps tracking",
+                "employee monitoring", "remote monitoring", "workplace monitoring"),
+               r"\bsurveillance\b|\bmonitor(ing)?\b|\bcamera(s)?\b|\bcctv\b|\bmicrophone(s)?\b|\btracking\s+device(s)?\b|"
+               r"\bgps\s+tracking\b|\bemployee\s+monitoring\b|\bremote\s+monitoring\b|\bworkplace\s+monitoring\b"),
+    ClauseRule("Leave and Time Off",
+               ("annual leave", "sick leave", "emergency leave", "paid leave", "vacation", "pto", "time off", "leave policy"),
+               r"\bannual\s+leave\b|\bsick\s+leave\b|\bemergency\s+leave\b|\bpaid\s+leave\b|\bvacation\b|\bpto\b|\btime\s+off\b|"
+               r"\bleave\s+polic(y|ies)\b"),
 ]
 
 # Importance tiers and their base scores.
