@@ -58,15 +58,23 @@ def line_classes(rows: DataFrame, min_chars: int) -> DataFrame:
                                     *[F.min(f"k{side}{name}").alias(f"k{side}{name}") for side in (0, 1) for name in "ab"])
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A written table, sent to every executor where it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """Keys that more than one row holds."""
+    return cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+
+
 def sharing_classes(classes: DataFrame) -> DataFrame:
-    """Classes that share a half with another class, with the side of that half."""
-    halves = classes.select(*LINE, "first", F.inline(F.array(*[
-        F.struct(F.col(f"k{side}{name}").alias("key"), F.lit(side).alias("side")) for side in (0, 1) for name in "ab"])))
-    known = halves.filter("key IS NOT NULL")
-    shared = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return known.join(shared, "key", "left_semi").groupBy(*LINE).agg(
-        F.min("first").alias("first"), F.max((F.col("side") == 0).cast("int")).alias("front"),
-        F.max((F.col("side") == 1).cast("int")).alias("back"))
+    """Classes that share a half with another class, with their first place and which half it is."""
+    halves = classes.select(*LINE, F.inline(F.array(*[
+        F.struct(F.col(f"k{side}{name}").alias("key"), F.lit(side).alias("side")) for side in (0, 1) for name in "ab"]))).filter("key IS NOT NULL")
+    found = halves.join(sized(shared_keys(halves)), "key", "left_semi").groupBy(*LINE).agg(
+        F.max((F.col("side") == 0).cast("int")).alias("front"), F.max((F.col("side") == 1).cast("int")).alias("back"))
+    return classes.select(*LINE, "first").join(sized(cut_lineage(found)), LINE)
 
 
 MIX, UNMIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -107,7 +115,7 @@ def listed(found: list[tuple]) -> pd.DataFrame:
 def earliest_neighbours(near: DataFrame) -> DataFrame:
     """h1, h2 and the first place of the earliest other class within one edit, verified on the texts."""
     emitted = near.select(*LINE, "line", "front", "back").mapInPandas(variants, "h1 long, h2 long, key long, place int")
-    keys = emitted.join(near.select(*LINE, "first"), LINE)
+    keys = cut_lineage(emitted.join(sized(shared_keys(emitted)), "key", "left_semi").join(near.select(*LINE, "first"), LINE))
     who = F.struct("first", *LINE)
     left_out = F.when(F.col("place") >= 0, who)
     replaced = keys.filter("place >= 0").groupBy("key", "place").agg(F.min(who).alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -132,8 +140,8 @@ def kept_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         wanted = F.broadcast(wanted)
     near = cut_lineage(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash"))).select(
         *LINE, "first", "front", "back", F.get(F.split("text", "\n"), F.col("_line")).alias("line")).dropDuplicates(LINE))
-    gone = earliest_neighbours(near).select(*LINE, "other_first")
-    kept = classes.join(gone, LINE, "left").filter("other_first IS NULL OR other_first > first").select("first.*")
+    gone = cut_lineage(earliest_neighbours(near).select(*LINE, "other_first"))
+    kept = classes.join(sized(gone), LINE, "left").filter("other_first IS NULL OR other_first > first").select("first.*")
     return kept.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
 
 
