@@ -210,9 +210,9 @@ def document_type(df: DataFrame, text: Column, type_patterns: dict[str, list[str
 
 
 def language(df: DataFrame, text: Column, profiles: dict[str, list[str]] | None = None) -> DataFrame:
-    """Language whose function words are most frequent in the first 2000 characters."""
+    """Language whose function words are most frequent in the text."""
     profiles = profiles or rules.LANGUAGE_PROFILES
-    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 2000))
+    head = F.lower(F.coalesce(text, F.lit("")))
     tokens = F.filter(F.split(head, "[^a-z]+"), lambda t: t != "")
     def hits(words):
         return F.size(F.filter("_tokens", lambda t: t.isin(words)))

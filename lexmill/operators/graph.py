@@ -2,60 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import cut_lineage
 from .classify import once
 
-MAX_NODES, MAX_EDGES = 25, 40
+@dataclass(frozen=True)
+class Caps:
+    """Most nodes, edges and mentions kept per document, and label lengths; None keeps all."""
+
+    nodes: int | None = None
+    edges: int | None = None
+    dates: int | None = None
+    amounts: int | None = None
+    obligations: int | None = None
+    jurisdictions: int | None = None
+    penalties: int | None = None
+    label: int | None = None
+    action: int | None = None
+
+
+#: The sizes of the small graph that a page shows.
+DISPLAY = Caps(25, 40, 5, 5, 15, 3, 5, 60, 40)
+
 
+def _first(items: Column | str, n: int | None) -> Column:
+    return F.slice(items, 1, n) if n is not None else F.col(items) if isinstance(items, str) else items
 
-def entity_nodes(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, node_no, node_type, label): at most 25 nodes per document text.
 
-    Order: parties, five dates, five amounts, penalties, jurisdictions, then
-    obligation parties and targets; a repeated key keeps its first place.
+def _short(text: Column, n: int | None) -> Column:
+    return F.substring(text, 1, n) if n is not None else text
+
+
+def entity_nodes(docs: DataFrame, text: str, caps: Caps = Caps()) -> DataFrame:
+    """(doc_id, node_no, node_type, label) of each document text.
+
+    Order: parties, dates, amounts, penalties, jurisdictions, then obligation
+    parties and targets; a repeated key keeps its first place.
     """
     t = F.col(text)
     df = once(docs.select("doc_id", t.alias(text)), F.struct(
         X.parties(t).alias("_p"), X.dates(t).alias("_d"), X.money(t).alias("_m"), X.penalties(t).alias("_f"),
-        F.array_sort(X.jurisdictions(t)).alias("_j"), F.slice(X.obligations(t), 1, 15).alias("_o")))
+        F.array_sort(X.jurisdictions(t)).alias("_j"), _first(X.obligations(t), caps.obligations).alias("_o")))
 
     def node(kind, label, key):
-        return F.struct(F.lit(kind).alias("node_type"), F.substring(label, 1, 60).alias("label"),
+        return F.struct(F.lit(kind).alias("node_type"), _short(label, caps.label).alias("label"),
                         F.concat(F.lit(f"{kind}:"), key).alias("key"))
     listed = F.concat(
         F.transform("_p", lambda p: node("party", p["short_name"], F.lower(p["short_name"]))),
-        F.transform(F.slice("_d", 1, 5), lambda d: node("date", d, d)),
-        F.transform(F.slice("_m", 1, 5), lambda m: node("money", m, m)),
+        F.transform(_first("_d", caps.dates), lambda d: node("date", d, d)),
+        F.transform(_first("_m", caps.amounts), lambda m: node("money", m, m)),
         F.transform("_f", lambda p: node("penalty", p, F.lower(p))),
         F.transform("_j", lambda j: node("jurisdiction", j, F.lower(j))),
         F.flatten(F.transform("_o", lambda o: F.array(
             node("party", o["subject"], F.lower(o["subject"])),
-            node("obligation", F.substring(o["action"], 1, 40), F.lower(F.substring(o["action"], 1, 40)))))))
+            node("obligation", _short(o["action"], caps.action), F.lower(_short(o["action"], caps.action)))))))
     df = once(df, F.struct(listed.alias("_n")))
     keys = F.transform("_n", lambda n: n["key"])
     first = F.filter("_n", lambda n, i: F.array_position(keys, n["key"]) == i + 1)
-    return df.select("doc_id", F.posexplode(F.slice(first, 1, MAX_NODES)).alias("node_no", "_x"), "_o", "_p").select(
+    return df.select("doc_id", F.posexplode(_first(first, caps.nodes)).alias("node_no", "_x"), "_o", "_p").select(
         "doc_id", "node_no", "_x.node_type", "_x.label", "_x.key", "_o", "_p")
 
 
-def entity_graph(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): obligation edges and edges from the first party, at most 40 per document."""
-    rows = entity_nodes(docs, text)
+def entity_graph(docs: DataFrame, text: str, caps: Caps = Caps()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): obligation edges and edges from the first party."""
+    rows = entity_nodes(docs, text, caps)
     nodes = rows.select("doc_id", F.concat(F.lit("n"), F.col("node_no").cast("string")).alias("node_id"), "node_type", "label", "key", "node_no")
     duty = rows.filter("node_no = 0").select("doc_id", F.posexplode("_o").alias("ord", "o")).select(
         "doc_id", "ord", F.concat(F.lit("party:"), F.lower("o.subject")).alias("sk"),
-        F.concat(F.lit("obligation:"), F.lower(F.substring("o.action", 1, 40))).alias("tk"), F.col("o.modal").alias("relation"))
+        F.concat(F.lit("obligation:"), F.lower(_short(F.col("o.action"), caps.action))).alias("tk"), F.col("o.modal").alias("relation"))
     a = nodes.select("doc_id", F.col("key").alias("sk"), F.col("node_id").alias("source_id"))
     b = nodes.select("doc_id", F.col("key").alias("tk"), F.col("node_id").alias("target_id"))
     duties = duty.join(a, ["doc_id", "sk"]).join(b, ["doc_id", "tk"]).select("doc_id", "source_id", "target_id", "relation",
                                                                             F.lit(0).alias("family"), "ord")
     anchor = rows.filter((F.col("node_no") == 0) & (F.size("_p") > 0)).select("doc_id", F.lit("n0").alias("source_id"))
-    kinds = {"jurisdiction": ("governed by", 1, 3), "date": ("dated", 2, 5), "money": ("involves payment", 3, 5),
-             "penalty": ("subject to", 4, 5)}
+    every = 1 << 30
+    kinds = {"jurisdiction": ("governed by", 1, caps.jurisdictions or every), "date": ("dated", 2, caps.dates or every),
+             "money": ("involves payment", 3, caps.amounts or every), "penalty": ("subject to", 4, caps.penalties or every)}
     w = Window.partitionBy("doc_id", "node_type").orderBy("node_no")
     ranked = nodes.filter(F.col("node_type").isin(list(kinds))).withColumn("_k", F.row_number().over(w))
     meta = F.create_map(*[x for k, (rel, fam, cap) in kinds.items() for x in (
@@ -64,7 +92,9 @@ def entity_graph(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
         "doc_id", "source_id", F.col("node_id").alias("target_id"), F.col("_m.rel").alias("relation"), F.col("_m.fam").alias("family"),
         F.col("node_no").alias("ord"))
     cap = Window.partitionBy("doc_id").orderBy("family", "ord")
-    edges = duties.unionByName(extra).withColumn("_e", F.row_number().over(cap)).filter(F.col("_e") <= MAX_EDGES)
+    edges = duties.unionByName(extra)
+    if caps.edges is not None:
+        edges = edges.withColumn("_e", F.row_number().over(cap)).filter(F.col("_e") <= caps.edges)
     return nodes.drop("key", "node_no"), edges.select("doc_id", "source_id", "target_id", "relation")
 
 
@@ -109,14 +139,17 @@ def reachable(edges: DataFrame, hops: int = 3) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
-    """Shortest directed path per (doc_id, source, target), smallest node list on ties; breadth-first over all pairs."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Shortest directed path per (doc_id, source, target), smallest node list on ties; breadth-first over all pairs.
+
+    Without max_hops the search ends when no new node is met.
+    """
     step = edges.select("doc_id", F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
     front = pairs.select("doc_id", "source", "target", F.col("source").alias("node"), F.array("source").alias("path"))
     found = front.filter("source = target").select("doc_id", "source", "target", "path")
     front = front.filter("source <> target")
     visited = front.select("doc_id", "source", "target", "node")
-    for _ in range(max_hops):
+    for _ in range(max_hops) if max_hops is not None else itertools.count():
         grown = front.join(step, ["doc_id", "node"]).select("doc_id", "source", "target", F.col("next").alias("node"),
                                                             F.array_append("path", F.col("next")).alias("path"))
         best = grown.groupBy("doc_id", "source", "target", "node").agg(F.min("path").alias("path"))

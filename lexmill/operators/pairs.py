@@ -99,7 +99,7 @@ def pivoted(members: DataFrame, conflict: Conflict, by: list[str], sig: str) ->
     return members.join(labelled.select(*by, sig, "component"), [*by, sig])
 
 
-def components(edges: DataFrame, by: list[str], max_iter: int = 50) -> DataFrame:
+def components(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, component): smallest node id reachable, by label propagation with pointer jumping.
 
     Each round is one join and one combined minimum; rounds are written to the
@@ -108,7 +108,7 @@ def components(edges: DataFrame, by: list[str], max_iter: int = 50) -> DataFrame
     both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(max_iter):
+    while True:
         near = both.join(labels.select(*by, F.col("node").alias("b"), "component"), [*by, "b"]).groupBy(
             *by, F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, [*by, "node"]).withColumn("best", F.least("component", "near"))
@@ -119,7 +119,6 @@ def components(edges: DataFrame, by: list[str], max_iter: int = 50) -> DataFrame
         labels = new.drop("moved")
         if new.filter("moved").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_iter} rounds")
 
 
 def disjoint_dates(rows: DataFrame) -> DataFrame:
@@ -138,9 +137,12 @@ MAX_TITLE_GROUP = 4
 def duplicate_findings(rows: DataFrame) -> DataFrame:
     """Pairs of clauses with one number or title (titles used 2 to 4 times) whose values or wording differ.
 
-    Number groups are unbounded, so their members are compared with the group's
-    first clause; titles are few and compared pairwise. High when money, dates or
-    durations differ, Medium when the wording ratio is below 0.97.
+    Number groups are unbounded, so no pairs are listed in them: a clause whose money,
+    dates or durations differ from the group's least set is paired with the first
+    clause of that set, and a clause of the least set with the first of the greatest,
+    so every clause with a differing value is in a finding. Wording is compared with
+    the group's first clause. Titles are few and compared pairwise. High when money,
+    dates or durations differ, Medium when the wording ratio is below 0.97.
     """
     facts = rows.select("doc_id", "clause_id", "section_name", "low", "clause_number", "title_key",
                         value_set(F.col("money")).alias("m"), value_set(F.col("dates")).alias("d"),
@@ -148,6 +150,8 @@ def duplicate_findings(rows: DataFrame) -> DataFrame:
     number = facts.filter(F.col("clause_number").isNotNull())
     first = number.groupBy("doc_id", "clause_number").agg(F.min("clause_id").alias("a_id"))
     left = number.select("doc_id", F.col("clause_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("low", "m", "d", "u")])
+    stars = value_stars(number, ["doc_id", "clause_number"], ["m", "d", "u"]).select(
+        "doc_id", F.concat(F.lit("duplicate:clause number:"), "clause_number").alias("topic"), "a_id", "b_id").distinct()
     star = number.join(first, ["doc_id", "clause_number"]).filter(F.col("clause_id") != F.col("a_id")).join(
         left, ["doc_id", "a_id"]).withColumn("topic", F.concat(F.lit("duplicate:clause number:"), "clause_number"))
     titled = facts.filter(F.col("title_key") != "")
@@ -164,20 +168,38 @@ def duplicate_findings(rows: DataFrame) -> DataFrame:
     def differ(c):
         return (F.size(c) > 0) & (F.size(f"a_{c}") > 0) & (F.col(c) != F.col(f"a_{c}"))
     pairs = pairs.withColumn("high", differ("m") | differ("d") | differ("u"))
-    hard = pairs.filter("high").withColumn("severity", F.lit("High"))
+    hard = pairs.filter(F.col("high") & F.col("topic").startswith("duplicate:clause title:")).withColumn("severity", F.lit("High"))
     soft = pairs.filter(~F.col("high") & (F.col("low") != F.col("a_low")))
     far = soft.filter(~similarity.may_reach(F.col("low"), F.col("a_low"), 0.97))
     near = soft.filter(similarity.may_reach(F.col("low"), F.col("a_low"), 0.97)).withColumn(
         "r", similarity.ratio("a_low", "low")).filter(F.col("r") < 0.97).drop("r")
     medium = far.unionByName(near).withColumn("severity", F.lit("Medium"))
-    return hard.unionByName(medium).select("doc_id", F.lit("Duplicate Clause").alias("contradiction_type"), "topic", "severity",
-                                           "a_id", F.col("clause_id").alias("b_id"))
+    found = hard.unionByName(medium).select("doc_id", "topic", "severity", "a_id", F.col("clause_id").alias("b_id")).unionByName(
+        stars.select("doc_id", "topic", F.lit("High").alias("severity"), "a_id", "b_id"))
+    seq = F.when(F.col("topic").startswith("duplicate:clause number:"), 0).otherwise(1)
+    return found.select("doc_id", F.lit("Duplicate Clause").alias("contradiction_type"), "topic", "severity", "a_id", "b_id", seq.alias("detector"))
+
+
+def value_stars(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by, a_id, b_id): every clause whose value set differs from another's in its group, paired with the first clause of
+    the least set, or of the greatest where its own is the least. One pair per clause and value kind."""
+    found = None
+    for c in values:
+        some = rows.filter(F.size(c) > 0)
+        ends = some.groupBy(*by).agg(F.min(F.struct(F.col(c).alias("v"), F.col("clause_id").alias("id"))).alias("_lo"), F.max(c).alias("_hi")).filter(
+            F.col("_lo.v") != F.col("_hi"))
+        tops = some.join(ends, by).filter(F.col(c) == F.col("_hi")).groupBy(*by).agg(F.min("clause_id").alias("_top"))
+        other = F.when(F.col(c) == F.col("_lo.v"), F.col("_top")).otherwise(F.col("_lo.id"))
+        one = some.join(ends, by).join(tops, by).select(*by, F.least("clause_id", other).alias("a_id"), F.greatest("clause_id", other).alias("b_id"))
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
 
 
 def obligation_findings(rows: DataFrame) -> DataFrame:
     """Opposite or diverging obligations of similar subjects.
 
-    Equal statements of a document are collapsed first. Only a negated and a plain
+    Equal statements of a document are compared once, by their first clause; each clause that
+    makes one is then paired with the first clause of the opposed statement. Only a negated and a plain
     statement can be opposite, and only statements with amounts or durations can
     diverge, so the join sides are these subsets; the length bound runs before the
     ratio.
@@ -185,7 +207,8 @@ def obligation_findings(rows: DataFrame) -> DataFrame:
     o = rows.select("doc_id", "clause_id", F.explode("obligations").alias("o"))
     s = o.select("doc_id", "clause_id", F.lower("o.subject").alias("s"), F.lower("o.action").alias("t"),
                  F.lower("o.modal").rlike(r"\bnot\b").alias("neg"))
-    s = s.groupBy("doc_id", "s", "t", "neg").agg(F.min("clause_id").alias("clause_id"))
+    members = s.select("doc_id", F.xxhash64("s", "t", "neg").alias("statement"), "clause_id").distinct()
+    s = s.groupBy("doc_id", "s", "t", "neg").agg(F.min("clause_id").alias("clause_id")).withColumn("statement", F.xxhash64("s", "t", "neg"))
     s = s.withColumn("m", value_set(X.money(F.col("t")))).withColumn("u", value_set(X.durations(F.col("t"))))
     left, right = s.alias("l"), s.alias("r")
     same_doc = F.col("l.doc_id") == F.col("r.doc_id")
@@ -198,25 +221,31 @@ def obligation_findings(rows: DataFrame) -> DataFrame:
         right.filter((F.size("r.m") > 0) | (F.size("r.u") > 0)),
         same_doc & (F.col("l.neg") == F.col("r.neg")) & (F.col("l.clause_id") < F.col("r.clause_id")) & valued & bound)
     amount = (F.size("l.m") > 0) & (F.size("r.m") > 0) & (F.col("l.m") != F.col("r.m"))
-    cols = [F.col("l.doc_id").alias("doc_id"), F.least("l.clause_id", "r.clause_id").alias("a_id"),
-            F.greatest("l.clause_id", "r.clause_id").alias("b_id"), F.col("l.s").alias("s1"), F.col("r.s").alias("s2"),
+    cols = [F.col("l.doc_id").alias("doc_id"), F.col("l.clause_id").alias("l_id"), F.col("r.clause_id").alias("r_id"),
+            F.col("l.statement").alias("l_st"), F.col("r.statement").alias("r_st"), F.col("l.s").alias("s1"), F.col("r.s").alias("s2"),
             F.col("l.t").alias("t1"), F.col("r.t").alias("t2")]
     both = opposite.select(*cols, F.lit("Opposite Statements").alias("contradiction_type"),
                            F.lit("obligation:opposite").alias("topic"), F.lit("High").alias("severity")).unionByName(
         diverging.select(*cols, F.lit("Conflicting Obligations").alias("contradiction_type"),
                          F.when(amount, "obligation:amount").otherwise("obligation:duration").alias("topic"),
-                         F.lit("Medium").alias("severity"))).filter(F.col("a_id") != F.col("b_id"))
+                         F.lit("Medium").alias("severity")))
     scored = both.withColumn("rs", similarity.ratio("s1", "s2")).filter(F.col("rs") >= 0.6).withColumn(
         "rt", similarity.ratio("t1", "t2"))
     opp = F.col("contradiction_type") == "Opposite Statements"
     kept = scored.filter(F.when(opp, F.col("rt") >= 0.55).otherwise(F.col("rt") > 0.4))
-    return kept.select("doc_id", "contradiction_type", "topic", "severity", "a_id", "b_id").distinct()
+    kept = cut_lineage(kept.select("doc_id", "contradiction_type", "topic", "severity", "l_id", "r_id", "l_st", "r_st"))
+    sides = [kept.join(members.withColumnRenamed("statement", f"{mine}_st"), ["doc_id", f"{mine}_st"]).select(
+        "doc_id", "contradiction_type", "topic", "severity", F.col("clause_id").alias("x"), F.col(f"{other}_id").alias("y"))
+        for mine, other in (("l", "r"), ("r", "l"))]
+    every = sides[0].unionByName(sides[1]).filter("x <> y")
+    return every.select("doc_id", "contradiction_type", "topic", "severity", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"),
+                        F.lit(2).alias("detector")).distinct()
 
 
 def first_per_pair(findings: DataFrame, order: str) -> DataFrame:
     """One finding per (document, type, unordered pair): the one of the earliest detector."""
-    w = Window.partitionBy("doc_id", "contradiction_type", F.least("a_id", "b_id"), F.greatest("a_id", "b_id")).orderBy(order, "topic")
-    return findings.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    w = Window.partitionBy("doc_id", "contradiction_type", F.least("a_id", "b_id"), F.greatest("a_id", "b_id")).orderBy(order, "severity", "topic")
+    return findings.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "detector")
 
 
 def issue_members(clauses: DataFrame) -> DataFrame:
@@ -225,7 +254,7 @@ def issue_members(clauses: DataFrame) -> DataFrame:
     keys = ["doc_id", "contradiction_type", "topic"]
     cols = [*keys, "severity", "component", "clause_id", "value"]
     valued = differing(value_members(rows)).select(*cols).unionByName(disjoint_dates(rows).select(*cols))
-    found = cut_lineage(first_per_pair(duplicate_findings(rows).unionByName(obligation_findings(rows)), "topic"))
+    found = cut_lineage(first_per_pair(duplicate_findings(rows).unionByName(obligation_findings(rows)), "detector"))
     comp = components(found.select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b")), keys)
     worst = found.join(comp.withColumnRenamed("node", "a_id"), [*keys, "a_id"]).groupBy(*keys, "component").agg(
         F.max(F.when(F.col("severity") == "High", 3).otherwise(2)).alias("rank"))
@@ -235,19 +264,20 @@ def issue_members(clauses: DataFrame) -> DataFrame:
     return valued.unionByName(paired)
 
 
-def issues(members: DataFrame, limit: int = 20) -> DataFrame:
-    """The ``limit`` most severe issues per document, with clause counts and first clause."""
+def issues(members: DataFrame, limit: int | None = None) -> DataFrame:
+    """The issues of each document, most severe first, with clause counts and first clause; the first ``limit`` if given."""
     keys = ["doc_id", "contradiction_type", "topic", "component"]
     rows = members.groupBy(*keys).agg(F.max("severity").alias("_s"), F.count(F.lit(1)).alias("n_clauses"),
                                       F.min("severity").alias("severity"), F.min("clause_id").alias("first_clause"))
     rank = F.create_map(*[F.lit(x) for kv in rules.SEVERITY_RANK.items() for x in kv])[F.col("severity")]
     w = Window.partitionBy("doc_id").orderBy(rank.desc(), "contradiction_type", "topic", "component")
-    return rows.drop("_s").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    placed = rows.drop("_s").withColumn("place", F.row_number().over(w))
+    return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 
 def semantic_candidates(clauses: DataFrame, flagged: DataFrame, vector: str = "embedding", floor: float = 0.35,
-                        limit: int = 12, planes: DataFrame | None = None) -> DataFrame:
-    """The ``limit`` most similar unflagged clause pairs per document, cosine at least ``floor``.
+                        limit: int | None = None) -> DataFrame:
+    """Unflagged clause pairs of each document with cosine at least ``floor``, best first; the first ``limit`` if given.
 
     Flagged pairs are removed before any cosine is computed and the rank limit is
     applied before the final shuffle.
@@ -262,7 +292,8 @@ def semantic_candidates(clauses: DataFrame, flagged: DataFrame, vector: str = "e
     scored = open_pairs.withColumn("similarity", V.dot(F.col("ua"), F.col("ub"))).drop("ua", "ub").filter(
         F.col("similarity") >= floor)
     w = Window.partitionBy("doc_id").orderBy(F.col("similarity").desc(), "a_id", "b_id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    placed = scored.withColumn("place", F.row_number().over(w))
+    return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 
 def dependencies(clauses: DataFrame, type_rules: list[tuple[str, str, str]] | None = None) -> DataFrame:

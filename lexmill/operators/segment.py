@@ -210,6 +210,22 @@ def page_of(pages: Column, block: Column) -> Column:
     return F.get(F.transform(hit, lambda p: p["page_number"]), F.lit(0))
 
 
+def document_text(sections: DataFrame, order: str, text: str, doc: str = "doc_id", page: str = "page_num", gap: str = "\n\n") -> DataFrame:
+    """Text of each document from its sections in order, and where the first section of each page begins in it.
+
+    A document's own sections meet in one row, as its text does. page_map: array of (page, offset), by page.
+    """
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(page).alias("page"), F.coalesce(text, F.lit("")).alias("t"))))
+    df = sections.groupBy(doc).agg(parts.alias("_parts"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<page: {sections.schema[page].dataType.simpleString()}, offset: int>>").alias("map"))
+    placed = F.aggregate("_parts", begin, lambda acc, p: F.struct(
+        (acc["at"] + F.length(p["t"]) + len(gap)).alias("at"),
+        F.when(F.exists(acc["map"], lambda m: m["page"].eqNullSafe(p["page"])), acc["map"]).otherwise(
+            F.array_append(acc["map"], F.struct(p["page"].alias("page"), acc["at"].alias("offset")))).alias("map")))
+    return df.select(doc, F.array_join(F.transform("_parts", lambda p: p["t"]), gap).alias("full_text"),
+                     F.array_sort(placed["map"]).alias("page_map"))
+
+
 def fold_near_copies(clauses: DataFrame, doc: str = "doc_id", order: str = "block_no", text: str = "text_content",
                      score: str = "confidence_score") -> DataFrame:
     """Collapse near-copies inside a document; slot_no is the place a kept clause takes.

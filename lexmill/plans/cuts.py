@@ -56,7 +56,7 @@ def cut_page_sections(spark, sf):
     return segment.sections_from_pages(pages).select("doc_id", "section_name", "text_content")
 
 
-@query("cut_sections_or_chunks", "G3 G4 G9")
+@query("cut_sections_or_chunks", "G3 G4")
 def cut_sections_or_chunks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text"))
     return segment.sections_or_chunks(docs, "full_text").groupBy("doc_id").agg(
@@ -120,6 +120,17 @@ def cut_clauses(spark, sf):
                                                  "text_content", "start_position", "end_position")
 
 
+@query("cut_document_text", "G9", f"""WITH c AS {ansi_clauses()}, o AS (SELECT doc_id, clause_id, page_num, text_content,
+   coalesce(sum(length(text_content) + 2) OVER (PARTITION BY doc_id ORDER BY clause_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c),
+ m AS (SELECT doc_id, page_num, CAST(min(place) AS BIGINT) AS place FROM o GROUP BY 1, 2)
+SELECT d.doc_id, full_text, pages FROM (SELECT doc_id, string_agg(text_content, chr(10) || chr(10) ORDER BY clause_id) AS full_text FROM c GROUP BY 1) d
+ JOIN (SELECT doc_id, string_agg(concat(page_num, ':', place), ',' ORDER BY page_num) AS pages FROM m GROUP BY 1) p ON p.doc_id = d.doc_id""")
+def cut_document_text(spark, sf):
+    rows = segment.document_text(clauses(spark, sf), "clause_id", T)
+    pages = F.array_join(F.transform("page_map", lambda m: F.concat_ws(":", m["page"].cast("string"), m["offset"].cast("string"))), ",")
+    return rows.select("doc_id", "full_text", pages.alias("pages"))
+
+
 @query("cut_page_of_clause", "G14", PP + """SELECT doc_id, needle, list_position(list_transform(ls, lambda l: contains(lower(l), lower(needle))), true) AS page_num
 FROM (SELECT doc_id, string_split(full_text, chr(10)) AS ls, concat('Signed', CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END) AS needle FROM p)""")
 def cut_page_of_clause(spark, sf):
@@ -199,12 +210,12 @@ def conflict_dates(spark, sf):
 
 @query("conflict_duplicates", "J3 J9")
 def conflict_duplicates(spark, sf):
-    return pairs.first_per_pair(pairs.duplicate_findings(pairs.enriched(clauses(spark, sf))), "topic")
+    return pairs.first_per_pair(pairs.duplicate_findings(pairs.enriched(clauses(spark, sf))), "detector")
 
 
 @query("conflict_obligations", "J8")
 def conflict_obligations(spark, sf):
-    return pairs.obligation_findings(pairs.enriched(clauses(spark, sf)))
+    return pairs.obligation_findings(pairs.enriched(clauses(spark, sf))).drop("detector")
 
 
 @query("conflict_issues", "J10 J11")
@@ -226,7 +237,7 @@ def conflict_components(spark, sf):
   JOIN embeddings ON vec_id = part_no % (SELECT count(*) FROM embeddings)),
  s AS (SELECT a.doc_id, a.clause_id AS a_id, b.clause_id AS b_id, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.doc_id = b.doc_id
    AND a.clause_id < b.clause_id WHERE NOT (b.clause_id % 5 = 1))
-SELECT doc_id, a_id, b_id, round(sim, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, a_id, b_id) AS p FROM s WHERE sim >= 0.35) WHERE p <= 12""")
+SELECT doc_id, a_id, b_id, round(sim, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, a_id, b_id) AS p FROM s WHERE sim >= 0.35)""")
 def conflict_semantic_pairs(spark, sf):
     rows = with_vectors(clauses(spark, sf), spark, sf).select("doc_id", "clause_id", "embedding")
     ids = rows.select("doc_id", "clause_id")

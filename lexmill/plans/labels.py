@@ -148,7 +148,7 @@ def label_document_type(spark, sf):
 SELECT doc_id, CASE WHEN greatest(h0, h1, h2, h3) = 0 THEN 'unknown' WHEN h0 = greatest(h0, h1, h2, h3) THEN 'en'
   WHEN h1 = greatest(h0, h1, h2, h3) THEN 'fr' WHEN h2 = greatest(h0, h1, h2, h3) THEN 'de' ELSE 'es' END AS language, lang
 FROM (SELECT doc_id, lang, {', '.join(f"len(list_filter(w, lambda t: t IN {in_list(ws)})) AS h{i}" for i, ws in enumerate(rules.LANGUAGE_PROFILES.values()))}
- FROM (SELECT doc_id, lang, regexp_split_to_array(lower(substr(text, 1, 2000)), '[^a-z]+') AS w FROM documents))""")
+ FROM (SELECT doc_id, lang, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents))""")
 def label_language(spark, sf):
     return K.language(table(spark, sf, "documents"), F.col("text")).select("doc_id", "language", "lang")
 

@@ -176,7 +176,7 @@ def report_metric_answers(spark, sf):
 
 def doc_pairs(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
-    return o.filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("pair_id"), F.col("o_orderkey").alias("doc_a"), (F.col("o_orderkey") + 1).alias("doc_b"))
+    return o.select(F.col("o_orderkey").alias("pair_id"), F.col("o_orderkey").alias("doc_a"), (F.col("o_orderkey") + 1).alias("doc_b"))
 
 
 @query("compare_changes", "J14 J15 J16 J17")
@@ -188,7 +188,7 @@ def compare_changes(spark, sf):
 _KEYED = ROLL + """, k AS (SELECT *, coalesce(nullif(regexp_extract(section_name, '(?i)\\b(?:Section|Clause|Article|Paragraph)\\s+(\\d+(?:\\.\\d+)*)\\b', 1), ''),
    nullif(regexp_extract(substr(text_content, 1, 200), '(?i)\\b(?:Section|Clause|Article|Paragraph)\\s+(\\d+(?:\\.\\d+)*)\\b', 1), ''),
    nullif(regexp_extract(section_name, '^\\s*(\\d+(?:\\.\\d+)*)\\s*[\\.\\):]?\\s*', 1), '')) AS number FROM r),
- pr AS (SELECT o_orderkey AS pair_id FROM orders WHERE o_orderkey % 6 = 0),
+ pr AS (SELECT o_orderkey AS pair_id FROM orders),
  a AS (SELECT pair_id, number, clause_id, row_number() OVER (PARTITION BY pair_id, number ORDER BY clause_id) AS t FROM pr JOIN k ON doc_id = pair_id WHERE number IS NOT NULL),
  b AS (SELECT pair_id, number, clause_id, row_number() OVER (PARTITION BY pair_id, number ORDER BY clause_id) AS t FROM pr JOIN k ON doc_id = pair_id + 1 WHERE number IS NOT NULL) """
 
@@ -216,7 +216,7 @@ def compare_lines(spark, sf):
 
 
 @query("compare_side_by_side", "J19", ROLL + """, l AS (SELECT doc_id, classification, arg_max(text_content, clause_id) AS t FROM r GROUP BY 1, 2),
- pr AS (SELECT o_orderkey AS pair_id FROM orders WHERE o_orderkey % 6 = 0),
+ pr AS (SELECT o_orderkey AS pair_id FROM orders),
  a AS (SELECT pair_id, classification, t FROM pr JOIN l ON doc_id = pair_id), b AS (SELECT pair_id, classification, t FROM pr JOIN l ON doc_id = pair_id + 1)
 SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.classification, b.classification) AS classification, coalesce(a.t, '*(Clause not present in Agreement A)*') AS text_a,
   coalesce(b.t, '*(Clause not present in Agreement B)*') AS text_b FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.classification = b.classification""")

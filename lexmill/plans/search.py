@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import patterns as P
-from ..operators import graph, pairs, retrieve
+from ..operators import graph, pairs, retrieve, segment
 from .corpus import ansi_clauses, clauses, table
 from .facts import _PARTY_TEXT
 from .registry import query, quoted, rx
@@ -14,13 +14,13 @@ from .scores import ROLL, stored_clauses, with_vectors
 
 VEC = f"""WITH c AS {ansi_clauses()}, v AS (SELECT doc_id, clause_id, supp_no % 10 AS user_id, text_content, CAST(embedding AS DOUBLE[]) AS e FROM c
   JOIN embeddings ON vec_id = part_no % (SELECT count(*) FROM embeddings)),
- q AS (SELECT vec_id AS query_id, vec_id % 10 AS user_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label % 8 = 0),
+ q AS (SELECT vec_id AS query_id, vec_id % 10 AS user_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  s AS (SELECT query_id, clause_id AS vec_key, text_content, list_cosine_similarity(q.e, v.e) AS sim FROM q JOIN v ON q.user_id = v.user_id),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_key) AS rank FROM s) """
 
 
 def questions(spark, sf):
-    return table(spark, sf, "embeddings").filter(F.col("label") % 8 == 0).select(
+    return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("query_id"), (F.col("vec_id") % 10).alias("user_id"), "embedding")
 
 
@@ -31,9 +31,9 @@ def top_pool(spark, sf, k):
     return retrieve.nearest(questions(spark, sf), rows, k, ["user_id"])
 
 
-@query("search_nearest", "V1 S7")
+@query("search_nearest", "V1", VEC + "SELECT query_id, rank, round(sim + 1e-8, 5) AS similarity FROM k WHERE rank <= 5")
 def search_nearest(spark, sf):
-    return top_pool(spark, sf, 5).select("query_id", "rank", F.round("similarity", 5).alias("similarity"))
+    return top_pool(spark, sf, 5).select("query_id", "rank", F.round(F.col("similarity") + 1e-8, 5).alias("similarity"))
 
 
 @query("search_nearest_scores", "V1", VEC + "SELECT query_id, count(*) AS n, round(sum(sim), 4) AS total FROM k WHERE rank <= 20 GROUP BY 1")
@@ -118,20 +118,22 @@ def graph_entity_edges(spark, sf):
 @query("graph_unified", "H2 H3 B2")
 def graph_unified(spark, sf):
     rows = stored_clauses(spark, sf)
-    docs = rows.groupBy("doc_id").agg(F.min_by("text_content", "clause_id").alias("full_text"))
+    docs = segment.document_text(rows, "clause_id", "text_content").select("doc_id", "full_text")
     nodes, edges = graph.entity_graph(docs, "full_text")
     _, kept = graph.unified(rows, nodes, edges, pairs.dependencies(rows))
     return kept.groupBy("doc_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-EDGES_SQL = "SELECT DISTINCT l_suppkey % 25 AS doc_id, l_partkey % 40 AS source_id, (l_partkey * 7 + l_linenumber) % 40 AS target_id FROM lineitem WHERE l_orderkey % 40 = l_partkey % 40"
+_PARTS = "(SELECT max(l_partkey) FROM lineitem)"
+EDGES_SQL = f"SELECT DISTINCT l_suppkey AS doc_id, l_partkey AS source_id, 1 + (l_partkey * 7 + l_linenumber) % {_PARTS} AS target_id FROM lineitem"
 
 
 def edge_rows(spark, sf):
-    """Part-to-part links, a sparse graph per supplier group."""
-    li = table(spark, sf, "lineitem").filter(F.col("l_orderkey") % 40 == F.col("l_partkey") % 40)
-    return li.select((F.col("l_suppkey") % 25).alias("doc_id"), (F.col("l_partkey") % 40).alias("source_id"),
-                     ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 40).alias("target_id"), F.lit("links").alias("relation")).distinct()
+    """Part-to-part links, a sparse graph per supplier."""
+    li = table(spark, sf, "lineitem")
+    last = li.agg(F.max("l_partkey")).scalar()
+    return li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("source_id"),
+                     (F.lit(1) + (F.col("l_partkey") * 7 + F.col("l_linenumber")) % last).alias("target_id"), F.lit("links").alias("relation")).distinct()
 
 
 @query("graph_dependents", "H4", f"SELECT doc_id, target_id AS node, source_id AS dependent FROM ({EDGES_SQL})")
@@ -147,11 +149,12 @@ def graph_reachable(spark, sf):
 
 
 @query("graph_shortest_paths", "H6", f"""WITH RECURSIVE e AS ({EDGES_SQL}), w(doc_id, source, node, hop) AS (SELECT DISTINCT doc_id, source_id, source_id, 0 FROM e
-  UNION SELECT w.doc_id, source, target_id, hop + 1 FROM w JOIN e ON e.doc_id = w.doc_id AND e.source_id = w.node WHERE hop < 6)
-SELECT doc_id, source, node AS target, min(hop) + 1 AS n_nodes FROM w WHERE node = (source + 11) % 40 GROUP BY 1, 2, 3""")
+  UNION SELECT w.doc_id, source, target_id, hop + 1 FROM w JOIN e ON e.doc_id = w.doc_id AND e.source_id = w.node WHERE hop < 30)
+SELECT doc_id, source, node AS target, min(hop) + 1 AS n_nodes FROM w WHERE node = 1 + (source * 49 + 29) % {_PARTS} GROUP BY 1, 2, 3""")
 def graph_shortest_paths(spark, sf):
     e = edge_rows(spark, sf)
-    want = e.select("doc_id", F.col("source_id").alias("source")).distinct().withColumn("target", (F.col("source") + 11) % 40)
+    last = table(spark, sf, "lineitem").agg(F.max("l_partkey")).scalar()
+    want = e.select("doc_id", F.col("source_id").alias("source")).distinct().withColumn("target", F.lit(1) + (F.col("source") * 49 + 29) % last)
     return graph.shortest_paths(e, want).select("doc_id", "source", "target", F.size("path").alias("n_nodes"))
 
 
