@@ -222,3 +222,50 @@ def test_stream_intake(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.select("doc_id").distinct().count() == 2
     assert {r["classification"] for r in out.collect()} == {"Termination", "Structured Field"}
+
+
+def test_number_groups_pair_every_differing_clause(spark):
+    """The first clause of the group holds no amount; the second and third differ."""
+    rows = [(1, 10, "Section 2. Fees", "Section 2. Fees are due."), (1, 11, "Section 2. Fees", "Section 2. Fees of USD 5 are due."),
+            (1, 12, "Section 2. Fees", "Section 2. Fees of USD 10 are due."), (1, 13, "Section 3. Term", "Section 3. Term of USD 7.")]
+    df = spark.createDataFrame(rows, "doc_id long, clause_id long, section_name string, text_content string")
+    found = pairs.first_per_pair(pairs.duplicate_findings(pairs.enriched(df)), "detector").collect()
+    assert {(r.a_id, r.b_id) for r in found if r.severity == "High"} == {(11, 12)}
+
+
+def test_value_stars_touch_what_all_pairs_touch(spark):
+    rng = random.Random(2)
+    rows = [(g, i, [str(v) for v in sorted(rng.sample(range(3), rng.randint(0, 2)))]) for g in range(40) for i in range(rng.randint(1, 6))]
+    df = spark.createDataFrame(rows, "g int, clause_id int, m array<string>")
+    got = {(r.g, c) for r in pairs.value_stars(df, ["g"], ["m"]).collect() for c in (r.a_id, r.b_id)}
+    assert got == {(g, i) for g, i, m in rows for h, j, n in rows if g == h and m and n and m != n}
+
+
+def test_all_clauses_of_an_opposed_statement_are_found(spark):
+    said = ["Supplier shall deliver the goods to the buyer.", "Supplier shall deliver the goods to the buyer.",
+            "Supplier shall not deliver the goods to the buyer."]
+    df = spark.createDataFrame([(1, i, f"{i}. Delivery", t) for i, t in enumerate(said)], "doc_id long, clause_id long, section_name string, text_content string")
+    found = pairs.obligation_findings(pairs.enriched(df)).filter("contradiction_type = 'Opposite Statements'").collect()
+    assert {c for r in found for c in (r.a_id, r.b_id)} == {0, 1, 2}
+
+
+def test_patterns_are_spared_only_where_they_cannot_match():
+    import re
+
+    from lexmill import rules
+    from lexmill.operators import classify
+
+    for rule in rules.CLAUSE_RULES:
+        stems = classify.leading_words(rule.regex)
+        for keyword in rule.keywords:
+            if re.search(rule.regex, keyword) and stems is not None:
+                assert any(s in keyword for s in stems), (rule.category, keyword)
+
+
+def test_document_text_and_page_map(spark):
+    from lexmill.operators import segment
+
+    rows = [(1, 2, "bb", 1), (1, 1, "a", 1), (1, 3, "ccc", 2), (2, 1, None, 5)]
+    got = {r.doc_id: (r.full_text, [tuple(m) for m in r.page_map]) for r in segment.document_text(
+        spark.createDataFrame(rows, "doc_id int, n int, t string, page_num int"), "n", "t").collect()}
+    assert got == {1: ("a\n\nbb\n\nccc", [(1, 0), (2, 7)]), 2: ("", [(5, 0)])}
