@@ -105,11 +105,47 @@ def html_layout(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
 
 
-@register("op9_shingle_join")
+SHINGLE_SQL = f"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY text),
+w AS (SELECT id, {ANSI_WORDS.format(text="text")} AS ws FROM t),
+s AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], chr(10)) AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+u AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(node, reach) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach),
+c AS (SELECT node, min(reach) AS class_id FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS n_links FROM u GROUP BY a)
+SELECT doc_id, coalesce(class_id, id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM documents d JOIN t ON d.text IS NOT DISTINCT FROM t.text LEFT JOIN c ON node = id LEFT JOIN l ON l.a = id"""
+
+
+@register("op9_shingle_join", SHINGLE_SQL)
 def shingle_join(spark: SparkSession, sf: str) -> DataFrame:
     return shingle_forest.classes(table(spark, sf, "documents"))
 
 
-@register("op10_line_dedup")
+#: Lines within one edit share a half; of the pairs that do, the edit is sought place by place.
+LINES_SQL = f"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+w AS (SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS worded FROM l),
+c AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS place FROM w WHERE worded GROUP BY line),
+h AS (SELECT line, n, place, side, size, CASE WHEN side = 0 THEN substr(line, 1, size) ELSE substr(line, n - size + 1) END AS part
+      FROM (SELECT *, unnest([0, 1]) AS side FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS size FROM c WHERE n >= {line_dedup.MIN_CHARS}))),
+p AS (SELECT DISTINCT a.line AS x, b.line AS y, b.place AS later FROM h a JOIN h b ON a.side = b.side AND a.size = b.size AND a.part = b.part
+      WHERE a.place < b.place AND abs(a.n - b.n) <= 1),
+o AS (SELECT later, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS x, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS y FROM p),
+g AS (SELECT DISTINCT later FROM o WHERE len(list_filter(range(0, length(y)), lambda i: substr(x, 1, i) = substr(y, 1, i)
+      AND substr(x, CAST(i + 1 + length(x) - length(y) + 1 AS BIGINT)) = substr(y, i + 2))) > 0),
+k AS (SELECT place FROM c WHERE place NOT IN (SELECT later FROM g)),
+m AS (SELECT w.*, worded AND k.place IS NOT NULL AS kept FROM w LEFT JOIN k ON k.place = row(w.doc_id, w.line_no))
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(m2.text, '') END AS text
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (kept) AS n_kept,
+       string_agg(line, chr(10) ORDER BY line_no) FILTER (kept OR NOT worded) AS text FROM m GROUP BY doc_id) m2 ON m2.doc_id = d.doc_id"""
+
+
+@register("op10_line_dedup", LINES_SQL)
 def line_copies(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf, "documents"))
