@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 
 def last_per_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "text").agg(F.max_by("clause_type", "ord").alias("clause_type"))
@@ -36,6 +38,15 @@ def score_changes(before: DataFrame, after: DataFrame, score: str = "lrsi") -> D
                                       F.avg("a").alias("mean_after"))
 
 
+def keyword_hits(rows: DataFrame, text: str, rules: list) -> DataFrame:
+    """keyword, category, n_text, n_word: texts that hold a keyword anywhere, and those that hold it as whole words."""
+    words = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(r.category).alias("category"), F.lit(P.jvm(P.word(k))).alias("p"))
+                      for r in rules for k in r.keywords])
+    low = rows.select(F.lower(text).alias("low"))
+    held = low.select("low", F.explode(F.filter(words, lambda w: F.col("low").contains(w["keyword"]))).alias("w"))
+    return held.groupBy("w.keyword", "w.category").agg(F.count(F.lit(1)).alias("n_text"), F.count_if(F.rlike("low", F.col("w.p"))).alias("n_word"))
+
+
 def funnel(blocks: DataFrame) -> DataFrame:
     """Counts of accepted, recovered and rejected blocks by reason, and the recovery rate, per document.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def content_hash(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("hash", F.md5(F.col(text)))
@@ -87,6 +90,15 @@ def rescore(clauses: DataFrame, results: DataFrame, key: str = "clause_id") -> D
     return out.select(*[pick(c) for c in clauses.columns])
 
 
+def snapshot(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/snapshot-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def snapshot_checks(live: DataFrame, copy: DataFrame, keys: list[str]) -> DataFrame:
     """One row: do counts agree and is every key of the copy filled?"""
     a = live.agg(F.count(F.lit(1)).alias("live_count"))

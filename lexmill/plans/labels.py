@@ -50,7 +50,7 @@ def typed(spark, sf, both: bool = False):
     return K.with_clause_type(clauses(spark, sf), text)
 
 
-@query("label_keywords", "C1 S4", CL + f"SELECT keyword, category, count(*) AS n_clauses FROM (" + " UNION ALL ".join(
+@query("label_keywords", "C1", CL + f"SELECT keyword, category, count(*) AS n_clauses FROM (" + " UNION ALL ".join(
     f"SELECT {quoted(k)} AS keyword, {quoted(r.category)} AS category FROM l WHERE contains(l, {quoted(k)}) AND regexp_matches(l, {rx(P.word(k))})"
     for r in rules.CLAUSE_RULES for k in r.keywords).replace("FROM l ", f"FROM (SELECT lower({T}) AS l FROM c) ")
     + ") GROUP BY 1, 2")

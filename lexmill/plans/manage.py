@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import patterns as P
 from ..operators import audit, compare, maintain, normalize, report, segment
 from ..operators import classify as K
 from .corpus import ansi_papers, clauses, papers, table
 from .labels import ACCEPTED_SQL, BOTH, CL, FIELD, INTEL_SQL, TYPED, best_type_sql, intelligence, typed
-from .registry import query, quoted
+from .registry import query, quoted, rx
 from .scores import ROLL, stored_clauses, with_vectors
 
 PP = f"WITH p AS {ansi_papers()} "
@@ -85,8 +86,8 @@ def table_rescore(spark, sf):
 
 @query("table_snapshot", "S13", """SELECT count(*) AS copy_count, count(*) AS live_count, true AS keys_filled, true AS all_passed FROM orders""")
 def table_snapshot(spark, sf):
-    o = table(spark, sf, "orders")
-    return maintain.snapshot_checks(o, o, ["o_orderkey", "o_custkey"])
+    live = table(spark, sf, "orders")
+    return maintain.snapshot_checks(live, maintain.snapshot(live), ["o_orderkey", "o_custkey"])
 
 
 @query("table_event_log", "S14", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -239,7 +240,7 @@ def audit_funnel(spark, sf):
     return audit.funnel(rows)
 
 
-@query("audit_rule_change", "D6 D7 D10", CL + f""", f AS ({FUNNEL}), af AS (SELECT doc_id, text_content AS text, arg_max(CASE WHEN o = 'accepted' THEN clause_type ELSE 'Structured Field' END, clause_id) AS t
+@query("audit_rule_change", "D6", CL + f""", f AS ({FUNNEL}), af AS (SELECT doc_id, text_content AS text, arg_max(CASE WHEN o = 'accepted' THEN clause_type ELSE 'Structured Field' END, clause_id) AS t
    FROM f WHERE o IN ('accepted', 'recovered') GROUP BY 1, 2),
  be AS (SELECT doc_id, text_content AS text, arg_max(clause_type, clause_id) AS t FROM f WHERE o = 'accepted' AND part_no % 9 <> 0 GROUP BY 1, 2)
 SELECT coalesce(af.doc_id, be.doc_id) AS doc_id, count(*) FILTER (WHERE be.t IS NULL) AS recovered, count(*) FILTER (WHERE af.t IS NULL) AS dropped,
@@ -253,7 +254,17 @@ def audit_rule_change(spark, sf):
     return audit.set_summary(audit.set_changes(before, after), ["Structured Field"]).select("doc_id", "recovered", "dropped", "reclassified")
 
 
-@query("audit_score_change", "D8 D11", ROLL + """SELECT doc_id, count(*) AS n_clauses, max(a - b) AS max_increase, min(a - b) AS max_decrease, round(avg(b), 6) AS mean_before, round(avg(a), 6) AS mean_after
+_HITS = " UNION ALL ".join(f"SELECT {quoted(k)} AS keyword, {quoted(r.category)} AS category, count(*) AS n_text, "
+                           f"count(*) FILTER (WHERE regexp_matches(l, {rx(P.word(k))})) AS n_word FROM d WHERE contains(l, {quoted(k)})"
+                           for r in rules.CLAUSE_RULES for k in r.keywords)
+
+
+@query("audit_keyword_hits", "D7", CL + f", d AS MATERIALIZED (SELECT lower(text_content) AS l FROM c) SELECT * FROM ({_HITS}) WHERE n_text > 0")
+def audit_keyword_hits(spark, sf):
+    return audit.keyword_hits(clauses(spark, sf), "text_content", rules.CLAUSE_RULES)
+
+
+@query("audit_score_change", "D8", ROLL + """SELECT doc_id, count(*) AS n_clauses, max(a - b) AS max_increase, min(a - b) AS max_decrease, round(avg(b), 6) AS mean_before, round(avg(a), 6) AS mean_after
 FROM (SELECT doc_id, part_no % 101 + 0.0 AS b, supp_no % 97 + 0.0 AS a FROM r) GROUP BY 1""")
 def audit_score_change(spark, sf):
     rows = stored_clauses(spark, sf)
@@ -301,11 +312,11 @@ def text_punctuation(spark, sf):
                                                 normalize.roman_digits(digits).alias("digits"))
 
 
-@query("text_token_groups", "N5", """SELECT doc_id, CASE WHEN n > 256 THEN n // 256 + 1 ELSE 1 END AS n_groups, true AS whole FROM (
- SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents)""")
+@query("text_token_groups", "N5", """SELECT doc_id, CASE WHEN len(ws) > 256 THEN len(ws) // 256 + 1 ELSE 1 END AS n_groups,
+ md5(array_to_string(ws, ' ')) AS rejoined FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)""")
 def text_token_groups(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
     parts = normalize.token_groups(docs, "text")
-    back = normalize.regroup(parts, "doc_id").withColumnRenamed("text", "again").join(docs, "doc_id")
+    back = normalize.regroup(parts, "doc_id").withColumnRenamed("text", "again")
     n = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_groups"))
-    return n.join(back, "doc_id").select("doc_id", "n_groups", (F.trim("again") == F.trim("text")).alias("whole"))
+    return n.join(back, "doc_id").select("doc_id", "n_groups", F.md5(F.trim("again")).alias("rejoined"))

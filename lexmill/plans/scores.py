@@ -179,7 +179,7 @@ def risk_alpha_ablation(spark, sf):
     return rows.groupBy("clause_id").agg(*[F.max(F.when(F.col("scenario") == n, F.col("lrsi"))).alias(n) for n in runs])
 
 
-@query("risk_explanations", "R22 R23 R27 D3")
+@query("risk_explanations", "R22 R23 R27")
 def risk_explanations(spark, sf):
     facts = features.with_facts(clauses(spark, sf))
     ev = features.evidence(facts).select("clause_id", "evidence")

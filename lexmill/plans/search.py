@@ -102,7 +102,7 @@ def entity_docs(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("full_text"))
 
 
-@query("graph_entities", "H1 H3 S6 B2", """SELECT c_custkey AS doc_id, unnest(['party', 'date', 'money', 'penalty', 'jurisdiction', 'obligation']) AS node_type,
+@query("graph_entities", "H1 B2", """SELECT c_custkey AS doc_id, unnest(['party', 'date', 'money', 'penalty', 'jurisdiction', 'obligation']) AS node_type,
   unnest([3, 1, 2, 1, 1, 1]) AS n FROM customer""")
 def graph_entities(spark, sf):
     nodes, _ = graph.entity_graph(entity_docs(spark, sf), "full_text")
@@ -115,7 +115,7 @@ def graph_entity_edges(spark, sf):
     return edges.groupBy("doc_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("graph_unified", "H2 H3 B2")
+@query("graph_unified", "H2 B2")
 def graph_unified(spark, sf):
     rows = stored_clauses(spark, sf)
     docs = segment.document_text(rows, "clause_id", "text_content").select("doc_id", "full_text")
