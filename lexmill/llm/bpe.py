@@ -24,7 +24,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,8 +39,8 @@ PART_CHARS = 16384
 LEAF_SYMBOLS = 256
 #: The rank of pairs that are not merged.
 NEVER = 1 << 60
-#: Words whose tokens a worker remembers; forgotten all at once when full.
-REMEMBERED = 200_000
+#: Words whose tokens a worker remembers, twice as many at most.
+REMEMBERED = 250_000
 
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -54,15 +53,16 @@ def byte_symbols() -> list[str]:
 
 
 class Remembered(dict):
-    """What a function gave for a word; long words are not kept, and all is forgotten when it is full."""
+    """What a function gave for a word. Long words are not kept; when it is full, words not met again until the next time go."""
 
     def __init__(self, function):
-        self.function = function
+        self.function, self.before = function, {}
 
     def __missing__(self, word: str) -> str:
-        found = self.function(word)
+        found = self.before.get(word) or self.function(word)
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -90,7 +90,12 @@ class Codec:
         #: The same pattern for texts of the first 592 characters only, in the faster engine.
         near = [chr(i) for i in range(592)]
         of = lambda kind: "".join(re.escape(c) for c in near if unicodedata.category(c).startswith(kind))
-        self.near_pieces = re.compile(pieces.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N")).replace(r"\s", WHITE))
+        near_pattern = pieces.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N")).replace(r"\s", WHITE)
+        self.near_pieces = re.compile(near_pattern)
+        #: With the white space before each piece: everything but white space is in a piece, so their lengths give its end.
+        self.spaced = regex.compile(f"[{WHITE}]*(?:{self.pieces.pattern})", regex.V0)
+        self.near_spaced = re.compile(f"[{WHITE}]*(?:{near_pattern})")
+        self.white = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
         self.other = re.compile(f"[^{near[0]}-{near[-1]}]").search
         self.numbers = Remembered(lambda word: " ".join(map(str, self.piece(word))))
         self.shown = Remembered(lambda word: self.decode(map(int, self.numbers[word].split(" "))))
@@ -152,6 +157,11 @@ class Codec:
         """The pieces of a normalised text."""
         return (self.pieces if self.other(text) else self.near_pieces).findall(text)
 
+    def cut_with_steps(self, text: str) -> tuple[list[str], list[int]]:
+        """The pieces of a normalised text and how far the end of each lies behind the one before."""
+        spaced = (self.spaced if self.other(text) else self.near_spaced).findall(text)
+        return [w.lstrip(self.white) for w in spaced], list(map(len, spaced))
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, special ones too: the file names no decoder."""
         return " ".join([self.tokens[i] for i in ids])
@@ -218,8 +228,8 @@ def packed(values: list[int]) -> bytes:
     return kind.char.encode() + np.array(values, kind).tobytes()
 
 
-def unpacked(data: bytes) -> list[int]:
-    return np.frombuffer(data[1:], chr(data[0])).tolist()
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[1:], chr(data[0])).astype("int64")
 
 
 def encoded_leaves(path: str):
@@ -229,10 +239,9 @@ def encoded_leaves(path: str):
         for batch in batches:
             steps, counts, ids = [], [], []
             for text, special in zip(batch["text"], batch["special"]):
-                found = [] if special else [(m.end(), m.group()) for m in code.pieces.finditer(text)]
-                parts = [code.numbers[w] for _, w in found]
-                ends = [e for e, _ in found]
-                steps.append(packed([b - a for a, b in zip([0, *ends], ends)]))
+                words, behind = ([], []) if special else code.cut_with_steps(text)
+                parts = list(map(code.numbers.__getitem__, words))
+                steps.append(packed(behind))
                 counts.append(packed([p.count(" ") + 1 for p in parts]))
                 ids.append(packed(list(map(int, " ".join(parts).split()))))
             yield batch.assign(steps=steps, counts=counts, ids=ids)
@@ -240,31 +249,28 @@ def encoded_leaves(path: str):
 
 
 class Stretch:
-    """A stretch of normalised text with the pieces found in it: where they end and their tokens."""
-
-    def __init__(self, code: Codec, text: str, ends: list[int], parts: list[tuple[int, ...]]):
-        self.code, self.text, self.ends, self.parts = code, text, ends, parts
+    """A stretch of normalised text with the pieces found in it: where they end, how many tokens each has, and the tokens."""
 
-    def start(self, i: int) -> int:
-        """A place from which piece i is the next one found: the end of the piece before."""
-        return self.ends[i - 1] if i else 0
+    def __init__(self, code: Codec, text: str, ends: np.ndarray, counts: np.ndarray, ids: np.ndarray):
+        self.code, self.text, self.ends, self.counts, self.ids = code, text, ends, counts, ids
 
     def join(self, right: Stretch) -> Stretch:
         """The pieces of both texts together: the window around the join is cut and encoded anew until it agrees with both."""
         offset, text, width = len(self.text), self.text + right.text, 2
-        n, m = len(self.parts), len(right.parts)
+        n, m = len(self.ends), len(right.ends)
         while True:
             a, b = max(0, n - width), min(m, width)
-            begin, end = self.start(a), offset + (right.ends[b - 1] if b < m else len(right.text))
+            begin, end = int(self.ends[a - 1]) if a else 0, offset + (int(right.ends[b - 1]) if b < m else len(right.text))
             found = [(x.end() + begin, x.group()) for x in self.code.pieces.finditer(text[begin:end])]
             cuts = [e for e, _ in found]
-            from_start = a == 0 or cuts[:1] == self.ends[a:a + 1]
-            to_end = b == m or (len(cuts) > 1 and cuts[-2:] == [offset + e for e in right.ends[b - 2:b]])
+            from_start = a == 0 or cuts[:1] == self.ends[a:a + 1].tolist()
+            to_end = b == m or (len(cuts) > 1 and cuts[-2:] == (offset + right.ends[b - 2:b]).tolist())
             if from_start and to_end:
-                fresh = [tuple(map(int, self.code.numbers[w].split(" "))) for _, w in found]
-                tail = right.ends[b:] if b < m else []
-                return Stretch(self.code, text, self.ends[:a] + cuts + [offset + e for e in tail],
-                               self.parts[:a] + fresh + (right.parts[b:] if b < m else []))
+                fresh = [list(map(int, self.code.numbers[w].split(" "))) for _, w in found]
+                glue = lambda *parts: np.concatenate([np.asarray(p, "int64") for p in parts])
+                return Stretch(self.code, text, glue(self.ends[:a], cuts, offset + right.ends[b:]),
+                               glue(self.counts[:a], [len(f) for f in fresh], right.counts[b:]),
+                               glue(self.ids[:int(self.counts[:a].sum())], [i for f in fresh for i in f], right.ids[int(right.counts[:b].sum()):]))
             width *= 2
 
 
@@ -285,14 +291,9 @@ def joined_rows(path: str):
             if part["special"].iloc[0]:
                 ids.append(code.special[part["text"].iloc[0]])
                 continue
-            leaves = []
-            for text, steps, counts, numbers in zip(part["text"], part["steps"], part["counts"], part["ids"]):
-                flat, at, parts = unpacked(numbers), 0, []
-                for n in unpacked(counts):
-                    parts.append(tuple(flat[at:at + n]))
-                    at += n
-                leaves.append(Stretch(code, text, list(accumulate(unpacked(steps))), parts))
-            ids += [i for p in fold(leaves).parts for i in p]
+            leaves = [Stretch(code, text, np.cumsum(unpacked(steps)), unpacked(counts), unpacked(numbers)) for text, steps, counts, numbers in zip(
+                part["text"], part["steps"], part["counts"], part["ids"])]
+            ids += fold(leaves).ids.tolist()
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].tolist(), "n_tokens": [len(ids)],
                              "ids_sha256": [sha(" ".join(map(str, ids)))], "decoded_sha256": [sha(code.decode(ids))]}).astype(
             {"doc_id": rows["doc_id"].dtype})

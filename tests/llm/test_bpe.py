@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lexmill.llm import bpe
@@ -32,9 +33,11 @@ def in_leaves(code: bpe.Codec, text: str, limit: int) -> list[int]:
             continue
         leaves = []
         for leaf in bpe.halved(section, limit):
-            found = [(m.end(), m.group()) for m in code.pieces.finditer(leaf)]
-            leaves.append(bpe.Stretch(code, leaf, [e for e, _ in found], [tuple(map(int, code.numbers[w].split())) for _, w in found]))
-        ids += [i for p in bpe.fold(leaves).parts for i in p]
+            words, steps = code.cut_with_steps(leaf)
+            parts = [list(map(int, code.numbers[w].split())) for w in words]
+            leaves.append(bpe.Stretch(code, leaf, np.cumsum(np.array(steps, "int64")), np.array([len(p) for p in parts], "int64"),
+                                      np.array([i for p in parts for i in p], "int64")))
+        ids += bpe.fold(leaves).ids.tolist()
     return ids
 
 
