@@ -8,6 +8,7 @@ and a cheap substring test runs before each keyword pattern.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def first_match(low: Column, regex: str) -> Column:
     stems, found = leading_words(regex), F.regexp_extract(low, P.jvm(regex), 0)
     if stems is None:
         return found
-    return F.when(F.exists(F.array(*map(F.lit, stems)), lambda s: low.contains(s)), found).otherwise("")
+    return F.when(reduce(lambda a, b: a | b, [low.contains(s) for s in dict.fromkeys(stems)]), found).otherwise("")
 
 
 def first_line(text: Column) -> Column:
