@@ -133,21 +133,59 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return mixed_rows(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Parts of one copy that `copies` counts in.
+UNIT = 1 << 30
+
+
+def copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+           repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """doc_id, no_source, source, row_hash, rows, size, whole and more of the rows with words, equal rows in one.
+
+    Each row stays whole + 1 times if it is among the more of its rows, whole times if not. A source gives target / source_size
+    of a copy of each row: the whole part to all, the remainder wherever its running sum passes a whole number, from a
+    seeded start on. The sum runs through the sizes of the source (a bit more a step), in each through its shards, in these by
+    size and seeded hash, so copies of long and of short texts keep to it as well. Per source only (step, shard) sums are sorted.
+    """
+    groups = cut_lineage(sized(docs, id_column, text, source).filter("size > 0").groupBy("doc_id", *SOURCE, "row_hash").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("size").alias("size")))
+    n_shards = F.lit(1 + int(groups.count() ** 0.5) // 8)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    dealt = groups.select("*", F.length(F.bin("size")).alias("step"), F.pmod(hash32(key), n_shards).alias("shard"))
+    sums = cut_lineage(dealt.groupBy(*SOURCE, "step", "shard").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("words")))
+    share = F.col("target") / F.col("source_size")
+    start = F.shiftright(hash32(F.concat_ws("|", F.lit(str(seed)), "no_source", "source")), 2)
+    rates = targets(sums.groupBy(*SOURCE).agg(F.sum("words").alias("source_size")), weights, repeats).select(
+        *SOURCE, F.floor(share).alias("whole"), F.floor((share - F.floor(share)) * UNIT + 0.5).alias("part"), start.alias("start"))
+    so_far = Window.partitionBy(*SOURCE).orderBy("step", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    cells = sums.select(*SOURCE, "step", "shard", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before")).join(rates, SOURCE)
+    in_cell = Window.partitionBy(*SOURCE, "step", "shard").orderBy("size", F.xxhash64(F.lit(seed), key, "row_hash"), "doc_id", "row_hash")
+    placed = dealt.withColumn("end", F.sum("rows").over(in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(
+        cells, [*SOURCE, "step", "shard"]).withColumn("end", F.col("before") + F.col("end"))
+    return placed.select("doc_id", *SOURCE, "row_hash", "rows", "size", "whole", F.expr(
+        f"(start + end * part) div {UNIT} - (start + (end - rows) * part) div {UNIT}").alias("more"))
+
+
 def repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs, each row as often as the mix takes its words, to the nearest whole number (a half counts as one).
+    """docs, each row as often as its source's target asks for, so that the words of each source come to its target.
 
-    Rows equal in id, source and text share what is taken of them evenly.
+    Whole rows stand in for blocks here. A target is missed by about one text of the source, whatever the sizes (see `copies`).
+    Rows equal in id, source and text share their copies evenly, to one copy.
     """
-    taken = mixed_rows(docs, id_column=id_column, text=text, source=source, **options).groupBy("doc_id", *SOURCE, "row_hash").agg(
-        F.sum("size").alias("size"), F.sum("taken").alias("taken")).filter("size > 0").select(
+    taken = cut_lineage(copies(docs, id_column, text, source, **options).filter("whole > 0 OR more > 0").select(
         F.col("doc_id").alias("_id"), F.col("no_source").alias("_no"), F.col("source").alias("_source"), F.col("row_hash").alias("_hash"),
-        F.expr("(2 * taken + size) div (2 * size)").cast("int").alias("_times")).filter("_times > 0")
+        F.col("rows").alias("_rows"), F.col("whole").alias("_whole"), F.col("more").alias("_more")))
     row = F.col("row")
     packed = docs.select(F.struct("*").alias("row"))
     name = row[source].cast("string")
     on = row[id_column].eqNullSafe(F.col("_id")) & (F.isnull(name).cast("int") == F.col("_no")) & (
         F.coalesce(name, F.lit("")) == F.col("_source")) & (row_hash(row[text]) == F.col("_hash"))
-    chosen = packed.join(taken, on).select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy"))
+    chosen = packed.join(taken.filter("_rows = 1"), on).select("row", (F.col("_whole") + F.col("_more")).alias("_times"))
+    several = taken.filter("_rows > 1")
+    if not several.isEmpty():
+        equal = Window.partitionBy("_id", "_no", "_source", "_hash").orderBy("_hash")
+        chosen = chosen.unionByName(packed.join(several, on).withColumn("_place", F.row_number().over(equal)).select(
+            "row", (F.col("_whole") + (F.col("_place") <= F.col("_more")).cast("int")).alias("_times")))
+    chosen = chosen.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy"))
     return chosen.select(*[row[c].alias(c) for c in docs.columns])
 
 

@@ -95,3 +95,56 @@ def test_apportionment_is_sainte_lague(spark, weights, seats, cap):
         best = max((i for i in range(len(weights)) if want[i] < cap and weights[i] > 0), key=lambda i: (weights[i] / (2 * want[i] + 1), -i))
         want[best] += 1
     assert got == {i: want[i] for i in range(len(weights))}
+
+
+def words_of_sources(rows):
+    found = collections.Counter()
+    for text, source in rows:
+        found[source] += len(WORD.findall(text or ""))
+    return found
+
+
+def goal(sizes):
+    """Targets by lowering what is left, source by source, until no limit is passed."""
+    weight = {s: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, s in enumerate(sorted(sizes))}
+    left, open_, out = sum(sizes.values()), set(sizes), {}
+    while True:
+        stops = {s for s in open_ if 3 * sizes[s] * sum(weight[t] for t in open_) <= left * weight[s]}
+        if not stops:
+            return out | {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        out |= {s: 3 * sizes[s] for s in stops}
+        open_, left = open_ - stops, left - sum(3 * sizes[s] for s in stops)
+
+
+@pytest.mark.parametrize("longer", [1, 5])
+def test_repeated_words_come_to_the_target_of_each_source(spark, longer):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["doc_id"]).selectExpr(
+        "doc_id", f"repeat(concat(text, ' '), {longer}) AS text", "source")
+    rows = [(r.text, r.source) for r in docs.collect()]
+    got, want = words_of_sources((r.text, r.source) for r in mixing.repeated(docs).collect()), goal(words_of_sources(rows))
+    longest = {s: max(len(WORD.findall(t or "")) for t, x in rows if x == s) for s in want}
+    assert all(abs(got[s] - want[s]) <= longest[s] for s in want)
+
+
+def test_short_texts_of_a_small_source_in_a_large_table(spark):
+    rows = [(i, f"w{i} " * 250, "a") for i in range(4000)] + [(10_000 + i, f"v{i} " * 10, "b") for i in range(60)] + [
+        (20_000 + i, f"u{i} " * 4000, "c") for i in range(400)]
+    got = words_of_sources((r.text, r.source) for r in mixing.repeated(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = goal(words_of_sources((t, s) for _, t, s in rows))
+    assert want["b"] == 3 * 600 == got["b"] and abs(got["a"] - want["a"]) <= 250 and abs(got["c"] - want["c"]) <= 4000
+
+
+def test_copies_against_a_running_sum(spark):
+    rows = [(i % 700, f"x{i % 700} " * (1 + i * i % 97), "ab"[i % 3 % 2]) for i in range(1000)] + [(None, "n o", None)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.copies(docs).collect()
+    again = collections.Counter(tuple(r) for r in mixing.repeated(docs).collect())
+    number = collections.Counter(rows)
+    assert sorted(r.rows for r in found) == sorted(number.values())
+    assert sum(again.values()) == sum(r.rows * r.whole + r.more for r in found) and all(0 <= r.more <= r.rows for r in found)
+    sizes = words_of_sources((t, s or "~") for _, t, s in rows)
+    for source, target in goal(sizes).items():
+        share = target / sizes[source]
+        n = sum(k for (_, _, s), k in number.items() if (s or "~") == source)
+        assert abs(sum(k for (_, _, s), k in again.items() if (s or "~") == source) - share * n) < 1 + 1e-6
+        assert all(int(share) * k <= again[row] <= int(share + 1) * k for row, k in number.items() if (row[2] or "~") == source)
