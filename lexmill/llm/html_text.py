@@ -2,7 +2,8 @@
 
 The page is cut into tags and text, built into a tree with implied start and end tags, and rendered:
 hidden elements give nothing, blocks are set apart, list items get markers and indents, table cells are
-aligned in columns, preformatted text keeps its spaces. All visible text is emitted.
+aligned in columns (also below cells that span rows), preformatted text keeps its spaces. All visible text
+is emitted, that of formulas, drawings and image maps as well.
 
 Defined results: a null or empty page has the empty text; a page without markup gives its own text,
 collapsed; unclosed and stray tags are mended as browsers do; cells wider than WIDEST are not padded to
@@ -28,8 +29,13 @@ UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collap
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base "
-             "param source track area map".split())
+HIDDEN = set("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base "
+             "param source track area annotation annotation-xml mphantom".split())
+FOREIGN = {"svg", "math"}
+#: Elements that a drawing holds but does not show where they stand.
+UNDRAWN = set("defs metadata desc symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+#: Elements whose children are set apart by spaces.
+GAPPED = set("svg g mfrac mroot msub msup msubsup munder mover munderover mtr".split())
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset form".split())
 BLOCKS = PARAGRAPHS | set("address article aside body details dialog dd div dt figcaption footer header hgroup html legend li main menu nav "
                           "option optgroup search section summary tr td th thead tbody tfoot caption center".split())
@@ -76,6 +82,7 @@ class Tree:
     def __init__(self):
         self.root = Element("html")
         self.open = [self.root]
+        self.foreign = False
 
     def close_through(self, tags: set[str], walls: set[str]) -> None:
         """Closes the outermost open element of these tags above the nearest wall, with all inside it."""
@@ -88,12 +95,20 @@ class Tree:
         if at is not None:
             del self.open[at:]
 
-    def push(self, tag: str, attributes: str = "") -> None:
+    def push(self, tag: str, attributes: str = "", closed: bool = False) -> None:
         element = Element(tag, attributes)
+        self.foreign = self.foreign or tag in FOREIGN
         self.open[-1].children.append(element)
-        if tag not in VOID:
+        if tag not in VOID and not closed:
             self.open.append(element)
 
+    def closes_itself(self, tag: str, attributes: str) -> bool:
+        """In drawings and formulas <x/> is a whole element."""
+        if not attributes.endswith("/"):
+            return False
+        holder = next((e.tag for e in reversed(self.open) if e.tag in FOREIGN or e.tag == "foreignobject"), "") if self.foreign else ""
+        return tag in FOREIGN or holder in FOREIGN
+
     def start(self, tag: str, attributes: str) -> None:
         if tag == "html":
             return
@@ -139,6 +154,9 @@ def parse(page: str) -> Element:
             if m["end"]:
                 tree.end(tag)
             else:
+                if tree.closes_itself(tag, m["attributes"]):
+                    tree.push(tag, m["attributes"], closed=True)
+                    continue
                 tree.start(tag, m["attributes"])
                 if tag in RAW:
                     closing = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -205,9 +223,38 @@ def aligned(rows: list[list[list[str]]]) -> list[str]:
     return out
 
 
-def number(element: Element, name: str, least: int, default: int) -> int:
+def number(element: Element, name: str, least: int, default: int, most: int = 1000) -> int:
     value = (element.attribute(name) or "").strip()
-    return max(least, min(int(value), 1000)) if value.isascii() and value.isdigit() else default
+    return max(least, min(int(value), most)) if value.isascii() and value.isdigit() else default
+
+
+class Table:
+    """Rows of cells, with the columns that cells of rows above still fill."""
+
+    MOST_ROWS = 65534
+
+    def __init__(self):
+        self.rows: list[list[list[str]]] = []
+        self.spans: dict[int, int] = {}
+        self.filled: set[int] = set()
+
+    def group(self) -> None:
+        self.spans = {}
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.filled = set(self.spans)
+        self.spans = {c: n - 1 for c, n in self.spans.items() if n > 1}
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
+        if not self.rows:
+            self.row()
+        row = self.rows[-1]
+        while len(row) in self.filled:
+            row.append([])
+        if rows != 1:
+            self.spans |= dict.fromkeys(range(len(row), len(row) + columns), (rows or self.MOST_ROWS) - 1)
+        row += [lines] + [[]] * (columns - 1)
 
 
 class Page:
@@ -216,8 +263,9 @@ class Page:
     def __init__(self):
         self.layout = [Lines()]
         self.lists: list[list] = []
-        self.tables: list[list[list[list[str]]]] = []
+        self.tables: list[Table] = []
         self.pre = 0
+        self.drawings = 0
 
     def render(self, root: Element) -> str:
         todo: list[tuple[str, object]] = [("enter", root)]
@@ -227,10 +275,13 @@ class Page:
                 (self.layout[-1].kept if self.pre else self.layout[-1].text)(node)
             elif step == "leave":
                 self.leave(node)
-            elif not node.unseen():
+            elif not node.unseen() and not (self.drawings and node.tag in UNDRAWN):
                 self.enter(node)
                 todo.append(("leave", node))
-                todo += [("enter", child) for child in reversed(node.children)]
+                for child in reversed(node.children):
+                    todo.append(("enter", child))
+                    if node.tag in GAPPED:
+                        todo.append(("enter", " "))
         return "\n".join(self.layout[0].finish()).strip("\n")
 
     def enter(self, e: Element) -> None:
@@ -250,9 +301,13 @@ class Page:
         elif tag in ("ul", "ol", "menu"):
             self.lists.append([tag, number(e, "start", 0, 1)])
         elif tag == "table":
-            self.tables.append([])
+            self.tables.append(Table())
         elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
+            self.tables[-1].row()
+        elif tag in ("thead", "tbody", "tfoot") and self.tables:
+            self.tables[-1].group()
+        elif tag == "svg":
+            self.drawings += 1
         elif tag == "pre":
             self.pre += 1
         if tag in ("li", "td", "th", "blockquote"):
@@ -264,9 +319,7 @@ class Page:
             inner = self.layout.pop().finish()
             now = self.layout[-1]
             if tag in ("td", "th") and self.tables:
-                if not self.tables[-1]:
-                    self.tables[-1].append([])
-                self.tables[-1][-1] += [inner] + [[]] * (number(e, "colspan", 1, 1) - 1)
+                self.tables[-1].cell(inner, number(e, "colspan", 1, 1), number(e, "rowspan", 0, 1, Table.MOST_ROWS))
             else:
                 marker = self.marker() if tag == "li" else "> " if tag == "blockquote" else ""
                 deep = len(self.layout) > DEEPEST
@@ -274,7 +327,7 @@ class Page:
                     now.add(line if deep else (marker if k == 0 or tag == "blockquote" else " " * len(marker)) + line if line else line)
         now = self.layout[-1]
         if tag == "table":
-            rows = self.tables.pop()
+            rows = self.tables.pop().rows
             for line in aligned([r for r in rows if any(r)]):
                 now.add(line)
         elif tag in ("ul", "ol", "menu"):
@@ -282,6 +335,8 @@ class Page:
         elif tag == "pre":
             now.end_line()
             self.pre -= 1
+        elif tag == "svg":
+            self.drawings -= 1
         if tag in BLOCKS:
             now.end_line(1 if tag in PARAGRAPHS and not (tag in ("ul", "ol") and self.lists) else 0)
 

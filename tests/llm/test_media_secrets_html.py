@@ -143,3 +143,17 @@ def test_all_visible_words_come_out(spark):
         shown = [w for w in got[row.page_id].split() if w not in ("-", "|")]
         assert shown == [w for w in words if w not in ("-", "|")]
     assert html_text.extract(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>E=mc^2</annotation></math> holds", "so E=m c 2 holds"),
+    ("<p>half <math><mfrac><mn>1</mn><mn>2</mn></mfrac></math></p><p>on", "half 1 2\n\non"),
+    ("<svg><defs/><title>tip</title><defs><text>unused</text></defs><g><path d='M0 0'/><text>North <tspan>wing</tspan></text>"
+     "<text>South</text></g></svg><p>after", "North wing South\n\nafter"),
+    ("<map name=m><p>Plan of the house</p><area alt=x href=y></map>", "Plan of the house"),
+    ("<p>a <symbol>shown</symbol> <br/>b", "a shown\nb"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>k<td rowspan=0 colspan=2>l<td>m<tr><td>n<td>o<tbody><tr><td>p<td>q</table>", "k | l |  | m\nn |   |  | o\np | q"),
+])
+def test_formulas_drawings_maps_and_cells_over_rows(page, text):
+    assert html_text.visible_text(page) == text
