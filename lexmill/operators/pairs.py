@@ -140,20 +140,23 @@ def duplicate_findings(rows: DataFrame) -> DataFrame:
     Number groups are unbounded, so no pairs are listed in them: a clause whose money,
     dates or durations differ from the group's least set is paired with the first
     clause of that set, and a clause of the least set with the first of the greatest,
-    so every clause with a differing value is in a finding. Wording is compared with
-    the group's first clause. Titles are few and compared pairwise. High when money,
-    dates or durations differ, Medium when the wording ratio is below 0.97.
+    so every clause with a differing value is in a finding. Wording is compared between
+    all different texts of the group, each by its first clause; the other clauses of a
+    text are then paired with the first of the opposed text. Titles are few and compared
+    pairwise. High when money, dates or durations differ, Medium when the wording ratio is
+    below 0.97.
     """
     facts = rows.select("doc_id", "clause_id", "section_name", "low", "clause_number", "title_key",
                         value_set(F.col("money")).alias("m"), value_set(F.col("dates")).alias("d"),
                         value_set(F.col("durations")).alias("u"))
     number = facts.filter(F.col("clause_number").isNotNull())
-    first = number.groupBy("doc_id", "clause_number").agg(F.min("clause_id").alias("a_id"))
-    left = number.select("doc_id", F.col("clause_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("low", "m", "d", "u")])
+    number = number.withColumn("text_id", F.min("clause_id").over(Window.partitionBy("doc_id", "clause_number", "low", "m", "d", "u")))
+    texts = number.filter(F.col("clause_id") == F.col("text_id"))
+    left = texts.select("doc_id", "clause_number", F.col("clause_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("low", "m", "d", "u")])
     stars = value_stars(number, ["doc_id", "clause_number"], ["m", "d", "u"]).select(
         "doc_id", F.concat(F.lit("duplicate:clause number:"), "clause_number").alias("topic"), "a_id", "b_id").distinct()
-    star = number.join(first, ["doc_id", "clause_number"]).filter(F.col("clause_id") != F.col("a_id")).join(
-        left, ["doc_id", "a_id"]).withColumn("topic", F.concat(F.lit("duplicate:clause number:"), "clause_number"))
+    wordings = texts.join(left, ["doc_id", "clause_number"]).filter(F.col("a_id") < F.col("clause_id")).withColumn(
+        "topic", F.concat(F.lit("duplicate:clause number:"), "clause_number"))
     titled = facts.filter(F.col("title_key") != "")
     size = titled.groupBy("doc_id", "title_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MAX_TITLE_GROUP))
     few = titled.join(size, ["doc_id", "title_key"])
@@ -163,7 +166,7 @@ def duplicate_findings(rows: DataFrame) -> DataFrame:
         ~F.coalesce(F.col("a_number") == F.col("clause_number"), F.lit(False))).withColumn(
         "topic", F.concat(F.lit("duplicate:clause title:"), "title_key"))
     cols = ["doc_id", "topic", "a_id", "clause_id", "low", "a_low", "m", "a_m", "d", "a_d", "u", "a_u"]
-    pairs = star.select(*cols).unionByName(same.select(*cols))
+    pairs = wordings.select(*cols).unionByName(same.select(*cols))
 
     def differ(c):
         return (F.size(c) > 0) & (F.size(f"a_{c}") > 0) & (F.col(c) != F.col(f"a_{c}"))
@@ -173,8 +176,14 @@ def duplicate_findings(rows: DataFrame) -> DataFrame:
     far = soft.filter(~similarity.may_reach(F.col("low"), F.col("a_low"), 0.97))
     near = soft.filter(similarity.may_reach(F.col("low"), F.col("a_low"), 0.97)).withColumn(
         "r", similarity.ratio("a_low", "low")).filter(F.col("r") < 0.97).drop("r")
-    medium = far.unionByName(near).withColumn("severity", F.lit("Medium"))
-    found = hard.unionByName(medium).select("doc_id", "topic", "severity", "a_id", F.col("clause_id").alias("b_id")).unionByName(
+    medium = far.unionByName(near).withColumn("severity", F.lit("Medium")).select("doc_id", "topic", "severity", "a_id", F.col("clause_id").alias("b_id"))
+    again = number.filter(F.col("clause_id") != F.col("text_id")).select(
+        "doc_id", F.concat(F.lit("duplicate:clause number:"), "clause_number").alias("topic"), "text_id", "clause_id")
+    sides = [medium.join(again.withColumnRenamed("text_id", mine), ["doc_id", "topic", mine]).select(
+        "doc_id", "topic", "severity", F.least("clause_id", other).alias("a_id"), F.greatest("clause_id", other).alias("b_id"))
+        for mine, other in (("a_id", "b_id"), ("b_id", "a_id"))]
+    medium = medium.unionByName(sides[0]).unionByName(sides[1])
+    found = hard.select("doc_id", "topic", "severity", "a_id", F.col("clause_id").alias("b_id")).unionByName(medium).unionByName(
         stars.select("doc_id", "topic", F.lit("High").alias("severity"), "a_id", "b_id"))
     seq = F.when(F.col("topic").startswith("duplicate:clause number:"), 0).otherwise(1)
     return found.select("doc_id", F.lit("Duplicate Clause").alias("contradiction_type"), "topic", "severity", "a_id", "b_id", seq.alias("detector"))

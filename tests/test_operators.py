@@ -269,3 +269,27 @@ def test_document_text_and_page_map(spark):
     got = {r.doc_id: (r.full_text, [tuple(m) for m in r.page_map]) for r in segment.document_text(
         spark.createDataFrame(rows, "doc_id int, n int, t string, page_num int"), "n", "t").collect()}
     assert got == {1: ("a\n\nbb\n\nccc", [(1, 0), (2, 7)]), 2: ("", [(5, 0)])}
+
+
+def test_wording_of_number_groups_is_compared_between_all_texts(spark):
+    """B and C differ from A in money but only in wording from each other; random groups against brute force."""
+    rng = random.Random(5)
+    base = "the supplier shall deliver all goods to the warehouse of the buyer without undue delay and at its own cost"
+    said = {(0, 0): "Fees of USD 5 are due.", (0, 1): "Fees of USD 9 are payable on the first day of a month.", (0, 2): "A sum of USD 9 falls due."}
+    for g in range(1, 40):
+        for i in range(rng.randint(2, 6)):
+            words = base.split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 8])):
+                words[rng.randrange(len(words))] = rng.choice(["a", "their", "promptly", "goods"])
+            said[g, i] = " ".join(words) + rng.choice(["", "", " for USD 5", " for USD 9"])
+    rows = [(g, 10 * g + i, "Section 2. Fees", t) for (g, i), t in said.items()]
+    df = spark.createDataFrame(rows, "doc_id long, clause_id long, section_name string, text_content string")
+    found = {(r.doc_id, r.a_id, r.b_id) for r in pairs.duplicate_findings(pairs.enriched(df)).collect() if r.severity == "Medium"}
+    money = {i: t.split("USD ")[1].split()[0] if "USD" in t else "" for _, i, _, t in rows}
+    text = {i: t.lower() for _, i, _, t in rows}
+    want = {(g, i, j) for g, i, _, _ in rows for h, j, _, _ in rows if g == h and i < j
+            and not (money[i] and money[j] and money[i] != money[j]) and SequenceMatcher(None, text[i], text[j]).ratio() < 0.97}
+    assert (0, 1, 2) in want and found <= want
+    first = {i: min(j for h, j, _, _ in rows if h == g and text[j] == text[i]) for g, i, _, _ in rows}
+    assert {p for p in want if first[p[1]] == p[1] and first[p[2]] == p[2]} <= found
+    assert {(g, c) for g, *p in want for c in p} == {(g, c) for g, *p in found for c in p}
