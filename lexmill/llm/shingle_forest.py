@@ -1,12 +1,14 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by banded MinHash.
 
-Texts are sets of 5-word shingles. TREES prefix tries hold a signature of each text; in a trie, texts
-that share a prefix meet in a node. Prefixes start MAX_DEPTH hashes long and are shortened one by one
-until a pair at the similarity bound meets in some trie with the target recall (4 hashes in 16 tries give
-0.9997 at 0.8). What meets is not yet a link:
+Texts are sets of 5-word shingles. A signature of each text holds TREES bands of hashes; in a band, texts
+that share all its hashes meet in a node. The width of a band is the same for all texts and set before any
+row is read: the largest up to MAX_DEPTH at which a pair at the similarity bound meets in some band with the
+target recall (4 hashes in 16 bands give 0.9997 at 0.8). There are no tries and no prefixes that the data
+shorten: the bound and the recall are fixed, so fixed bands find what they ask for in one grouped pass, and
+longer signatures would only be made and moved as well. What meets is not yet a link:
 
-1. Equal texts are one node of the forest (known by md5), so copies are never compared.
-2. Within a trie node, signatures estimate similarities; pairs far below the bound (FAR standard errors)
+1. Equal texts are one text of the bands (known by md5), so copies are never compared.
+2. Within a node, signatures estimate similarities; pairs far below the bound (FAR standard errors)
    are dropped and a spanning forest of the rest is kept. Large nodes are dealt into blocks, and each pair
    of blocks is a task of its own, so a node of any size is spread.
 3. Components of these edges are groups of possible links. Each group is verified exactly: texts travel
@@ -46,7 +48,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def depth_for(similarity: float, recall: float = RECALL, trees: int = TREES, max_depth: int = MAX_DEPTH) -> int:
-    """Shortens the prefix until pairs at this similarity are found with this probability."""
+    """Hashes in a band: the most that find pairs at this similarity with this probability, by formula."""
     depth = max_depth
     while depth > 1 and 1 - (1 - similarity ** depth) ** trees < recall:
         depth -= 1
