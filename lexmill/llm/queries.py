@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import avi, bpe, html_text, language_net, line_dedup, mixing, quality_net, rule_cascade, secret_scan, shingle_forest
+from lexmill.llm import avi, bpe, html_text, language_net, line_dedup, merkle, mixing, quality_net, rule_cascade, secret_scan, shingle_forest
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ FROM documents d LEFT JOIN (SELECT doc_id, count(*) FILTER (worded) AS n_lines,
 @register("op10_line_dedup", LINES_SQL)
 def line_copies(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf, "documents"))
+
+
+@register("op11_merkle_manifest", merkle.MANIFEST_SQL)
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf, "documents"))
