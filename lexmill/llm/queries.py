@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import avi, bpe, html_text, language_net, line_dedup, merkle, mixing, quality_net, rule_cascade, secret_scan, shingle_forest
+from lexmill.llm import (avi, bpe, html_text, language_net, line_dedup, merkle, mixing, quality_net, rule_cascade, secret_scan, shared_terms,
+                         shingle_forest, super_kmers)
 from lexmill.llm.words import ANSI_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,13 @@ def line_copies(spark: SparkSession, sf: str) -> DataFrame:
 @register("op11_merkle_manifest", merkle.MANIFEST_SQL)
 def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf, "documents"))
+
+
+@register("op12_repeated_passages", super_kmers.REPEATS_SQL)
+def repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return super_kmers.digests(table(spark, sf, "documents"))
+
+
+@register("op13_ranked_search", shared_terms.SEARCH_SQL)
+def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_terms.search(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
