@@ -8,7 +8,8 @@ minimiser travel as one packed string to the bucket of that minimiser, so equal
 sent about three times over instead of twenty times. Strings that are equal within one batch of documents
 are sent once; their later places are known repeats and go on by themselves. In a bucket the windows of all
 strings are sorted by a hash, equal neighbours are compared by their bytes, and all but the earliest place
-are repeats. Buckets are laid out by the bytes of the corpus. Their loads are counted over all documents
+are repeats. A few texts of the corpus serve as dictionary when strings are packed, which changes their size
+and nothing else. Buckets are laid out by the bytes of the corpus. Their loads are counted over all documents
 first, and a bucket that is far above the mean (a phrase in a large share of all documents) is sent as
 single windows, dealt by their own hash to as many buckets as its load asks for. Repeats return as ranges of
 words, which are grouped per document and cut from its text.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +36,27 @@ from lexmill.llm.words import ANSI_WORDS
 from lexmill.session import cut_lineage
 
 WINDOW = 20
-SEED = 4
+SEED = 3
 #: Windows in one string at most; a run of equal words has one minimiser throughout.
 LONGEST = 64
 #: Text that one bucket holds on average, and text that is cut at once (one document at least).
-BUCKET_BYTES, BATCH_BYTES = 4_000_000, 6_000_000
+BUCKET_BYTES, BATCH_BYTES = 3_000_000, 6_000_000
 #: Buckets above this many mean loads are split; so many split buckets can be listed at most.
-HOT_LOADS, HOT_LISTED = 3, 1_000_000
+HOT_LOADS, HOT_LISTED = 4, 1_000_000
+#: Strings are packed against this much text of the corpus, so that small packs shrink as well as large ones.
+SAMPLE_TEXTS, SAMPLE_CHARS = 200, 3_000
 PIECE = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.concatenate([[1], np.full(2 * PIECE, _P, "uint64")]).astype("uint64"))
-_UNDO = np.cumprod(np.concatenate([[1], np.full(2 * PIECE, pow(_P, -1, 1 << 64), "uint64")]).astype("uint64"))
+
+
+def powers_of(x: int, n: int) -> np.ndarray:
+    factors = np.full(n, x, "uint64")
+    factors[:1] = 1
+    return np.cumprod(factors)
+
+
+_POWERS, _UNDO = powers_of(_P, 2 * PIECE), powers_of(pow(_P, -1, 1 << 64), 2 * PIECE)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,7 +66,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(table: np.ndarray, n: int) -> np.ndarray:
-    return table[:n] if n <= len(table) else np.cumprod(np.concatenate([[1], np.full(n - 1, table[1], "uint64")]).astype("uint64"))
+    return table[:n] if n <= len(table) else powers_of(int(table[1]), n)
 
 
 def word_table(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +181,8 @@ def loads(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts in batches_of(batches):
             cut = Cut(texts, buckets, {})
-            words = np.concatenate([[0], np.cumsum(cut.hashes * powers(_POWERS, len(cut.hashes)))]).astype("uint64")
+            words = np.zeros(len(cut.hashes) + 1, "uint64")
+            np.cumsum(cut.hashes * powers(_POWERS, len(cut.hashes)), out=words[1:])
             last = cut.at + cut.windows + WINDOW - 1
             string = mixed((words[last] - words[cut.at]) * powers(_UNDO, len(words))[cut.at] + cut.windows.astype("uint64"))
             _, once = np.unique(string, return_index=True)
@@ -180,16 +192,24 @@ def loads(buckets: int):
     return run
 
 
-def packed(columns: list[np.ndarray], strings: list[bytes]) -> bytes:
-    body = b"\n".join(strings)
-    raw = struct.pack("<qq", len(columns[0]), len(body)) + b"".join(np.ascontiguousarray(c, "<i8").tobytes() for c in columns) + body
-    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+class Packer:
+    """Packs columns of whole numbers and strings, with a text known to both sides as dictionary."""
+
+    def __init__(self, known: bytes):
+        words = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if known else None
+        if words:
+            words.precompute_compress(level=3)
+        self.pack, self.unpack = zstandard.ZstdCompressor(level=3, dict_data=words), zstandard.ZstdDecompressor(dict_data=words)
 
+    def packed(self, doc_id: np.ndarray, others: list[np.ndarray], strings: list[bytes]) -> bytes:
+        columns = [np.diff(doc_id, prepend=np.int64(0)), *others]
+        numbers = b"".join(np.ascontiguousarray(c, "<i8").view("u1").reshape(-1, 8).T.tobytes() for c in columns)
+        return struct.pack("<q", len(doc_id)) + self.pack.compress(numbers + b"\n".join(strings))
 
-def unpacked(blob: bytes, n_columns: int) -> tuple[list[np.ndarray], bytes]:
-    raw = pa.decompress(blob[8:], decompressed_size=struct.unpack_from("<q", blob)[0], codec="zstd", asbytes=True)
-    n, _ = struct.unpack_from("<qq", raw)
-    return [np.frombuffer(raw, "<i8", n, 16 + 8 * n * k) for k in range(n_columns)], raw[16 + 8 * n * n_columns:]
+    def unpacked(self, blob: bytes) -> tuple[list[np.ndarray], bytes]:
+        n, raw = struct.unpack_from("<q", blob)[0], self.unpack.decompress(blob[8:])
+        columns = [np.frombuffer(raw, "u1", 8 * n, 8 * n * k).reshape(8, n).T.copy().view("<i8").ravel() for k in range(4)]
+        return [np.cumsum(columns[0]), *columns[1:]], raw[32 * n:]
 
 
 def joined_ranges(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,9 +221,10 @@ def joined_ranges(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple
     return doc[heads], at[heads], np.add.reduceat(windows, heads)
 
 
-def sent(buckets: int, hot: dict[int, int]):
-    """For mapInArrow: bucket and packed strings; known repeats go to buckets below zero."""
+def sent(buckets: int, hot: dict[int, int], known):
+    """For mapInArrow: bucket and packed strings; known repeats go to buckets below zero. known is a broadcast."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = Packer(known.value).packed
         for doc_id, row_hash, texts in batches_of(batches):
             cut = Cut(texts, buckets, hot)
             strings = cut.strings()
@@ -215,14 +236,14 @@ def sent(buckets: int, hot: dict[int, int]):
             doc, at, n = joined_ranges(cut.doc[again], start[again], cut.windows[again])
             if len(doc):
                 out_bucket.append(-1 - int(row_hash[doc[0]] % buckets))
-                out.append(packed([doc_id[doc], row_hash[doc], at, n], []))
+                out.append(packed(doc_id[doc], [row_hash[doc], at, n], []))
             kept = np.flatnonzero(~again)
             kept = kept[np.argsort(cut.bucket[kept], kind="stable")]
             heads = np.flatnonzero(np.concatenate([[True], np.diff(cut.bucket[kept]) != 0])) if len(kept) else []
             for a, b in zip(heads, [*heads[1:], len(kept)]):
                 some = kept[a:b]
                 out_bucket.append(int(cut.bucket[some[0]]))
-                out.append(packed([doc_id[cut.doc[some]], row_hash[cut.doc[some]], start[some], cut.windows[some]], [strings[k] for k in some.tolist()]))
+                out.append(packed(doc_id[cut.doc[some]], [row_hash[cut.doc[some]], start[some], cut.windows[some]], [strings[k] for k in some.tolist()]))
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(out_bucket[k:k + 64], pa.int64()), pa.array(out[k:k + 64], pa.binary())], ["bucket", "packed"])
     return run
@@ -253,28 +274,31 @@ def first_places(buffer: bytes, word: np.ndarray, starts: np.ndarray, ends: np.n
     return np.fromiter((seen.setdefault(buffer[s:e], k) for k, (s, e) in enumerate(texts)), "int64", len(word))
 
 
-def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Ranges of words of one bucket that repeat an earlier place."""
-    found = [unpacked(blob, 4) for blob in rows["packed"]]
-    doc_id, row_hash, start, windows = (np.concatenate([f[0][k] for f in found]) for k in range(4))
-    if rows["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"doc_id": doc_id, "row_hash": row_hash, "start": start, "words": windows + WINDOW - 1})
-    buffer = b"\n".join(f[1] for f in found)
-    starts, ends, hashes = word_table(buffer)
-    held = np.cumsum(np.append(0, windows + WINDOW - 1))[:-1]
-    order = np.lexsort((start, row_hash, doc_id))
-    n = windows[order]
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    string = np.repeat(order, n)
-    first = first_places(buffer, held[string] + offset, starts, ends, hashes)
-    place = start[string] + offset
-    of = string[first]
-    again = (first != np.arange(len(first))) & ~((doc_id[string] == doc_id[of]) & (row_hash[string] == row_hash[of]) & (place == place[first]))
-    doc = np.cumsum(np.concatenate([[False], (np.diff(doc_id[string]) != 0) | (np.diff(row_hash[string]) != 0)])) if len(string) else string
-    some = np.flatnonzero(again)
-    _, at, count = joined_ranges(doc[some], place[some], np.ones(len(some), "int64"))
-    heads = some[np.cumsum(np.append(0, count))[:-1]] if len(count) else some
-    return pd.DataFrame({"doc_id": doc_id[string[heads]], "row_hash": row_hash[string[heads]], "start": at, "words": count + WINDOW - 1})
+def repeated_windows(known):
+    """For applyInPandas: ranges of words of one bucket that repeat an earlier place. known is a broadcast."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        packer = Packer(known.value)
+        found = [packer.unpacked(blob) for blob in rows["packed"]]
+        doc_id, row_hash, start, windows = (np.concatenate([f[0][k] for f in found]) for k in range(4))
+        if rows["bucket"].iloc[0] < 0:
+            return pd.DataFrame({"doc_id": doc_id, "row_hash": row_hash, "start": start, "words": windows + WINDOW - 1})
+        buffer = b"\n".join(f[1] for f in found)
+        starts, ends, hashes = word_table(buffer)
+        held = np.cumsum(np.append(0, windows + WINDOW - 1))[:-1]
+        order = np.lexsort((start, row_hash, doc_id))
+        n = windows[order]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        string = np.repeat(order, n)
+        first = first_places(buffer, held[string] + offset, starts, ends, hashes)
+        place = start[string] + offset
+        of = string[first]
+        again = (first != np.arange(len(first))) & ~((doc_id[string] == doc_id[of]) & (row_hash[string] == row_hash[of]) & (place == place[first]))
+        doc = np.cumsum(np.concatenate([[False], (np.diff(doc_id[string]) != 0) | (np.diff(row_hash[string]) != 0)])) if len(string) else string
+        some = np.flatnonzero(again)
+        _, at, count = joined_ranges(doc[some], place[some], np.ones(len(some), "int64"))
+        heads = some[np.cumsum(np.append(0, count))[:-1]] if len(count) else some
+        return pd.DataFrame({"doc_id": doc_id[string[heads]], "row_hash": row_hash[string[heads]], "start": at, "words": count + WINDOW - 1})
+    return run
 
 
 def key_of(doc_id: Column) -> Column:
@@ -293,8 +317,10 @@ def repeats(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         windows = load.agg(F.sum("windows")).first()[0] or 0
         most = max(HOT_LOADS * windows / buckets, windows / HOT_LISTED)
         hot = {r["bucket"]: int(-(-r["windows"] * buckets // windows)) for r in load.filter(F.col("windows") > most).collect()}
-    found = rows.mapInArrow(sent(buckets, hot), "bucket long, packed binary").groupBy("bucket").applyInPandas(
-        repeated_windows, "doc_id long, row_hash long, start long, words long")
+    some = rows.orderBy("row_hash").limit(SAMPLE_TEXTS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    known = rows.sparkSession.sparkContext.broadcast(b" ".join(b" ".join(bytes(r["text"]).split()) for r in some))
+    found = rows.mapInArrow(sent(buckets, hot, known), "bucket long, packed binary").groupBy("bucket").applyInPandas(
+        repeated_windows(known), "doc_id long, row_hash long, start long, words long")
     return found.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", "words")).alias("ranges"))
 
 
