@@ -45,7 +45,9 @@ BUCKET_BYTES, BATCH_BYTES = 3_000_000, 6_000_000
 HOT_LOADS, HOT_LISTED = 4, 1_000_000
 #: Strings are packed against this much text of the corpus, so that small packs shrink as well as large ones.
 SAMPLE_TEXTS, SAMPLE_CHARS = 200, 3_000
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS = 256
 
 _P = 0x9E3779B97F4A7C15
 
@@ -155,6 +157,12 @@ class Cut:
         return [self.buffer[a:b] for a, b in zip(self.starts[self.at].tolist(), self.ends[self.at + self.windows + WINDOW - 2].tolist())]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """doc_id, row_hash and text of documents in order, each once, up to BATCH_BYTES at a time."""
     rows: dict[tuple[int, int], bytes] = {}
@@ -164,7 +172,7 @@ def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         keys = sorted(rows)
         return np.array([k[0] for k in keys], "int64"), np.array([k[1] for k in keys], "int64"), [rows[k] for k in keys]
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc_id, row_hash, text in zip(*[batch.column(name).to_pylist() for name in ("doc_id", "row_hash", "text")]):
             if (doc_id, row_hash) not in rows:
                 rows[doc_id, row_hash] = text
@@ -317,7 +325,7 @@ def repeats(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         windows = load.agg(F.sum("windows")).first()[0] or 0
         most = max(HOT_LOADS * windows / buckets, windows / HOT_LISTED)
         hot = {r["bucket"]: int(-(-r["windows"] * buckets // windows)) for r in load.filter(F.col("windows") > most).collect()}
-    some = rows.orderBy("row_hash").limit(SAMPLE_TEXTS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    some = rows.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_TEXTS).collect()
     known = rows.sparkSession.sparkContext.broadcast(b" ".join(b" ".join(bytes(r["text"]).split()) for r in some))
     found = rows.mapInArrow(sent(buckets, hot, known), "bucket long, packed binary").groupBy("bucket").applyInPandas(
         repeated_windows(known), "doc_id long, row_hash long, start long, words long")
@@ -325,7 +333,7 @@ def repeats(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 
 def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         names = ["doc_id", "text", "ranges"]
         n_words, n_removed, texts = [], [], []
         for text, ranges in zip(*[batch.column(name).to_pylist() for name in names[1:]]):
