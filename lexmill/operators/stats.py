@@ -1,4 +1,4 @@
-"""Entropy weights, concentration and natural breaks."""
+"""Entropy weights and concentration."""
 
 from __future__ import annotations
 
@@ -72,41 +72,3 @@ def concentration_score(mean: Column, gini_value: Column, lam: float = 0.15) ->
 def recent_scores(df: DataFrame, score: str, order: str, limit: int) -> DataFrame:
     """Latest non-null scores, one column (planned as a top-k, never a full sort)."""
     return df.filter(F.col(score).isNotNull()).orderBy(F.col(order).desc()).limit(limit).select(score)
-
-
-def reference_sample(df: DataFrame, score: str, key: str, limit: int) -> DataFrame:
-    """Deterministic sample: the rows with the smallest md5 of their key."""
-    return df.filter(F.col(score).isNotNull()).orderBy(F.md5(F.col(key).cast("string")), key).limit(limit)
-
-
-def natural_breaks(scores: DataFrame, score: str, classes: int) -> DataFrame:
-    """Exact natural breaks (least within-class squared deviation) of a reference sample.
-
-    The input is a bounded sample (see reference_sample). Layer k holds, for each
-    prefix of the sorted values, the best cost of k classes; a layer is one join
-    of prefixes with their possible last classes. Ties take the smallest lower
-    limit. Returns one row (cut_1 ... cut_{k-1}), each cut being the largest value
-    of its class, or nulls when there are fewer values than classes.
-    """
-    order = Window.orderBy("v")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    points = scores.select(F.col(score).cast("double").alias("v")).select(
-        F.row_number().over(order).alias("i"), "v", F.sum("v").over(upto).alias("s"),
-        F.sum(F.col("v") * F.col("v")).over(upto).alias("q"))
-    start = points.select(F.col("i").alias("j"), (F.col("s") - F.col("v")).alias("s0"),
-                          (F.col("q") - F.col("v") * F.col("v")).alias("q0"), F.col("v").alias("jv"))
-    w = F.col("i") - F.col("j") + 1
-    cost = (F.col("q") - F.col("q0")) - (F.col("s") - F.col("s0")) ** 2 / w
-    first = points.select("i", (F.col("q") - F.col("s") ** 2 / F.col("i")).alias("cost"),
-                          F.array().cast("array<double>").alias("cuts"))
-    layer = first
-    prefix = points.select(F.col("i").alias("p"), F.col("v").alias("pv"))
-    for _ in range(1, classes):
-        before = layer.join(prefix, F.col("i") == F.col("p")).select(
-            F.col("p"), F.col("cost").alias("c0"), F.array_append("cuts", F.col("pv")).alias("cuts0"))
-        steps = points.join(start, F.col("j").between(2, F.col("i"))).join(before, F.col("p") == F.col("j") - 1)
-        layer = steps.groupBy("i").agg(F.min(F.struct(
-            F.round(F.col("c0") + cost, 9).alias("cost"), F.col("j"), F.col("cuts0"))).alias("b")).select(
-            "i", F.col("b.cost").alias("cost"), F.col("b.cuts0").alias("cuts"))
-    best = layer.groupBy().agg(F.max_by("cuts", "i").alias("cuts"))
-    return best.select(*[F.get("cuts", F.lit(k)).alias(f"cut_{k + 1}") for k in range(classes - 1)])

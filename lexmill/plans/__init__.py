@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["facts", "labels", "scores", "cuts", "trust", "search", "manage"]
+MODULES = ["facts", "labels", "scores", "cuts", "trust", "search", "manage", "migration"]
 
 
 def load_all():

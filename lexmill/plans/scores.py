@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import vectors as V
-from ..operators import features, groups, report, risk, stats
+from ..operators import features, groups, report, risk, stats, thresholds
+from ..session import ensure_checkpoint_dir
 from .corpus import ansi_clauses, clauses, table
 from .facts import SIGNALS_SQL
 from .registry import query, quoted
@@ -229,10 +232,67 @@ def stat_gini(spark, sf):
     return g.select("l_suppkey", "n", F.round("gini", 6).alias("gini"))
 
 
-@query("stat_thresholds", "R17 R18 R19 Q5")
+def cuts_sql(points: str, classes: str, most: int) -> str:
+    """CTEs ending in cut(ver, classes, cuts): natural breaks of points(ver, v, n) by the plain dynamic program over all pairs of places."""
+    gap = "l.cost + (p.q - b.q) - (p.s - b.s) * (p.s - b.s) / (p.w - b.w)"
+    return f"""pts AS ({points}),
+ p AS (SELECT ver, v, row_number() OVER o AS i, sum(n) OVER o AS w, sum(n * v) OVER o AS s, sum(n * v * v) OVER o AS q FROM pts WINDOW o AS (PARTITION BY ver ORDER BY v)),
+ lay(ver, k, i, cost, j) AS (SELECT ver, 1, i, q - s * s / w, CAST(0 AS BIGINT) FROM p UNION ALL
+  SELECT l.ver, l.k + 1, p.i, min({gap}), arg_min(b.i, {gap}) FROM lay l JOIN p b ON b.ver = l.ver AND b.i = l.i JOIN p ON p.ver = l.ver AND p.i > l.i
+  WHERE l.k < {most} GROUP BY l.ver, l.k, p.i),
+ back(ver, classes, k, i) AS (SELECT lay.ver, k, k, i FROM lay JOIN (SELECT ver, max(i) AS top FROM p GROUP BY ver) t ON t.ver = lay.ver AND t.top = lay.i WHERE k IN ({classes})
+  UNION ALL SELECT x.ver, x.classes, x.k - 1, l.j FROM back x JOIN lay l ON l.ver = x.ver AND l.k = x.k AND l.i = x.i WHERE x.k > 1),
+ cut AS (SELECT back.ver, classes, list(v ORDER BY k) AS cuts FROM back JOIN p ON p.ver = back.ver AND p.i = back.i WHERE k < classes GROUP BY back.ver, classes)"""
+
+
+CUT_FALLBACKS = {3: rules.CLAUSE_CUTS, 4: rules.DOCUMENT_CUTS, 6: rules.TIER_CUTS}
+
+
+@query("stat_thresholds", "R17 R18 R19", f"""WITH RECURSIVE {cuts_sql("SELECT 0 AS ver, round(c_acctbal, 2) AS v, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY ALL", "3, 4, 6", 6)}
+SELECT classes, (SELECT count(c_acctbal) FROM customer) AS sample_size, true AS is_data_derived, cuts FROM cut""")
 def stat_thresholds(spark, sf):
-    """Three-class cuts of account balances: a deterministic reference sample, exact breaks."""
-    return risk.thresholds(table(spark, sf, "customer"), "c_acctbal", "c_custkey", 3, rules.CLAUSE_CUTS)
+    """Cuts of all account balances into three, four and six classes."""
+    return thresholds.thresholds(table(spark, sf, "customer"), "c_acctbal", CUT_FALLBACKS)
+
+
+def label_sql(score: str, cuts: str, kind: str) -> str:
+    labels = ", ".join(quoted(x) for x in thresholds.KINDS[kind][1])
+    return f"CASE WHEN {score} IS NOT NULL THEN [{labels}][len(list_filter({cuts}, lambda c: {score} >= c)) + 1] END"
+
+
+def fixed_sql(kind: str) -> str:
+    return "[" + ", ".join(str(c) for c in thresholds.KINDS[kind][0]) + "]"
+
+
+#: Order values in thousands stand in for scores, the year of the order for the time of scoring.
+def order_scores(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_totalprice") / 1000).alias("score"),
+                                             F.year("o_orderdate").alias("year"))
+
+
+_VERSIONED = f"""o AS (SELECT o_orderkey AS doc_id, o_totalprice / 1000 AS score, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders),
+ y AS (SELECT DISTINCT year AS ver FROM o), {cuts_sql("SELECT y.ver, round(score, 0) AS v, count(*) AS n FROM o JOIN y ON o.year < y.ver GROUP BY y.ver, round(score, 0)", "4", 4)},
+ made AS (SELECT y.ver, (SELECT count(*) FROM o WHERE year < y.ver) AS n, cuts FROM y LEFT JOIN cut ON cut.ver = y.ver),
+ ver AS (SELECT ver AS version, n AS sample_size, n >= {rules.MIN_REFERENCE} AS is_data_derived, CASE WHEN n >= {rules.MIN_REFERENCE} THEN cuts ELSE {fixed_sql("document")} END AS cuts FROM made)"""
+
+
+@query("stat_threshold_versions", "R17 R18 R19", f"WITH RECURSIVE {_VERSIONED} SELECT * FROM ver")
+def stat_threshold_versions(spark, sf):
+    """A version of the document cuts per year, from all earlier years."""
+    made = thresholds.versions(order_scores(spark, sf), "score", F.col("year"), "document", digits=0)
+    return made.select("version", "sample_size", "is_data_derived", "cuts")
+
+
+@query("risk_levels_as_of", "R14 R19", f"""WITH RECURSIVE {_VERSIONED}
+SELECT doc_id, version AS cut_version, {label_sql("score", "cuts", "document")} AS level FROM o JOIN ver ON version = year""")
+def risk_levels_as_of(spark, sf):
+    """Orders labelled by the cuts that were in force in their year, through stored versions."""
+    scores = order_scores(spark, sf)
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cuts-{uuid.uuid4().hex}"
+    thresholds.store(thresholds.versions(scores, "score", F.col("year"), "document", digits=0), path)
+    rows = thresholds.as_of(scores, spark.read.parquet(path), "document", "score", F.col("year"))
+    return rows.select("doc_id", "cut_version", "level")
 
 
 @query("stat_recent_scores", "Q5", "SELECT c_acctbal FROM customer WHERE c_acctbal IS NOT NULL ORDER BY c_custkey DESC LIMIT 500")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import patterns as P
-from ..operators import graph, pairs, retrieve, segment
+from ..operators import graph, pairs, retrieve, segment, vector_index
+from ..session import ensure_checkpoint_dir
 from .corpus import ansi_clauses, clauses, table
 from .facts import _PARTY_TEXT
 from .registry import query, quoted, rx
@@ -41,6 +44,35 @@ def search_nearest_scores(spark, sf):
     return top_pool(spark, sf, 20).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("similarity"), 4).alias("total"))
 
 
+def scratch(spark, name):
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def clause_index(spark, sf):
+    """A vector index of all clauses, written to the shared folder."""
+    path = scratch(spark, "index")
+    rows = with_vectors(clauses(spark, sf), spark, sf).select(F.col("clause_id").alias("vec_key"), (F.col("supp_no") % 10).alias("user_id"), "embedding")
+    vector_index.build(rows, path, ["user_id"])
+    return path
+
+
+@query("search_index_exact", "V1", VEC + "SELECT query_id, rank, round(sim + 1e-8, 5) AS similarity FROM k WHERE rank <= 20")
+def search_index_exact(spark, sf):
+    """Every question against all lists of the stored index."""
+    found = vector_index.search(questions(spark, sf), clause_index(spark, sf), 20, ["user_id"], exact=True)
+    return found.select("query_id", "rank", F.round(F.col("similarity") + 1e-8, 5).alias("similarity"))
+
+
+@query("search_index_recall", "V1")
+def search_index_recall(spark, sf):
+    """The share of the twenty true neighbours of each question that the lists it probes hold."""
+    path, asked = clause_index(spark, sf), questions(spark, sf)
+    found, true = (vector_index.search(asked, path, 20, ["user_id"], exact=e) for e in (False, True))
+    return vector_index.recall_of(found, true)
+
+
 @query("search_two_stage", "V2 V5")
 def search_two_stage(spark, sf):
     pool = top_pool(spark, sf, 20)

@@ -407,7 +407,6 @@ CLAUSE_CUTS = (35.0, 70.0)
 DOCUMENT_CUTS = (35.0, 60.0, 80.0)
 LEVEL_POINTS = {"High": 90, "Medium": 55, "Low": 25, "None": 5}
 MIN_REFERENCE = 30
-MAX_SAMPLE = 1500
 
 # Recommendations per clause type.
 RECOMMENDATIONS = {

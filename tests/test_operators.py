@@ -7,12 +7,14 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import chunking
 from lexmill.functions import text as X
-from lexmill.operators import authenticity, classify, compare, groups, maintain, normalize, pairs, retrieve, risk, segment, stats
+from lexmill.operators import (authenticity, classify, compare, groups, maintain, normalize, pairs, retrieve, risk, segment, stats,
+                               thresholds)
 
 
 def col(spark, values, expr, kind="string"):
@@ -96,14 +98,38 @@ def brute_breaks(values, classes):
     return best[1]
 
 
-def test_natural_breaks(spark):
+@pytest.mark.parametrize("classes", [2, 3, 4])
+def test_natural_breaks(classes):
+    rng = random.Random(classes)
+    for n in (4, 9, 22):
+        values = [round(rng.gauss(c, 3), 1) for c in (10, 25, 90) for _ in range(n)]
+        kept, counts = np.unique(values, return_counts=True)
+        splits = thresholds.Splits(kept, counts.astype("float64"), classes)
+        assert splits.cuts(classes) == brute_breaks(values, classes)
+
+
+def test_thresholds(spark):
     rng = random.Random(5)
-    values = [round(rng.gauss(c, 2), 3) for c in (10, 40, 90) for _ in range(10)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    row = stats.natural_breaks(df, "v", 3).first()
-    assert [row["cut_1"], row["cut_2"]] == brute_breaks(values, 3)
-    few = risk.thresholds(spark.createDataFrame([(i, 1.0) for i in range(5)], "k int, s double"), "s", "k", 3, (35.0, 70.0)).first()
-    assert (few["cut_1"], few["cut_2"], few["is_data_derived"]) == (35.0, 70.0, False)
+    values = [round(rng.gauss(c, 2), 2) for c in (10, 40, 90) for _ in range(10)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").crossJoin(spark.range(3))
+    row = thresholds.thresholds(df, "v", {3: (35.0, 70.0)}).first()
+    assert (list(row["cuts"]), row["sample_size"], row["is_data_derived"]) == (brute_breaks(values, 3), 90, True)
+    few = thresholds.thresholds(spark.createDataFrame([(1.0,)] * 5, "s double"), "s", {3: (35.0, 70.0)}).first()
+    assert (list(few["cuts"]), few["is_data_derived"]) == ([35.0, 70.0], False)
+    none = thresholds.thresholds(spark.createDataFrame([], "s double"), "s", {3: (35.0, 70.0)}).first()
+    assert (list(none["cuts"]), none["sample_size"]) == ([35.0, 70.0], 0)
+    same = thresholds.thresholds(spark.createDataFrame([(7.0,)] * 40, "s double"), "s", {3: (35.0, 70.0)}).first()
+    assert list(same["cuts"]) == [7.0, 7.0]
+
+
+def test_levels_follow_the_version_of_their_time(spark, tmp_path):
+    path = str(tmp_path / "cuts")
+    stored = lambda rows: thresholds.store(spark.createDataFrame(rows, "kind string, version long, cuts array<double>"), path)
+    stored([("clause", 2, [10.0, 20.0]), ("clause", 5, [50.0, 60.0]), ("document", 3, [1.0, 2.0, 3.0])])
+    stored([("clause", 5, [30.0, 40.0])])
+    rows = spark.createDataFrame([(1, 1, 36.0), (2, 2, 20.0), (3, 4, 9.0), (4, 5, 40.0), (5, 9, 30.0), (6, 9, None)], "k int, at int, s double")
+    got = {r["k"]: (r["cut_version"], r["level"]) for r in thresholds.as_of(rows, spark.read.parquet(path), "clause", "s", F.col("at")).collect()}
+    assert got == {1: (None, "Medium"), 2: (2, "High"), 3: (2, "Low"), 4: (5, "High"), 5: (5, "Medium"), 6: (5, None)}
 
 
 def test_components(spark):
@@ -213,7 +239,7 @@ def test_subject_similarity(spark):
 
 def test_stream_intake(spark, tmp_path):
     from lexmill.streaming import intake
-    text = "Termination\nThe supplier may terminate this agreement on written notice of termination.\n\nSum Insured: 500."
+    text = "Termination\nThe supplier may terminate this agreement on written notice of termination.\n\nBadge Colour: Blue."
     rows = [(1, 7, text), (2, 7, text), (3, 8, text)]
     schema = "doc_id long, user_id long, full_text string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
