@@ -3,17 +3,20 @@
 The lexer stands at every `=`, `:`, `:=` or `=>`, reads the name to its left (quotes and brackets
 allowed) and the expression to its right: quoted literals, bare words, names, joined by `+` or `.`.
 Names are kept with their value, so a literal that reaches a sensitive name over constants and
-concatenations is found where it is written. A finding is scored by the parts of the target's name and
-by the literal itself; placeholders count against it.
+concatenations is found where it is written. A value is kept as its parts and the shape of its text, never
+as joined text, so values that are joined again and again take no more memory than what is written. A
+finding is scored by the parts of the target's name and by the literal itself; placeholders count against it.
 
-Defined results: a null text is the empty text, without spans; equal texts give equal rows; spans count
-code points and end before `end`; only the id and the text are read.
+Defined results: a null text is the empty text, without spans; equal texts give equal rows, repeated
+rows one each; an empty table gives an empty result; spans count code points and end before `end`; only the
+id and the text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,26 +42,65 @@ NAME_POINTS = {"password": 4, "passwd": 4, "passphrase": 4, "pwd": 4, "secret":
                "id": -2, "name": -2, "path": -3, "file": -3, "url": -3, "uri": -3, "public": -4, "length": -4, "count": -4, "type": -3,
                "hint": -4, "policy": -4, "label": -3, "expires": -4, "expiry": -4, "field": -3}
 NAME_LEAST, SCORE_LEAST = 3, 6
-PLACEHOLDER = re.compile(r"change_?me|example|placeholder|your[_-]|dummy|redacted|\A(?:null|none|true|false|undefined|test|x+|\*+|\.+)\Z|\A[$<%{]", re.I)
+#: Placeholders: words anywhere in a value, and whole values.
+WITHIN = re.compile(r"change_?me|example|placeholder|your[_-]|dummy|redacted", re.I)
+WHOLE = re.compile(r"(?:null|none|true|false|undefined|test)\Z", re.I)
 
 
 def name_points(name: str) -> int:
     return sum(NAME_POINTS.get(p.lower(), 0) for p in PART.findall(name))
 
 
-def literal_points(value: str) -> int:
-    if len(value) < 6 or PLACEHOLDER.search(value):
-        return -9
-    kinds = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return (len(value) >= 8) + (len(value) >= 16) + (kinds >= 2) + (kinds >= 3) + (len(set(value)) >= 6)
+#: Characters of the longest word that PLACEHOLDER seeks anywhere, less one; a shorter value is kept whole.
+EDGE = 10
+#: As many different characters count; more are not told apart.
+ENOUGH = 6
 
 
-@dataclass
+@dataclass(frozen=True)
+class Shape:
+    """What is known of a value: its length, ends, kinds of character and some of its characters. Never its whole text."""
+
+    length: int = 0
+    head: str = ""
+    tail: str = ""
+    kinds: int = 0
+    chars: frozenset = frozenset()
+    placeholder: bool = False
+
+    @staticmethod
+    def of(text: str) -> Shape:
+        kinds = sum(any(test(c) for c in text) << k for k, test in enumerate((str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())))
+        return Shape(len(text), text[:EDGE], text[-EDGE:], kinds, frozenset(sorted(set(text))[:ENOUGH]), bool(WITHIN.search(text)))
+
+    def __add__(self, other: Shape) -> Shape:
+        """The shape of both texts joined."""
+        if not self.length or not other.length:
+            return self if self.length else other
+        head = self.head if self.length >= EDGE else (self.head + other.head)[:EDGE]
+        tail = other.tail if other.length >= EDGE else (self.tail + other.tail)[-EDGE:]
+        return Shape(self.length + other.length, head, tail, self.kinds | other.kinds, frozenset(sorted(self.chars | other.chars)[:ENOUGH]),
+                     self.placeholder or other.placeholder or bool(WITHIN.search(self.tail + other.head)))
+
+    def stands_in(self) -> bool:
+        """Is the value a placeholder?"""
+        whole = self.length <= EDGE and WHOLE.match(self.head)
+        repeated = self.chars <= {"x", "X"} or self.chars <= {"*"} or self.chars <= {"."}
+        return self.placeholder or bool(whole) or repeated or self.head[:1] in tuple("$<%{")
+
+    def points(self) -> int:
+        if self.length < 6 or self.stands_in():
+            return -9
+        kinds = self.kinds.bit_count()
+        return (self.length >= 8) + (self.length >= 16) + (kinds >= 2) + (kinds >= 3) + (len(self.chars) >= ENOUGH)
+
+
+@dataclass(eq=False)
 class Value:
-    """What a name stands for: its text so far and where the literals of it are written."""
+    """What a name stands for: the shape of its text, and its parts, which are places of literals and values of other names."""
 
-    text: str = ""
-    spans: list[tuple[int, int]] = field(default_factory=list)
+    shape: Shape = Shape()
+    parts: list[tuple[int, int] | Value] = field(default_factory=list)
 
 
 def name_before(text: str, at: int) -> str:
@@ -81,14 +123,14 @@ def expression(text: str, at: int, known: dict[str, Value]) -> tuple[Value | Non
     while m := TERM.match(text, i):
         terms += 1
         if m["q"]:
-            value.text += m["text"]
-            value.spans.append(m.span("text"))
+            value.shape += Shape.of(m["text"])
+            value.parts.append(m.span("text"))
         elif m["bare"] in known and IDENTIFIER.match(m["bare"]):
-            value.text += known[m["bare"]].text
-            value.spans += known[m["bare"]].spans
+            value.shape += known[m["bare"]].shape
+            value.parts.append(known[m["bare"]])
         else:
-            value.text += m["bare"]
-            value.spans.append(m.span("bare"))
+            value.shape += Shape.of(m["bare"])
+            value.parts.append(m.span("bare"))
         i = m.end()
         j = BLANK.match(text, i).end()
         if j < len(text) and text[j] in "+." and (j == i or text[j] == "+"):
@@ -102,6 +144,7 @@ def named_spans(text: str) -> set[tuple[int, int]]:
     """Where literals are written that reach a sensitive name."""
     found: set[tuple[int, int]] = set()
     known: dict[str, Value] = {}
+    seen: set[Value] = set()
     done = 0
     for m in OPERATOR.finditer(text):
         if m.group() in ("==", "===", "::") or m.start() < done:
@@ -115,11 +158,26 @@ def named_spans(text: str) -> set[tuple[int, int]]:
         done = end
         known[name] = value
         points = name_points(name)
-        if points >= NAME_LEAST and points + literal_points(value.text) >= SCORE_LEAST:
-            found.update(s for s in value.spans if s[1] > s[0])
+        if points >= NAME_LEAST and points + value.shape.points() >= SCORE_LEAST:
+            mark(value, seen, found)
     return found
 
 
+def mark(value: Value, seen: set[Value], found: set[tuple[int, int]]) -> None:
+    """Add the places of all literals that a value is made of; a value that was marked before is not entered again."""
+    left = [value]
+    while left:
+        at = left.pop()
+        if at in seen:
+            continue
+        seen.add(at)
+        for part in at.parts:
+            if isinstance(part, Value):
+                left.append(part)
+            elif part[1] > part[0]:
+                found.add(part)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the three fixed patterns."""
     found = []
@@ -134,8 +192,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Base spans, and all spans: the base ones and named literals outside the assign spans."""
     base = base_spans(text)
     extra = named_spans(text) if ":" in text or "=" in text else set()
-    inside = [(s, e) for s, k, e in base if k == 0]
-    extra = {x for x in extra if not any(s <= x[0] and x[1] <= e for s, e in inside)}
+    inside = [(s, e) for s, k, e in base if k == 0]  # in order, none within another
+    starts = [s for s, _ in inside]
+    extra = {x for x in extra if not ((i := bisect_right(starts, x[0])) and x[1] <= inside[i - 1][1])}
     return base, sorted(base + [(s, 3, e) for s, e in extra])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -83,6 +84,32 @@ def test_named_literals(text, values):
     assert [text[s:e] for s, e in sorted(secret_scan.named_spans(text))] == values
 
 
+def test_values_that_are_joined_again_and_again():
+    text = "a = 'Abcdef1!'\n" + "a = a + a\n" * 200 + "db_password = a + 'tail9' + a\n"
+    assert [text[s:e] for s, e in sorted(secret_scan.named_spans(text))] == ["Abcdef1!", "tail9"]
+    chain = "".join(f"v{i} = v{i - 1} + 'Part{i}x'\n" for i in range(1, 4000)) + "client_secret = v3999\nother_secret = v3999\n"
+    assert len(secret_scan.named_spans("v0 = 'Zero0x'\n" + chain)) == 4000
+
+
+def test_shape_of_joined_text():
+    rng = random.Random(2)
+    whole = lambda v: (len(v), bool(re.search(r"change_?me|example|placeholder|your[_-]|dummy|redacted|\A(?:null|none|true|false|undefined|test|x+|\*+|\.+)\Z"
+                                              r"|\A[$<%{]", v, re.I)), len(set(v)) >= 6, any(c.isupper() for c in v), any(not c.isalnum() for c in v))
+    pieces = ["x", "X", "xx", "", "a", "B7", "$", "chan", "ge", "me", "placeh", "older", "t", "est", "null", "*", "...", "exam", "ple", "your", "-", "Long" * 9]
+    for _ in range(3000):
+        parts = [rng.choice(pieces) for _ in range(rng.randrange(1, 6))]
+        shape = secret_scan.Shape()
+        for p in parts:
+            shape += secret_scan.Shape.of(p)
+        text = "".join(parts)
+        if text:
+            assert (shape.length, shape.stands_in(), len(shape.chars) >= 6, bool(shape.kinds & 2), bool(shape.kinds & 8)) == whole(text)
+
+
+def test_secret_rows_of_an_empty_table(spark):
+    assert secret_scan.secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_secret_rows(spark):
     texts = [None, "", "token=abcdef", "token=abcdef", "🙂 token=abcdef", "= : := =>" * 2000, "a=" * 20_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS spans", "2 AS n_hex")
