@@ -1,12 +1,13 @@
 """Mixing sources to target weights in whole blocks.
 
-Documents are dealt by id into shards of a source; a shard's words, in id order, are cut into
-blocks of nearly equal word counts. Blocks are apportioned by the highest quotients
-target / (2k + 1): first to sources, then to the shards of each source. A shard takes all its
+Documents are dealt by id into shards of a source, so many that a shard holds some SHARD_BLOCKS blocks at
+least; a shard's words, in id order, are cut into blocks of nearly equal word counts. Blocks are apportioned
+by the highest quotients seats / (2k + 1), where the seats of a source are its target in blocks of its own
+size: first to sources, then to the shards of each source. A shard takes all its
 blocks as often as its quota allows and the rest in the order of a seeded hash, so a run can be
 repeated. What a document gives is the overlap of its words with the taken blocks.
 
-The only rows kept per source are its shards, whose number grows with the square root of the
+The only rows kept per source are its shards, of which there are at most the square root of the
 number of documents; sorting is per shard or per source over shards, never over all documents.
 
 Defined results: null and wordless texts have size 0 and give nothing; a null source is a source
@@ -25,6 +26,7 @@ from lexmill.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK_WORDS = 64
+SHARD_BLOCKS = 16
 SEED = 17
 SOURCE = ["no_source", "source"]
 
@@ -97,17 +99,21 @@ def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
         repeats: int = REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, no_source, source, row_hash, size, source_size, target and taken of each row."""
     sizes = cut_lineage(sized(docs, id_column, text, source))
-    shards_per_source = F.lit(max(1, int(sizes.count() ** 0.5)))
+    n_cells = max(1, int(sizes.count() ** 0.5))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    dealt = sizes.withColumn("shard", F.pmod(hash32(key), shards_per_source).cast("long"))
-    shard = [*SOURCE, "shard"]
+    celled = sizes.withColumn("cell", F.pmod(hash32(key), F.lit(n_cells)).cast("long"))
+    cell, shard = [*SOURCE, "cell"], [*SOURCE, "shard"]
+    cells = celled.groupBy(*cell).agg(F.sum("size").alias("words")).withColumn("_own", F.sum("words").over(Window.partitionBy(*SOURCE)))
+    cells = cut_lineage(cells.withColumn("shard", F.expr(f"cell * greatest(1L, least({n_cells}L, _own div {block_words * SHARD_BLOCKS})) div {n_cells}")))
+    dealt = celled.join(cells.select(*cell, "shard"), cell)
     blocks_of = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.floor((F.col("words") + block_words // 2) / block_words))).otherwise(0)
-    shards = dealt.groupBy(*shard).agg(F.sum("size").alias("words")).withColumn("blocks", blocks_of.cast("long"))
+    shards = cells.groupBy(*shard).agg(F.sum("words").alias("words")).withColumn("blocks", blocks_of.cast("long"))
     sources = targets(shards.groupBy(*SOURCE).agg(F.sum("words").alias("source_size")), weights, repeats)
     blocks = shards.groupBy(*SOURCE).agg(F.sum("blocks").alias("source_blocks"))
-    per_source = sources.join(blocks, SOURCE).withColumn("_all", F.lit(0)).withColumn(
-        "_seats", F.sum("source_blocks").over(Window.partitionBy("_all"))).withColumn("_cap", F.col("source_blocks") * repeats)
-    source_quota = apportion(per_source, ["_all"], ["rank"], "target", "_cap", "_seats").select(
+    needed = F.when(F.col("source_size") > 0, F.col("target") * F.col("source_blocks") / F.col("source_size")).otherwise(0.0)
+    per_source = sources.join(blocks, SOURCE).withColumn("_all", F.lit(0)).withColumn("_needed", needed).withColumn(
+        "_seats", F.round(F.sum("_needed").over(Window.partitionBy("_all"))).cast("long")).withColumn("_cap", F.col("source_blocks") * repeats)
+    source_quota = apportion(per_source, ["_all"], ["rank"], "_needed", "_cap", "_seats").select(
         *SOURCE, "source_size", "target", F.col("quota").alias("source_quota"))
     per_shard = shards.join(source_quota, SOURCE).withColumn("_cap", F.col("blocks") * repeats)
     plan = cut_lineage(apportion(per_shard, SOURCE, ["shard"], "blocks", "_cap", "source_quota").select(
@@ -201,10 +207,12 @@ def taken_once_more(plan: DataFrame, seed: int) -> DataFrame:
 
 #: The same mix in SQL of the checking engine.
 MIX_SQL = f"""
-WITH d AS (SELECT doc_id, CAST(source IS NULL AS INT) AS no_source, coalesce(source, '') AS source,
+WITH d0 AS (SELECT doc_id, CAST(source IS NULL AS INT) AS no_source, coalesce(source, '') AS source,
                   CAST(len({ANSI_WORDS.format(text="text")}) AS BIGINT) AS size,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
-                    % greatest(1, CAST(floor(sqrt((SELECT count(*) FROM documents))) AS BIGINT)) AS shard FROM documents),
+                    % greatest(1, CAST(floor(sqrt((SELECT count(*) FROM documents))) AS BIGINT)) AS cell FROM documents),
+nc AS (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS n_cells FROM documents),
+d AS (SELECT d0.*, cell * greatest(1, least(n_cells, CAST(sum(size) OVER (PARTITION BY no_source, source) AS BIGINT) // {BLOCK_WORDS * SHARD_BLOCKS})) // n_cells AS shard FROM d0, nc),
 sh AS (SELECT *, CASE WHEN words > 0 THEN greatest(1, (words + {BLOCK_WORDS // 2}) // {BLOCK_WORDS}) ELSE 0 END AS blocks
        FROM (SELECT no_source, source, shard, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL)),
 s0 AS (SELECT *, row_number() OVER (ORDER BY no_source, source) AS rank
@@ -218,9 +226,10 @@ s3 AS (SELECT *, lim * open_weight <= (total - stopped) * weight AS stops FROM s
 s4 AS (SELECT *, CASE WHEN stops THEN CAST(lim AS DOUBLE)
                       ELSE CAST(weight * (total - coalesce(sum(lim) FILTER (stops) OVER (), 0)) AS DOUBLE)
                            / sum(weight) FILTER (NOT stops) OVER () END AS target FROM s3),
-q1 AS (SELECT rank, k FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place
-                            FROM (SELECT rank, target, unnest(range({REPEATS} * source_blocks)) AS k FROM s4 WHERE target > 0))
-       WHERE place <= (SELECT sum(source_blocks) FROM s4)),
+nd AS (SELECT rank, source_blocks, CASE WHEN source_size > 0 THEN target * source_blocks / source_size ELSE 0.0 END AS needed FROM s4),
+q1 AS (SELECT rank, k FROM (SELECT *, row_number() OVER (ORDER BY needed / (2 * k + 1) DESC, rank, k) AS place
+                            FROM (SELECT rank, needed, unnest(range({REPEATS} * source_blocks)) AS k FROM nd WHERE needed > 0))
+       WHERE place <= (SELECT round(sum(needed)) FROM nd)),
 s5 AS (SELECT s4.*, coalesce(n, 0) AS source_quota FROM s4 LEFT JOIN (SELECT rank, count(*) AS n FROM q1 GROUP BY rank) USING (rank)),
 q2 AS (SELECT no_source, source, shard, count(*) AS n
        FROM (SELECT *, row_number() OVER (PARTITION BY no_source, source ORDER BY CAST(blocks AS DOUBLE) / (2 * k + 1) DESC, shard, k) AS place

@@ -78,6 +78,19 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(by_target[name] - target) <= 0.02 * target + 2 * mixing.BLOCK_WORDS
 
 
+@pytest.mark.parametrize("counts", [(8000, 4000, 150), (500, 3000, 20)])
+def test_sources_of_short_texts_come_to_their_targets(spark, counts):
+    rows = [(k * 100_000 + i, f"w{i} " * n, "abc"[k]) for k, (n, many) in enumerate(zip((250, 60, 10), counts)) for i in range(many)]
+    rows += [(900_000 + i, f"u{i} " * 4000, "d") for i in range(5)]
+    got = collections.Counter()
+    source = {r[0]: r[2] for r in rows}
+    for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[source[r.doc_id]] += r.taken
+        assert r.taken <= 3 * r.size
+    for name, target in goal(words_of_sources((t, s) for _, t, s in rows)).items():
+        assert abs(got[name] - target) <= max(0.02 * target, mixing.BLOCK_WORDS)
+
+
 def test_mix_of_odd_rows(spark):
     docs = spark.createDataFrame(ODD, SCHEMA).selectExpr("*", "1 AS size", "2 AS rank", "3 AS row", "4 AS _times")
     got = mixing.mix(docs).collect()
