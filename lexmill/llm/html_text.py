@@ -6,14 +6,17 @@ aligned in columns (also below cells that span rows), preformatted text keeps it
 is emitted, that of formulas, drawings and image maps as well.
 
 Defined results: a null or empty page has the empty text; a page without markup gives its own text,
-collapsed; unclosed and stray tags are mended as browsers do; cells wider than WIDEST are not padded to
-(their text stays whole); lists nested deeper than DEEPEST are no longer indented; equal pages give equal
-texts; only the id and the page are read.
+collapsed; unclosed and stray tags are mended as browsers do; cells wider than `widest` are not padded to
+(their text stays whole); lists nested deeper than `deepest` are no longer indented, their numbers and marks
+stay; the time grows with the length of the page; equal pages give equal texts; only the id and the page are
+read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,9 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
+#: A tag where it stands; the page is known to hold a `>` behind it.
+TAG = re.compile(r"""<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -50,9 +52,10 @@ ENDS = {
 ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"]
 #: Elements that an end tag inside them does not close.
 WALLS = {"table", "td", "th", "caption", "template", "object"}
+THROUGH_WALLS = {"table", "tr", "tbody", "thead", "tfoot", "body"}
 IN_HEAD = set("base link meta noscript script style template title".split())
-WIDEST = 40
-DEEPEST = 20
+#: Bounds of padding and of indents, unless others are given.
+WIDEST, DEEPEST = 40, 20
 
 
 class Element:
@@ -77,43 +80,52 @@ class Element:
 
 
 class Tree:
-    """The open elements of a page and what they hold so far."""
+    """The open elements of a page and what they hold so far. Where each tag is open is kept, so none is sought element by element."""
 
     def __init__(self):
         self.root = Element("html")
         self.open = [self.root]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.foreign = False
 
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((at[-1] for tag in tags if (at := self.places.get(tag))), default=0)
+
+    def close(self, at: int) -> None:
+        """Closes the open element at a place and all inside it."""
+        for element in self.open[at:]:
+            self.places[element.tag].pop()
+        del self.open[at:]
+
     def close_through(self, tags: set[str], walls: set[str]) -> None:
         """Closes the outermost open element of these tags above the nearest wall, with all inside it."""
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in walls:
-                break
-            if self.open[i].tag in tags:
-                at = i
-        if at is not None:
-            del self.open[at:]
+        held = [at for tag in tags if (at := self.places.get(tag))]
+        if held:
+            wall = self.nearest(walls)
+            outermost = min((at[i] for at in held if (i := bisect_right(at, wall)) < len(at)), default=0)
+            if outermost:
+                self.close(outermost)
 
     def push(self, tag: str, attributes: str = "", closed: bool = False) -> None:
         element = Element(tag, attributes)
         self.foreign = self.foreign or tag in FOREIGN
         self.open[-1].children.append(element)
         if tag not in VOID and not closed:
+            self.places[tag].append(len(self.open))
             self.open.append(element)
 
     def closes_itself(self, tag: str, attributes: str) -> bool:
         """In drawings and formulas <x/> is a whole element."""
         if not attributes.endswith("/"):
             return False
-        holder = next((e.tag for e in reversed(self.open) if e.tag in FOREIGN or e.tag == "foreignobject"), "") if self.foreign else ""
-        return tag in FOREIGN or holder in FOREIGN
+        return tag in FOREIGN or (self.foreign and self.nearest(FOREIGN) > self.nearest(["foreignobject"]))
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "html":
             return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self.close(len(self.open) - 1)
         if tag in BLOCKS:
             self.close_through({"p"}, WALLS | {"button"} | BLOCKS - {"p"})
         if tag in ENDS:
@@ -124,42 +136,54 @@ class Tree:
         self.push(tag, attributes)
 
     def end(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body"):
-                return
+        at = self.nearest([tag])
+        if at and (tag in THROUGH_WALLS or at >= self.nearest(WALLS)):
+            self.close(at)
 
     def text(self, text: str) -> None:
         if self.open[-1].tag == "head" and text.strip():
-            self.open.pop()
+            self.close(len(self.open) - 1)
         self.open[-1].children.append(text)
 
 
+def next_tag(page: str, at: int, last: int) -> tuple[int, int, str | None, re.Match | None]:
+    """Where the next piece of markup begins and ends, the text of a CDATA section, and the match of a tag. last: place of the last `>`."""
+    start = page.find("<", at)
+    while start >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return start, end + 3 if end >= 0 else len(page), None, None
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            return start, end + 3 if end >= 0 else len(page), page[start + 9:end if end >= 0 else len(page)], None
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            return start, end + 1 if end >= 0 else len(page), None, None
+        if start < last and (m := TAG.match(page, start)):
+            return start, m.end(), None, m
+        start = page.find("<", start + 1)
+    return len(page), len(page), None, None
+
+
 def parse(page: str) -> Element:
-    tree, at = Tree(), 0
+    tree, at, last = Tree(), 0, page.rfind(">")
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            tree.text(unescape(page[at:]))
-            break
-        if m.start() > at:
-            tree.text(unescape(page[at:m.start()]))
-        at = m.end()
-        if m["cdata"] is not None:
-            tree.text(m["cdata"])
-        elif m["tag"]:
+        start, end, cdata, m = next_tag(page, at, last)
+        if start > at:
+            tree.text(unescape(page[at:start]))
+        at = end
+        if cdata is not None:
+            tree.text(cdata)
+        elif m:
             tag = m["tag"].lower()
             if m["end"]:
                 tree.end(tag)
+            elif tree.closes_itself(tag, m["attributes"]):
+                tree.push(tag, m["attributes"], closed=True)
             else:
-                if tree.closes_itself(tag, m["attributes"]):
-                    tree.push(tag, m["attributes"], closed=True)
-                    continue
                 tree.start(tag, m["attributes"])
                 if tag in RAW:
-                    closing = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+                    closing = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at, last + 1)
                     body = page[at:closing.start() if closing else len(page)]
                     tree.text(unescape(body) if tag in ("textarea", "title") else body)
                     tree.end(tag)
@@ -168,13 +192,22 @@ def parse(page: str) -> Element:
 
 
 class Lines:
-    """Text being laid out: finished lines, the line in the making and the gap asked for before the next one."""
+    """Text being laid out: finished lines, the line in the making and the gap asked for before the next one.
 
-    def __init__(self):
+    Items and quotes are levels of the same lines. A level's mark stands before its first line, its rest (blanks or a quote
+    mark) before the others; from level `deepest` on blanks are left out, marks never. Gaps asked for inside a level before
+    its first line or after its last do not count.
+    """
+
+    def __init__(self, deepest: int):
         self.done: list[str] = []
         self.line: list[str] = []
         self.space = False
         self.gap = 0
+        self.deepest = deepest
+        self.levels: list[tuple[str, str, int]] = []  # mark, rest, gap before
+        self.fresh = self.unmarked = 0  # levels from here on have no line, no mark yet
+        self.deep_quotes = 0  # marked quotes below the deepest indented level
 
     def text(self, text: str) -> None:
         words = text.split()
@@ -192,11 +225,35 @@ class Lines:
         self.line, self.space = [], False
         self.gap = max(self.gap, gap)
 
+    def begin_level(self, mark: str, rest: str) -> None:
+        self.levels.append((mark, rest, self.gap))
+        self.gap = 0
+
+    def end_level(self) -> None:
+        self.end_line()
+        mark, rest, gap = self.levels.pop()
+        level = len(self.levels)
+        if level < self.unmarked and level >= self.deepest and rest.strip():
+            self.deep_quotes -= 1
+        self.gap = gap if level >= self.fresh else 0
+        self.fresh, self.unmarked = min(self.fresh, level), min(self.unmarked, level)
+
     def add(self, line: str) -> None:
+        gap = self.levels[self.fresh][2] if self.fresh < len(self.levels) else self.gap
         if self.done:
-            self.done += [""] * self.gap
-        self.done.append(line)
-        self.gap = 0
+            self.done += [""] * gap
+        self.gap, self.fresh = 0, len(self.levels)
+        self.done.append(self.prefix() + line if line else line)
+
+    def prefix(self) -> str:
+        marked, self.unmarked = self.unmarked, len(self.levels)
+        if not self.levels:
+            return ""
+        rests = [rest for _, rest, _ in self.levels[:min(marked, self.deepest)]]
+        marks = [mark for mark, _, _ in self.levels[marked:]]
+        before = "".join(rests) + "> " * self.deep_quotes + "".join(marks)
+        self.deep_quotes += sum(bool(rest.strip()) for _, rest, _ in self.levels[max(marked, self.deepest):])
+        return before
 
     def kept(self, text: str) -> None:
         """Preformatted text, line by line."""
@@ -211,15 +268,24 @@ class Lines:
         return self.done
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Cells as lists of lines -> table lines with columns of common widths."""
-    columns = max((len(r) for r in rows), default=0)
-    widths = [max([len(line) for r in rows if c < len(r) for line in r[c] if len(line) <= WIDEST], default=0) for c in range(columns)]
+def aligned(rows: list[tuple[list[tuple[int, list[str]]], int]], widest: int) -> list[str]:
+    """Rows of (column, lines) cells and the column where each row ends -> table lines with columns of common widths.
+
+    Columns in which no cell begins are laid out as one, so a cell over very many columns takes no room for them.
+    """
+    begun = sorted({c for cells, _ in rows for c, _ in cells})
+    behind = [*begun[1:], max((end for _, end in rows), default=0)]
+    columns = [c for a, b in zip(begun, behind) for c in ((a, a + 1) if a + 1 < b else (a,))]
+    widths = dict.fromkeys(columns, 0)
+    for cells, _ in rows:
+        for c, lines in cells:
+            widths[c] = max([widths[c], *[len(line) for line in lines if len(line) <= widest]])
     out = []
-    for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
-            cells = [(cell[k] if k < len(cell) else "").ljust(widths[c]) for c, cell in enumerate(row)]
-            out.append(" | ".join(cells).rstrip())
+    for cells, end in rows:
+        held = dict(cells)
+        shown = columns[:bisect_left(columns, end)]
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            out.append(" | ".join((held[c][k] if c in held and k < len(held[c]) else "").ljust(widths[c]) for c in shown).rstrip())
     return out
 
 
@@ -234,34 +300,38 @@ class Table:
     MOST_ROWS = 65534
 
     def __init__(self):
-        self.rows: list[list[list[str]]] = []
-        self.spans: dict[int, int] = {}
-        self.filled: set[int] = set()
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.ends: list[int] = []
+        self.spans: list[tuple[int, int, int]] = []  # first column, column behind, rows left
+        self.filled: list[tuple[int, int]] = []
 
     def group(self) -> None:
-        self.spans = {}
+        self.spans = []
 
     def row(self) -> None:
         self.rows.append([])
-        self.filled = set(self.spans)
-        self.spans = {c: n - 1 for c, n in self.spans.items() if n > 1}
+        self.ends.append(0)
+        self.filled = [(a, b) for a, b, _ in sorted(self.spans, reverse=True)]
+        self.spans = [(a, b, n - 1) for a, b, n in self.spans if n > 1]
 
     def cell(self, lines: list[str], columns: int, rows: int) -> None:
         if not self.rows:
             self.row()
-        row = self.rows[-1]
-        while len(row) in self.filled:
-            row.append([])
+        at = self.ends[-1]
+        while self.filled and self.filled[-1][0] <= at:
+            at = max(at, self.filled.pop()[1])
         if rows != 1:
-            self.spans |= dict.fromkeys(range(len(row), len(row) + columns), (rows or self.MOST_ROWS) - 1)
-        row += [lines] + [[]] * (columns - 1)
+            self.spans.append((at, at + columns, (rows or self.MOST_ROWS) - 1))
+        self.rows[-1].append((at, lines))
+        self.ends[-1] = at + columns
 
 
 class Page:
     """Walks a tree without recursion: `enter` and `leave` of each element, over a stack of text under layout."""
 
-    def __init__(self):
-        self.layout = [Lines()]
+    def __init__(self, widest: int = WIDEST, deepest: int = DEEPEST):
+        self.widest, self.deepest = widest, deepest
+        self.layout = [Lines(deepest)]
         self.lists: list[list] = []
         self.tables: list[Table] = []
         self.pre = 0
@@ -310,25 +380,29 @@ class Page:
             self.drawings += 1
         elif tag == "pre":
             self.pre += 1
-        if tag in ("li", "td", "th", "blockquote"):
-            self.layout.append(Lines())
+        if tag == "li":
+            marker = self.marker()
+            now.begin_level(marker, " " * len(marker))
+        elif tag == "blockquote":
+            now.begin_level("> ", "> ")
+        elif tag in ("td", "th"):
+            self.layout.append(Lines(self.deepest))
 
     def leave(self, e: Element) -> None:
         tag = e.tag
-        if tag in ("li", "td", "th", "blockquote"):
+        if tag in ("td", "th"):
             inner = self.layout.pop().finish()
-            now = self.layout[-1]
-            if tag in ("td", "th") and self.tables:
+            if self.tables:
                 self.tables[-1].cell(inner, number(e, "colspan", 1, 1), number(e, "rowspan", 0, 1, Table.MOST_ROWS))
             else:
-                marker = self.marker() if tag == "li" else "> " if tag == "blockquote" else ""
-                deep = len(self.layout) > DEEPEST
-                for k, line in enumerate(inner):
-                    now.add(line if deep else (marker if k == 0 or tag == "blockquote" else " " * len(marker)) + line if line else line)
+                for line in inner:
+                    self.layout[-1].add(line)
         now = self.layout[-1]
+        if tag in ("li", "blockquote"):
+            now.end_level()
         if tag == "table":
-            rows = self.tables.pop().rows
-            for line in aligned([r for r in rows if any(r)]):
+            made = self.tables.pop()
+            for line in aligned(list(zip(made.rows, made.ends)), self.widest):
                 now.add(line)
         elif tag in ("ul", "ol", "menu"):
             self.lists.pop()
@@ -347,18 +421,20 @@ class Page:
         return f"{self.lists[-1][1] - 1}. "
 
 
-def visible_text(page: str | None) -> str:
-    return Page().render(parse(page)) if page else ""
+def visible_text(page: str | None, widest: int = WIDEST, deepest: int = DEEPEST) -> str:
+    return Page(widest, deepest).render(parse(page)) if page else ""
 
 
-def text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = pd.Series([visible_text(p) for p in batch["html"]], dtype=object)
-        yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "text": texts, "n_chars": texts.str.len().astype("int64")})
+def text_rows(widest: int, deepest: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = pd.Series([visible_text(p, widest, deepest) for p in batch["html"]], dtype=object)
+            yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "text": texts, "n_chars": texts.str.len().astype("int64")})
+    return run
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_column: str = "page_id", html: str = "html", widest: int = WIDEST, deepest: int = DEEPEST) -> DataFrame:
     """One row per page: page_id, text and n_chars."""
     kind = pages.select(id_column).schema[0].dataType.simpleString()
     return pages.select(F.col(id_column).alias("page_id"), F.col(html).alias("html")).mapInPandas(
-        text_rows, f"page_id {kind}, text string, n_chars long")
+        text_rows(widest, deepest), f"page_id {kind}, text string, n_chars long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -184,3 +185,22 @@ def test_all_visible_words_come_out(spark):
 ])
 def test_formulas_drawings_maps_and_cells_over_rows(page, text):
     assert html_text.visible_text(page) == text
+
+
+@pytest.mark.parametrize("page,least", [
+    ("<a " * 400_000, 1_199_999), ("<span>" * 100_000 + "</b>" * 100_000 + "x", 1), ("<ul><li>x" * 20_000, 60_000),
+    ("<span>" * 20_000 + "<td>x" * 20_000, 20_000), ("<table><tr>" + "<td colspan=1000>x" * 5_000, 5_000),
+    ("<script>" + "</script " * 50_000 + ">x", 1), ("<svg>" + "<g>" * 20_000 + "<x/>" * 20_000 + "x", 1), ("<!--" * 100_000, 0), ("<p><b>" * 50_000 + "x", 1)])
+def test_time_grows_with_the_page(page, least):
+    began = time.perf_counter()
+    assert len(html_text.visible_text(page)) >= least
+    assert time.perf_counter() - began < 10
+
+
+def test_marks_of_deep_lists_stay():
+    page = "".join(f"<ol start={i}><li>x" for i in range(1, 61))
+    lines = html_text.visible_text(page, deepest=3).split("\n")
+    assert [line.split()[-2] for line in lines] == [f"{i}." for i in range(1, 61)]
+    assert lines[59] == " " * 9 + "60. x" and lines[1] == "   2. x"
+    quotes = html_text.visible_text("<blockquote>" * 50 + "a<br>b")
+    assert quotes.split("\n") == ["> " * 50 + "a", "> " * 50 + "b"]
