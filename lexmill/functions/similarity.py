@@ -1,4 +1,7 @@
-"""Sequence-matcher ratio for candidate pairs that blocking has already thinned out."""
+"""How alike two texts are: by the words they share, by the edits between them, or by their matching blocks.
+
+All but the last are columns of built-in functions; matching blocks are sought only where the edits leave it open.
+"""
 
 from __future__ import annotations
 
@@ -9,52 +12,63 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # Ship the small helpers by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: What stands between words.
+BETWEEN = r"[\s\p{P}]+"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bag(text: Column) -> Column:
+    """The words of a text, each with its number among equal ones, as hashes: equal words of two texts meet as often as both hold them.
+
+    Words are sorted, so the k-th of a run of equal words is numbered by its distance to the run's start.
+    """
+    words = F.array_sort(F.array_remove(F.split(F.lower(text), BETWEEN), ""))
 
-def sequence_ratio(left: str | None, right: str | None) -> float:
-    if left is None or right is None:
-        return 0.0
-    if left == right:
-        return 1.0
-    return SequenceMatcher(None, left, right).ratio()
+    def numbered(s):
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.flatten(F.transform(at, lambda first, j: F.transform(F.sequence(
+            F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - first - 1), lambda k: F.xxhash64(F.get(s, first), k)))))
+    return let(words, lambda s: F.when(F.size(s) > 0, numbered(s)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([sequence_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+def shared(left: Column, right: Column) -> Column:
+    """Twice the words two bags share over all their words; 1 for two empty bags, 0 where one is null."""
+    n = F.size(left) + F.size(right)
+    ratio = F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(left, right)) / n)
+    return F.when(left.isNull() | right.isNull(), 0.0).otherwise(ratio)
 
 
-def ratio(left: str | Column, right: str | Column) -> Column:
-    """Arrow-batched ratio of two string columns."""
-    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _ratios(a, b)
-    return F.pandas_udf(ratios, DoubleType())(left, right)
+def word_ratio(left: Column, right: Column) -> Column:
+    """Share of words of two texts."""
+    return F.when(left == right, 1.0).otherwise(shared(bag(left), bag(right)))
+
+
+def edit_ratio(left: Column, right: Column) -> Column:
+    """Twice the characters that stay in the least edits from one text to the other, over all their characters; 0 where one is null.
+
+    The difference of the lengths must be inserted; every further edit changes a character.
+    """
+    la, lb = F.length(left), F.length(right)
+    stay = F.least(la, lb) - (F.levenshtein(left, right) - F.abs(la - lb))
+    return F.coalesce(F.when(la + lb == 0, 1.0).otherwise(2.0 * stay / (la + lb)), F.lit(0.0))
+
 
+def differs(left: Column, right: Column, least: float) -> Column:
+    """Is the share of matching blocks of two texts below `least`?
 
-def may_reach(left: Column, right: Column, threshold: float) -> Column:
-    """Length bound: 2*min/(la+lb) is the most the ratio can be, so this drops no match."""
+    2 min / (sum of lengths) is the most it can be; a text equal to the other needs no look. What is left goes in Arrow batches.
+    """
+    def below(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and SequenceMatcher(None, x, y).ratio() < least for x, y in zip(a, b)], dtype=bool)
     la, lb = F.length(left), F.length(right)
-    return 2.0 * F.least(la, lb) >= threshold * (la + lb)
-
-
-def fold_names(names: list[str], threshold: float) -> list[int]:
-    """Group number of each name: the first earlier group whose opening name is similar enough."""
-    heads: list[str] = []
-    out = []
-    for name in names:
-        hit = next((i for i, head in enumerate(heads) if sequence_ratio(name, head) >= threshold), None)
-        if hit is None:
-            heads.append(name)
-            hit = len(heads) - 1
-        out.append(hit)
-    return out
-
-
-def all_similar(values: str | Column, target: str | Column, threshold: float) -> Column:
-    """Is every element of an array at least ``threshold`` similar to the target?"""
-    def check(batch: pd.Series, targets: pd.Series) -> pd.Series:
-        return pd.Series([all(sequence_ratio(v, t) >= threshold for v in vs) for vs, t in zip(batch, targets)], dtype=bool)
-    return F.pandas_udf(check, "boolean")(values, target)
+    settled = F.when(left == right, False).when(2.0 * F.least(la, lb) < least * (la + lb), True)
+    open_left = F.when(settled.isNull(), left)
+    return F.coalesce(settled, F.pandas_udf(below, "boolean")(open_left, right))

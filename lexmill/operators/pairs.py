@@ -20,6 +20,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..session import cut_lineage
 from .classify import once
+from .near_text import near_pairs
 
 Conflict = Callable[[str, str], Column]
 
@@ -173,10 +174,7 @@ def duplicate_findings(rows: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("high", differ("m") | differ("d") | differ("u"))
     hard = pairs.filter(F.col("high") & F.col("topic").startswith("duplicate:clause title:")).withColumn("severity", F.lit("High"))
     soft = pairs.filter(~F.col("high") & (F.col("low") != F.col("a_low")))
-    far = soft.filter(~similarity.may_reach(F.col("low"), F.col("a_low"), 0.97))
-    near = soft.filter(similarity.may_reach(F.col("low"), F.col("a_low"), 0.97)).withColumn(
-        "r", similarity.ratio("a_low", "low")).filter(F.col("r") < 0.97).drop("r")
-    medium = far.unionByName(near).withColumn("severity", F.lit("Medium")).select("doc_id", "topic", "severity", "a_id", F.col("clause_id").alias("b_id"))
+    medium = soft.filter(similarity.differs(F.col("a_low"), F.col("low"), 0.97)).withColumn("severity", F.lit("Medium")).select("doc_id", "topic", "severity", "a_id", F.col("clause_id").alias("b_id"))
     again = number.filter(F.col("clause_id") != F.col("text_id")).select(
         "doc_id", F.concat(F.lit("duplicate:clause number:"), "clause_number").alias("topic"), "text_id", "clause_id")
     sides = [medium.join(again.withColumnRenamed("text_id", mine), ["doc_id", "topic", mine]).select(
@@ -208,40 +206,30 @@ def obligation_findings(rows: DataFrame) -> DataFrame:
     """Opposite or diverging obligations of similar subjects.
 
     Equal statements of a document are compared once, by their first clause; each clause that
-    makes one is then paired with the first clause of the opposed statement. Only a negated and a plain
-    statement can be opposite, and only statements with amounts or durations can
-    diverge, so the join sides are these subsets; the length bound runs before the
-    ratio.
+    makes one is then paired with the first clause of the opposed statement. Actions meet at their
+    rarest common words; subjects are compared by their edits.
     """
     o = rows.select("doc_id", "clause_id", F.explode("obligations").alias("o"))
     s = o.select("doc_id", "clause_id", F.lower("o.subject").alias("s"), F.lower("o.action").alias("t"),
                  F.lower("o.modal").rlike(r"\bnot\b").alias("neg"))
     members = s.select("doc_id", F.xxhash64("s", "t", "neg").alias("statement"), "clause_id").distinct()
     s = s.groupBy("doc_id", "s", "t", "neg").agg(F.min("clause_id").alias("clause_id")).withColumn("statement", F.xxhash64("s", "t", "neg"))
-    s = s.withColumn("m", value_set(X.money(F.col("t")))).withColumn("u", value_set(X.durations(F.col("t"))))
-    left, right = s.alias("l"), s.alias("r")
-    same_doc = F.col("l.doc_id") == F.col("r.doc_id")
-    bound = (similarity.may_reach(F.col("l.s"), F.col("r.s"), 0.6)
-             & similarity.may_reach(F.col("l.t"), F.col("r.t"), 0.4))
-    opposite = left.filter(F.col("l.neg")).join(right.filter(~F.col("r.neg")), same_doc & bound)
-    valued = ((F.size("l.m") > 0) & (F.size("r.m") > 0) & (F.col("l.m") != F.col("r.m"))) | (
-        (F.size("l.u") > 0) & (F.size("r.u") > 0) & (F.col("l.u") != F.col("r.u")))
-    diverging = left.filter((F.size("l.m") > 0) | (F.size("l.u") > 0)).join(
-        right.filter((F.size("r.m") > 0) | (F.size("r.u") > 0)),
-        same_doc & (F.col("l.neg") == F.col("r.neg")) & (F.col("l.clause_id") < F.col("r.clause_id")) & valued & bound)
-    amount = (F.size("l.m") > 0) & (F.size("r.m") > 0) & (F.col("l.m") != F.col("r.m"))
-    cols = [F.col("l.doc_id").alias("doc_id"), F.col("l.clause_id").alias("l_id"), F.col("r.clause_id").alias("r_id"),
-            F.col("l.statement").alias("l_st"), F.col("r.statement").alias("r_st"), F.col("l.s").alias("s1"), F.col("r.s").alias("s2"),
-            F.col("l.t").alias("t1"), F.col("r.t").alias("t2")]
-    both = opposite.select(*cols, F.lit("Opposite Statements").alias("contradiction_type"),
-                           F.lit("obligation:opposite").alias("topic"), F.lit("High").alias("severity")).unionByName(
-        diverging.select(*cols, F.lit("Conflicting Obligations").alias("contradiction_type"),
-                         F.when(amount, "obligation:amount").otherwise("obligation:duration").alias("topic"),
-                         F.lit("Medium").alias("severity")))
-    scored = both.withColumn("rs", similarity.ratio("s1", "s2")).filter(F.col("rs") >= 0.6).withColumn(
-        "rt", similarity.ratio("t1", "t2"))
-    opp = F.col("contradiction_type") == "Opposite Statements"
-    kept = scored.filter(F.when(opp, F.col("rt") >= 0.55).otherwise(F.col("rt") > 0.4))
+    s = s.withColumn("m", value_set(X.money(F.col("t")))).withColumn("u", value_set(X.durations(F.col("t")))).withColumn(
+        "bag", similarity.bag(F.col("t")))
+
+    def differ(l, r, c):
+        return (F.size(f"{l}{c}") > 0) & (F.size(f"{r}{c}") > 0) & (F.col(f"{l}{c}") != F.col(f"{r}{c}"))
+
+    def fits(l, r):
+        opposed = F.col(f"{l}neg") != F.col(f"{r}neg")
+        return (opposed | differ(l, r, "m") | differ(l, r, "u")) & (similarity.edit_ratio(F.col(f"{l}s"), F.col(f"{r}s")) >= 0.6)
+    met = near_pairs(s.select("doc_id", "statement", "clause_id", "s", "neg", "m", "u", "bag"), ["doc_id"], "statement", "bag", 0.4, fits)
+    opp = F.col("a_neg") != F.col("b_neg")
+    kept = met.filter(F.when(opp, F.col("ratio") >= 0.55).otherwise(F.col("ratio") > 0.4)).select(
+        "doc_id", F.when(opp, "Opposite Statements").otherwise("Conflicting Obligations").alias("contradiction_type"),
+        F.when(opp, "obligation:opposite").when(differ("a_", "b_", "m"), "obligation:amount").otherwise("obligation:duration").alias("topic"),
+        F.when(opp, "High").otherwise("Medium").alias("severity"), F.col("a_clause_id").alias("l_id"), F.col("b_clause_id").alias("r_id"),
+        F.col("a").alias("l_st"), F.col("b").alias("r_st"))
     kept = cut_lineage(kept.select("doc_id", "contradiction_type", "topic", "severity", "l_id", "r_id", "l_st", "r_st"))
     sides = [kept.join(members.withColumnRenamed("statement", f"{mine}_st"), ["doc_id", f"{mine}_st"]).select(
         "doc_id", "contradiction_type", "topic", "severity", F.col("clause_id").alias("x"), F.col(f"{other}_id").alias("y"))

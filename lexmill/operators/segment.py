@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import chunking, similarity
 from ..functions import patterns as P
 from ..functions import text as X
-from . import classify, groups
+from ..session import cut_lineage
+from . import classify, groups, near_text
+from .pairs import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -227,50 +229,25 @@ def document_text(sections: DataFrame, order: str, text: str, doc: str = "doc_id
 
 
 def fold_near_copies(clauses: DataFrame, doc: str = "doc_id", order: str = "block_no", text: str = "text_content",
-                     score: str = "confidence_score") -> DataFrame:
+                     score: str = "confidence_score", at_least: float = 0.9, longer: float = 0.3) -> DataFrame:
     """Collapse near-copies inside a document; slot_no is the place a kept clause takes.
 
-    Two clauses can only be copies when all their numbers agree, so groups of one
-    document and number list are independent and the fold inside them is exact.
-    Groups of one clause never reach Python.
+    Two clauses can only be copies when all their numbers agree, they share at_least of their words and
+    their lengths differ by ``longer`` of the longer one at most. Clauses linked by copies are one class: it
+    takes the place of its first clause and keeps the one with the highest score, the first of equals.
     """
-    rows = clauses.withColumn("_norm", X.dedup_form(F.col(text))).withColumn(
-        "_fp", X.numeric_fingerprint(F.col(text)))
-    grouped = rows.groupBy(doc, "_fp").agg(F.array_sort(F.collect_list(F.struct(
-        F.col(order).alias("o"), F.col("_norm").alias("n"), F.col(score).alias("s")))).alias("_g"))
-
-    def folded(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda g: [{"slot": int(g[first]["o"]), "kept": int(g[last]["o"])}
-                                    for first, last in _slots(g)])
-    udf = F.pandas_udf(folded, "array<struct<slot:bigint,kept:bigint>>")
-    single = grouped.filter(F.size("_g") == 1).select(doc, F.array(F.struct(
-        F.col("_g")[0]["o"].cast("bigint").alias("slot"), F.col("_g")[0]["o"].cast("bigint").alias("kept"))).alias("_k"))
-    several = grouped.filter(F.size("_g") > 1).select(doc, udf("_g").alias("_k"))
-    kept = single.unionByName(several).select(doc, F.inline("_k")).select(
-        doc, F.col("slot").alias("slot_no"), F.col("kept").alias(order))
+    best = F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"))
+    texts = clauses.select(doc, F.xxhash64(X.numeric_fingerprint(F.col(text))).alias("_fp"), X.dedup_form(F.col(text)).alias("_norm"), order, score).groupBy(
+        doc, "_fp", "_norm").agg(F.min(order).alias("_id"), F.max(best).alias("_best"))
+    texts = cut_lineage(texts.select(doc, "_fp", "_id", "_best", F.length("_norm").alias("_len"), similarity.bag(F.col("_norm")).alias("_bag")))
+    pairs = near_text.near_pairs(texts.select(doc, "_fp", "_id", "_len", "_bag"), [doc, "_fp"], "_id", "_bag", at_least,
+                                 lambda l, r: F.abs(F.col(f"{l}_len") - F.col(f"{r}_len")) <= longer * F.greatest(f"{l}_len", f"{r}_len"))
+    classes = components(pairs.select(doc, "a", "b"), [doc]).withColumnRenamed("node", "_id")
+    kept = texts.join(classes, [doc, "_id"], "left").groupBy(doc, F.coalesce("component", "_id").alias("slot_no")).agg(F.max("_best").alias("_best")).select(
+        doc, "slot_no", (-F.col("_best.o")).cast(clauses.schema[order].dataType).alias(order))
     return clauses.join(kept, [doc, order])
 
 
-def _slots(group) -> list[tuple[int, int]]:
-    """(position that opened the slot, position kept in it) for each slot."""
-    norms, scores = [g["n"] for g in group], [g["s"] for g in group]
-    opened: list[int] = []
-    kept: list[int] = []
-    for i in range(len(norms)):
-        for s, j in enumerate(kept):
-            longest = max(len(norms[i]), len(norms[j]), 1)
-            if abs(len(norms[i]) - len(norms[j])) > 0.3 * longest:
-                continue
-            if similarity.sequence_ratio(norms[i], norms[j]) >= 0.9:
-                if scores[i] > scores[j]:
-                    kept[s] = i
-                break
-        else:
-            opened.append(i)
-            kept.append(i)
-    return list(zip(opened, kept))
-
-
 def unique_titles(df: DataFrame, title: str, order: str, doc: str = "doc_id",
                   hot_rows: int = groups.HOT_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """Second and later uses of a title in a document get " (n)"."""

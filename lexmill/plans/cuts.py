@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import classify as K
 from ..operators import pairs, segment
 from .corpus import ansi_clauses, ansi_papers, clauses, papers, table
-from .registry import contains_any, in_list, query, rx
+from .registry import bag_sql, contains_any, in_list, query, rx, shared_sql, words_sql
 from .scores import ROLL, stored_clauses, with_vectors
 
 PP = f"WITH p AS {ansi_papers()} "
@@ -208,6 +208,25 @@ def conflict_dates(spark, sf):
     return pairs.disjoint_dates(pairs.enriched(clauses(spark, sf))).select("doc_id", "clause_id")
 
 
+_NORM = "lower(trim(regexp_replace(text_content, '\\s+', ' ', 'g')))"
+
+
+@query("cut_near_copies", "J1 J22", f"""WITH RECURSIVE c AS {ansi_clauses("l_suppkey")}, n AS (SELECT doc_id, clause_id, part_no % 7 AS score, {_NORM} AS norm,
+   array_to_string(list_sort(regexp_extract_all(text_content, {rx(P.NUMBER_TOKEN)})), '|') AS fp FROM c),
+ t AS (SELECT doc_id, fp, norm, min(clause_id) AS id, arg_max(clause_id, row(score, -clause_id)) AS best, max(score) AS score FROM n GROUP BY 1, 2, 3),
+ w AS (SELECT *, {words_sql("norm")} AS ws FROM t), b AS (SELECT *, {bag_sql("ws")} AS bag FROM w),
+ e AS (SELECT x.doc_id, x.id AS a, y.id AS b FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.fp = y.fp AND x.id < y.id
+   WHERE abs(length(x.norm) - length(y.norm)) <= 0.3 * greatest(length(x.norm), length(y.norm)) AND {shared_sql("x.bag", "y.bag")} >= 0.9 - 1e-9),
+ u AS (SELECT doc_id, a, b FROM e UNION ALL SELECT doc_id, b, a FROM e),
+ r(doc_id, node, reach) AS (SELECT DISTINCT doc_id, a, a FROM u UNION SELECT r.doc_id, r.node, u.b FROM r JOIN u ON u.doc_id = r.doc_id AND u.a = r.reach),
+ k AS (SELECT doc_id, node, min(reach) AS class FROM r GROUP BY 1, 2)
+SELECT t.doc_id, coalesce(class, id) AS slot_no, arg_max(best, row(score, -best)) AS clause_id FROM t LEFT JOIN k ON k.doc_id = t.doc_id AND node = id GROUP BY 1, 2""")
+def cut_near_copies(spark, sf):
+    """Clauses of each supplier without near-copies."""
+    rows = clauses(spark, sf, "l_suppkey").withColumn("score", F.col("part_no") % 7)
+    return segment.fold_near_copies(rows, order="clause_id", score="score").select("doc_id", "slot_no", "clause_id")
+
+
 @query("conflict_duplicates", "J3 J9")
 def conflict_duplicates(spark, sf):
     return pairs.first_per_pair(pairs.duplicate_findings(pairs.enriched(clauses(spark, sf))), "detector")

@@ -39,3 +39,18 @@ def contains_any(expr: str, phrases: list[str]) -> str:
 
 def in_list(values: list[str]) -> str:
     return "(" + ", ".join(quoted(v) for v in values) + ")"
+
+
+def words_sql(text: str) -> str:
+    """The words of a text, sorted."""
+    return f"list_sort(list_filter(regexp_split_to_array(lower({text}), '[\\s\\p{{P}}]+'), lambda x: x <> ''))"
+
+
+def bag_sql(words: str) -> str:
+    """Sorted words, each with its number among equal ones."""
+    return f"list_transform(range(1, len({words}) + 1), lambda i: {words}[i] || '#' || (i - list_position({words}, {words}[i])))"
+
+
+def shared_sql(left: str, right: str) -> str:
+    """Share of words of two bags."""
+    return f"(2.0 * len(list_intersect({left}, {right})) / (len({left}) + len({right})))"

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import chunking
+from lexmill.functions import chunking, similarity
 from lexmill.functions import text as X
-from lexmill.operators import (authenticity, classify, compare, groups, maintain, normalize, pairs, retrieve, risk, segment, stats,
+from lexmill.operators import (authenticity, classify, compare, groups, maintain, near_text, normalize, pairs, retrieve, risk, segment, stats,
                                thresholds)
 
 
@@ -172,6 +174,27 @@ def test_near_copies(spark):
     assert sorted((r["slot_no"], r["block_no"]) for r in kept.collect()) == [(0, 0), (1, 1), (2, 3)]
 
 
+def test_near_pairs(spark):
+    rng = random.Random(7)
+    words = "alpha beta gamma delta eps the of and to".split()
+    texts = [" ".join(rng.choices(words, [1, 1, 1, 1, 1, 5, 5, 5, 5], k=rng.randrange(0, 14))) for _ in range(160)]
+    texts += ["The, of. THE;", "\u00c9t\u00e9 caf\u00e9", "\u00e9t\u00e9 (caf\u00e9)", ""]
+    groups_ = [rng.randrange(3) for _ in texts]
+
+    def bag(t):
+        return collections.Counter(w for w in re.split(r"[\s.,;()]+", t.lower()) if w)
+
+    def ratio(a, b):
+        return 2 * sum((bag(a) & bag(b)).values()) / (sum(bag(a).values()) + sum(bag(b).values()))
+    df = spark.createDataFrame(list(zip(range(len(texts)), groups_, texts)), "k int, g int, t string").withColumn("bag", similarity.bag(F.col("t")))
+    for least in (0.5, 0.8, 0.97):
+        want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if groups_[i] == groups_[j] and bag(texts[i]) and bag(texts[j])
+                and ratio(texts[i], texts[j]) >= least - 1e-9}
+        assert {(r["a"], r["b"]) for r in near_text.near_pairs(df, ["g"], "k", "bag", least).collect()} == want
+    assert [r[0] for r in spark.createDataFrame([("abc", "abd"), ("", ""), (None, "a")], "a string, b string").select(
+        F.round(similarity.edit_ratio(F.col("a"), F.col("b")), 4)).collect()] == [0.6667, 1.0, 0.0]
+
+
 def test_segments(spark):
     text = "Intro line\n\nTERMS\nbody one here\n1. first point is this\n2. second point is that\n- a bullet of text\n\nOther Heading Of Things\nlast line text"
     df = spark.createDataFrame([(1, text)], "doc_id int, t string")
