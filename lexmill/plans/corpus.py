@@ -8,6 +8,7 @@ clause is one line item, a paper is one order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ISO = {"spark": "date_format({c}, 'yyyy-MM-dd')", "ansi": "strftime({c}, '%Y-%m-%d')"}
 
@@ -114,6 +115,18 @@ def clauses(spark: SparkSession, sf: str, doc: str = "l_orderkey") -> DataFrame:
     return spark.sql(clauses_sql("spark", "{lineitem}", doc=doc), lineitem=table(spark, sf, "lineitem"))
 
 
+KINDS = ["Payment", "Termination", "Liability", "Confidentiality", "Jurisdiction", "Indemnity", "Notices", "Structured Field"]
+
+
+def kinds_sql() -> str:
+    return "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS[:-1])) + f" ELSE '{KINDS[-1]}' END"
+
+
+def kind_clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """Clauses with the classification of their template."""
+    return clauses(spark, sf).withColumn("classification", F.expr(kinds_sql()))
+
+
 def papers(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(papers_sql("spark", "{orders}"), orders=table(spark, sf, "orders"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import features
-from .corpus import ansi_clauses, clauses, table
+from ..operators import features, pairs
+from .corpus import ansi_clauses, clauses, kind_clauses, kinds_sql, table
 from .registry import in_list, contains_any, query, quoted, rx
 
 CL = f"WITH c AS {ansi_clauses()} "
@@ -273,20 +273,31 @@ def _conf(kinds: list[str]) -> str:
 _ALL_CONF = _conf(_KINDS)
 _ALL_N = "(" + " + ".join(f"CAST(({_action_count(k)}) > 0 AS INT)" for k in _KINDS) + ")"
 
+DEPENDENCIES_SQL = f"""(WITH r AS (SELECT doc_id, clause_id, section_name, text_content, {kinds_sql()} AS classification FROM c),
+ num AS (SELECT doc_id, nullif(regexp_extract(trim(section_name), '^(\\d+(?:\\.\\d+)*)', 1), '') AS number, clause_id FROM r),
+ tgt AS (SELECT doc_id, number, max(clause_id) AS t FROM num WHERE number IS NOT NULL GROUP BY 1, 2),
+ ref AS (SELECT doc_id, clause_id, regexp_extract(unnest(regexp_extract_all({T}, {rx(P.SECTION_REF, True)}, 0)), '(\\d+(?:\\.\\d+)*)', 1) AS number FROM r),
+ cited AS (SELECT DISTINCT ref.doc_id, clause_id AS source_id, t AS target_id FROM ref JOIN tgt ON ref.doc_id = tgt.doc_id AND ref.number = tgt.number WHERE clause_id <> t),
+ f AS (SELECT doc_id, classification AS k, min(clause_id) AS id FROM r GROUP BY 1, 2),
+ rr AS (SELECT a.doc_id, a.id AS source_id, b.id AS target_id, rel AS relation FROM f a JOIN f b ON a.doc_id = b.doc_id
+   JOIN (VALUES {', '.join(f"('{s}', '{t}', '{x}')" for s, t, x in rules.DEPENDENCIES)}) d(s, t, rel) ON d.s = a.k AND d.t = b.k WHERE a.id <> b.id)
+SELECT doc_id, source_id, target_id, 'references' AS relation FROM cited UNION ALL
+SELECT * FROM rr WHERE NOT EXISTS (SELECT 1 FROM cited WHERE cited.doc_id = rr.doc_id AND cited.source_id = rr.source_id AND cited.target_id = rr.target_id))"""
+
 SIGNALS_SQL = f"""
 SELECT doc_id, clause_id, vec_seed, ln(1 + coalesce(list_max(amounts), 0.0)) AS raw_financial,
   {_conf([k for k in _KINDS if k in rules.LEGAL_ACTIONS])}
    + coalesce(list_sum(list_transform(list_filter(mentions, lambda o: o.polarity <> 'right'), lambda o: o.conf)), 0.0) AS raw_legal,
   0.5 * len(states) + {_conf([k for k in _KINDS if k in rules.COMPLIANCE_ACTIONS])}
    + CASE WHEN juris IS NOT NULL THEN 1.0 ELSE 0.0 END AS raw_compliance,
-  CAST(n_deadlines AS DOUBLE) AS raw_operational,
+  CAST(n_deadlines + coalesce(n_deps, 0) AS DOUBLE) AS raw_operational,
   CASE WHEN NOT prose THEN 0.0 WHEN len(mentions) = 0 THEN 0.5
        ELSE len(list_filter(mentions, lambda o: o.modal IN {in_list(rules.WEAK_MODALS)})) / (len(mentions) + 0.0) END AS f_ambiguity,
   CASE WHEN len(mentions) + len(states) + {_ALL_N} = 0 THEN 0.5 ELSE
    (coalesce(list_sum(list_transform(mentions, lambda o: o.conf)), 0.0) + 0.5 * len(states) + {_ALL_CONF})
    / (len(mentions) + len(states) + {_ALL_N}) END AS feature_confidence
 FROM (
- SELECT doc_id, clause_id, part_no AS vec_seed, lower({T}) AS l, n_deadlines, juris, prose, states,
+ SELECT doc_id, clause_id, part_no AS vec_seed, lower({T}) AS l, n_deadlines, n_deps, juris, prose, states,
   list_transform(list_filter(cash, lambda s: NOT suffix(s, '%')),
      lambda s: TRY_CAST(replace(regexp_extract(s, '[\\d,]+(?:\\.\\d+)?', 0), ',', '') AS DOUBLE)) AS amounts,
   list_transform(raw, lambda m: {{'modal': regexp_extract(lower(m[2]), '^\\w+'),
@@ -301,7 +312,7 @@ FROM (
    regexp_matches(lower({T}), {rx(chr(92) + 'b(?:' + '|'.join(rules.PROSE_VERBS) + ')' + chr(92) + 'b')}) AS prose,
    list_transform({_MM}, lambda m: [regexp_extract(m, {rx(P.MODAL_MENTION)}, 1), regexp_extract(m, {rx(P.MODAL_MENTION)}, 2)]) AS raw,
    list_transform({all_of(P.OBLIGATION)}, lambda m: lower(regexp_extract(m, {rx(P.OBLIGATION)}, 1))) AS subjects
-  FROM c))"""
+  FROM c LEFT JOIN (SELECT source_id, count(*) AS n_deps FROM {DEPENDENCIES_SQL} GROUP BY 1) dep ON source_id = clause_id))"""
 
 
 @query("feature_signals", "X25 R1 R2 R3 R4 R5", CL + f"""
@@ -309,6 +320,7 @@ SELECT clause_id, round(raw_financial, 6) AS raw_financial, round(raw_legal, 6)
   round(raw_compliance, 6) AS raw_compliance, round(raw_operational, 6) AS raw_operational,
   round(f_ambiguity, 6) AS f_ambiguity, round(feature_confidence, 6) AS feature_confidence FROM ({SIGNALS_SQL})""")
 def feature_signals(spark, sf):
-    sig = features.raw_signals(features.with_facts(clauses(spark, sf)))
+    rows = kind_clauses(spark, sf)
+    sig = features.add_dependencies(features.raw_signals(features.with_facts(rows)), features.dependency_lists(rows, pairs.dependencies(rows)))
     return sig.select("clause_id", *[F.round(c, 6).alias(c) for c in (
         "raw_financial", "raw_legal", "raw_compliance", "raw_operational", "f_ambiguity", "feature_confidence")])

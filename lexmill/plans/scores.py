@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import vectors as V
-from ..operators import features, groups, report, risk, stats, thresholds
+from ..operators import features, groups, pairs, report, risk, stats, thresholds
 from ..session import ensure_checkpoint_dir
-from .corpus import ansi_clauses, clauses, table
+from .corpus import ansi_clauses, kind_clauses, table
 from .facts import SIGNALS_SQL
 from .registry import query, quoted
 
@@ -40,9 +40,10 @@ def vector_signals(spark, sf):
 
 
 def signals(spark, sf):
-    base = clauses(spark, sf)
+    base = kind_clauses(spark, sf)
     sig = features.raw_signals(features.with_facts(base))
     sig = sig.select("doc_id", "clause_id", "part_no", *[f"raw_{d}" for d in risk.RANKED], "f_ambiguity", "feature_confidence")
+    sig = features.add_dependencies(sig, features.dependency_lists(base, pairs.dependencies(base)))
     emb = vector_signals(spark, sf).drop("label", "embedding")
     n = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
     of_clause = F.pmod("part_no", n)
@@ -184,7 +185,8 @@ def risk_alpha_ablation(spark, sf):
 
 @query("risk_explanations", "R22 R23 R27")
 def risk_explanations(spark, sf):
-    facts = features.with_facts(clauses(spark, sf))
+    rows = kind_clauses(spark, sf)
+    facts = features.with_dependencies(features.with_facts(rows), features.dependency_lists(rows, pairs.dependencies(rows)))
     ev = features.evidence(facts).select("clause_id", "evidence")
     rows = risk.breakdown(scored(spark, sf).join(ev, "clause_id"), "evidence")
     rows = risk.explanation(rows.withColumn("risk_level", risk.classify3(F.col("lrsi"))))
@@ -309,11 +311,9 @@ ROLL = f"""WITH c AS {ansi_clauses()}, r AS (SELECT *, CASE WHEN part_no % 7 = 0
 def stored_clauses(spark, sf):
     """Clause rows as persisted after scoring, with gaps in score and level."""
     k = F.col("part_no") % 101
-    kinds = ["Payment", "Termination", "Liability", "Confidentiality", "Jurisdiction", "Indemnity", "Notices", "Structured Field"]
-    return (clauses(spark, sf)
+    return (kind_clauses(spark, sf)
             .withColumn("risk_score", F.when(F.col("part_no") % 7 != 0, k))
-            .withColumn("risk_level", F.when(k >= 70, "High").when(k >= 35, "Medium").when(F.col("part_no") % 11 != 0, "Low"))
-            .withColumn("classification", F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("kind") + 1).cast("int"))))
+            .withColumn("risk_level", F.when(k >= 70, "High").when(k >= 35, "Medium").when(F.col("part_no") % 11 != 0, "Low")))
 
 
 ADVICE = "CASE k " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in rules.RECOMMENDATIONS.items()) + " END"
