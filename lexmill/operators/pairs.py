@@ -25,13 +25,15 @@ from .near_text import near_pairs
 Conflict = Callable[[str, str], Column]
 
 
-def enriched(clauses: DataFrame) -> DataFrame:
-    """Keys and facts of each clause, computed once."""
+FACTS = {"clause_number": lambda t, name: X.clause_number(name, t), "title_key": lambda t, name: X.title_key(name), "dates": lambda t, name: X.dates(t),
+         "durations": lambda t, name: X.durations(t), "money": lambda t, name: X.money(t), "obligations": lambda t, name: X.obligations(t),
+         "labelled": lambda t, name: X.labelled_numbers(t), "states": lambda t, name: X.states(t)}
+
+
+def enriched(clauses: DataFrame, facts: list[str] | None = None) -> DataFrame:
+    """Keys and facts of each clause, computed once: all of FACTS, or only those that are asked for."""
     t, name = F.col("text_content"), F.coalesce("section_name", F.lit("Clause"))
-    return once(clauses, F.struct(
-        F.lower(t).alias("low"), X.clause_number(name, t).alias("clause_number"), X.title_key(name).alias("title_key"),
-        X.dates(t).alias("dates"), X.durations(t).alias("durations"), X.money(t).alias("money"),
-        X.obligations(t).alias("obligations"), X.labelled_numbers(t).alias("labelled"), X.states(t).alias("states")))
+    return once(clauses, F.struct(F.lower(t).alias("low"), *[FACTS[f](t, name).alias(f) for f in facts or FACTS]))
 
 
 def value_set(array: Column) -> Column:
@@ -42,30 +44,42 @@ def duration_text(durations: Column) -> Column:
     return F.transform(value_set(durations), lambda d: F.concat_ws(" ", d["n"].cast("string"), d["unit"]))
 
 
-def value_members(rows: DataFrame) -> DataFrame:
-    """(doc_id, clause_id, contradiction_type, topic, severity, value): every clause that states a value."""
+#: Kinds of value conflicts and the fact each is made of.
+VALUE_KINDS = {"Numeric Conflict": "labelled", "Conflicting Durations": "durations", "Payment Conflict": "money", "Conflicting Jurisdiction": "states"}
+
+
+def value_members(rows: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(doc_id, clause_id, contradiction_type, topic, severity, value): every clause that states a value of these kinds, all by default."""
     low = F.col("low")
-    temporal, payment = X.any_contains(low, rules.TEMPORAL_WORDS), X.any_contains(low, rules.PAYMENT_WORDS)
-    legal = X.any_contains(low, rules.JURISDICTION_WORDS)
 
-    def entry(kind, topic, severity, values, when):
-        return F.when(when & (F.size(values) > 0), F.struct(
+    def entry(kind, topic, severity, values, words):
+        return F.when(X.any_contains(low, words) & (F.size(values) > 0), F.struct(
             F.lit(kind).alias("contradiction_type"), F.lit(topic).alias("topic"), F.lit(severity).alias("severity"),
             F.array_join(values, ", ").alias("value")))
-    labels = F.transform(F.array_distinct(F.transform("labelled", lambda x: x["label"])), lambda k: F.struct(
-        F.lit("Numeric Conflict").alias("contradiction_type"), F.concat(F.lit("numeric:"), k).alias("topic"),
-        F.lit("High").alias("severity"), F.array_join(value_set(F.transform(F.filter(
-            "labelled", lambda x: x["label"] == k), lambda x: x["value"])), ", ").alias("value")))
-    single = F.filter(F.array(
-        entry("Conflicting Durations", "temporal:durations", "Medium", duration_text(F.col("durations")), temporal),
-        entry("Payment Conflict", "payment", "High", value_set(F.col("money")), payment),
-        entry("Conflicting Jurisdiction", "jurisdiction", "High", F.col("states"), legal)), lambda e: e.isNotNull())
-    return rows.select("doc_id", "clause_id", F.inline(F.concat(labels, single)))
+    single = {"Conflicting Durations": lambda: entry("Conflicting Durations", "temporal:durations", "Medium", duration_text(F.col("durations")), rules.TEMPORAL_WORDS),
+              "Payment Conflict": lambda: entry("Payment Conflict", "payment", "High", value_set(F.col("money")), rules.PAYMENT_WORDS),
+              "Conflicting Jurisdiction": lambda: entry("Conflicting Jurisdiction", "jurisdiction", "High", F.col("states"), rules.JURISDICTION_WORDS)}
+    asked = kinds or list(VALUE_KINDS)
+    parts = []
+    if "Numeric Conflict" in asked:
+        parts.append(F.transform(F.array_distinct(F.transform("labelled", lambda x: x["label"])), lambda k: F.struct(
+            F.lit("Numeric Conflict").alias("contradiction_type"), F.concat(F.lit("numeric:"), k).alias("topic"),
+            F.lit("High").alias("severity"), F.array_join(value_set(F.transform(F.filter(
+                "labelled", lambda x: x["label"] == k), lambda x: x["value"])), ", ").alias("value"))))
+    if some := [make() for kind, make in single.items() if kind in asked]:
+        parts.append(F.filter(F.array(*some), lambda e: e.isNotNull()))
+    return rows.select("doc_id", "clause_id", F.inline(F.concat(*parts)))
+
+
+def value_conflicts(clauses: DataFrame, kinds: list[str]) -> DataFrame:
+    """Members of the conflicts of these kinds, from clauses; no other fact is extracted, and each clause is read once."""
+    return differing(value_members(enriched(clauses, [VALUE_KINDS[k] for k in kinds]), kinds))
 
 
 def differing(members: DataFrame) -> DataFrame:
     """Members of topics that hold at least two different values."""
     keys = ["doc_id", "contradiction_type", "topic"]
+    members = cut_lineage(members)
     live = members.groupBy(*keys).agg((F.min("value") != F.max("value")).alias("live"),
                                       F.min("clause_id").alias("component")).filter("live").drop("live")
     return members.join(live, keys)
@@ -125,7 +139,7 @@ def components(edges: DataFrame, by: list[str]) -> DataFrame:
 def disjoint_dates(rows: DataFrame) -> DataFrame:
     """Clauses with temporal wording whose date sets share no date, as connected issues."""
     gated = rows.filter(X.any_contains(F.col("low"), rules.TEMPORAL_WORDS) & (F.size("dates") > 0))
-    members = gated.select("doc_id", "clause_id", value_set(F.col("dates")).alias("sig"))
+    members = cut_lineage(gated.select("doc_id", "clause_id", value_set(F.col("dates")).alias("sig")))
     out = pivoted(members, lambda a, b: ~F.arrays_overlap(a, b), ["doc_id"], "sig")
     return out.select("doc_id", "clause_id", F.lit("Contradictory Dates").alias("contradiction_type"),
                       F.lit("temporal:dates").alias("topic"), F.lit("Medium").alias("severity"),

@@ -178,8 +178,7 @@ LNX = rx(P.LABELLED_NUMBER, True)
 SELECT DISTINCT a.doc_id, a.clause_id, concat('numeric:', a.label) AS topic, a.val AS "value" FROM v a JOIN v b
  ON a.doc_id = b.doc_id AND a.label = b.label AND a.val <> b.val""")
 def conflict_numeric(spark, sf):
-    m = pairs.differing(pairs.value_members(pairs.enriched(clauses(spark, sf))))
-    return m.filter(F.col("contradiction_type") == "Numeric Conflict").select("doc_id", "clause_id", "topic", "value")
+    return pairs.value_conflicts(clauses(spark, sf), ["Numeric Conflict"]).select("doc_id", "clause_id", "topic", "value")
 
 
 def _values(pattern, gate):
@@ -198,14 +197,14 @@ SELECT DISTINCT a.doc_id, a.clause_id, 'Payment Conflict' AS contradiction_type
 UNION ALL SELECT DISTINCT a.doc_id, a.clause_id, 'Conflicting Jurisdiction' FROM jur a JOIN jur b ON a.doc_id = b.doc_id AND a.xs <> b.xs
 UNION ALL SELECT DISTINCT a.doc_id, a.clause_id, 'Conflicting Durations' FROM dur a JOIN dur b ON a.doc_id = b.doc_id AND a.xs <> b.xs""")
 def conflict_values(spark, sf):
-    m = pairs.differing(pairs.value_members(pairs.enriched(clauses(spark, sf))))
-    return m.filter(F.col("contradiction_type") != "Numeric Conflict").select("doc_id", "clause_id", "contradiction_type")
+    kinds = ["Conflicting Durations", "Payment Conflict", "Conflicting Jurisdiction"]
+    return pairs.value_conflicts(clauses(spark, sf), kinds).select("doc_id", "clause_id", "contradiction_type")
 
 
 @query("conflict_dates", "J5", f"""WITH c AS {ansi_clauses()}, d AS ({_values(f"regexp_extract_all({T}, {rx(P.DATE, True)}, 0)", rules.TEMPORAL_WORDS)})
 SELECT DISTINCT a.doc_id, a.clause_id FROM d a JOIN d b ON a.doc_id = b.doc_id AND NOT list_has_any(a.xs, b.xs)""")
 def conflict_dates(spark, sf):
-    return pairs.disjoint_dates(pairs.enriched(clauses(spark, sf))).select("doc_id", "clause_id")
+    return pairs.disjoint_dates(pairs.enriched(clauses(spark, sf), ["dates"])).select("doc_id", "clause_id")
 
 
 _NORM = "lower(trim(regexp_replace(text_content, '\\s+', ' ', 'g')))"
@@ -234,7 +233,7 @@ def conflict_duplicates(spark, sf):
 
 @query("conflict_obligations", "J8")
 def conflict_obligations(spark, sf):
-    return pairs.obligation_findings(pairs.enriched(clauses(spark, sf))).drop("detector")
+    return pairs.obligation_findings(pairs.enriched(clauses(spark, sf), ["obligations"])).drop("detector")
 
 
 @query("conflict_issues", "J10 J11")
