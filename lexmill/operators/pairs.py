@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,24 +288,47 @@ def issues(members: DataFrame, limit: int | None = None) -> DataFrame:
     return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 
+#: Documents of up to so many clauses are compared row by row; clauses of one block of a larger one.
+FEW_CLAUSES, BLOCK_CLAUSES = 64, 1024
+
+
+def _close_in_block(floor: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, side = rows["clause_id"].to_numpy(), rows["side"].to_numpy()
+        units = np.array(rows["u"].tolist())
+        left, right = (np.flatnonzero((side == s) | (side == 2)) for s in (0, 1))
+        scores = units[left] @ units[right].T
+        i, j = np.nonzero(scores >= floor)
+        a, b = ids[left[i]], ids[right[j]]
+        some = a < b if (side == 2).all() else np.full(len(a), True)
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "a_id": np.minimum(a, b)[some], "b_id": np.maximum(a, b)[some], "similarity": scores[i, j][some]})
+    return run
+
+
 def semantic_candidates(clauses: DataFrame, flagged: DataFrame, vector: str = "embedding", floor: float = 0.35,
                         limit: int | None = None) -> DataFrame:
     """Unflagged clause pairs of each document with cosine at least ``floor``, best first; the first ``limit`` if given.
 
-    Flagged pairs are removed before any cosine is computed and the rank limit is
-    applied before the final shuffle.
+    Clauses of a large document are dealt into blocks, every two blocks meet once as a product of matrices, and only pairs
+    that reach the floor become rows. Flagged pairs are then left out by their ids alone.
     """
-
-    unit = clauses.select("doc_id", "clause_id", V.unit(F.col(vector)).alias("u"))
-    a, b = unit.alias("a"), unit.alias("b")
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.clause_id") < F.col("b.clause_id"))).select(
-        F.col("a.doc_id").alias("doc_id"), F.col("a.clause_id").alias("a_id"), F.col("b.clause_id").alias("b_id"),
-        F.col("a.u").alias("ua"), F.col("b.u").alias("ub"))
-    open_pairs = pairs.join(flagged.select("doc_id", "a_id", "b_id"), ["doc_id", "a_id", "b_id"], "left_anti")
-    scored = open_pairs.withColumn("similarity", V.dot(F.col("ua"), F.col("ub"))).drop("ua", "ub").filter(
-        F.col("similarity") >= floor)
+    unit = cut_lineage(clauses.filter(F.col(vector).isNotNull()).select("doc_id", "clause_id", V.unit(F.col(vector)).alias("u")))
+    sizes = unit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > FEW_CLAUSES).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK_CLAUSES).cast("int")).select("doc_id", "_blocks")
+    small = unit.join(large, "doc_id", "left_anti")
+    other = small.select("doc_id", F.col("clause_id").alias("b_id"), F.col("u").alias("ub"))
+    near = small.withColumnRenamed("clause_id", "a_id").join(other, "doc_id").filter("a_id < b_id").select(
+        "doc_id", "a_id", "b_id", V.dot(F.col("u"), F.col("ub")).alias("similarity")).filter(F.col("similarity") >= floor)
+    dealt = unit.join(large, "doc_id").withColumn("_own", F.pmod(F.xxhash64("clause_id"), F.col("_blocks")).cast("int"))
+    cells = dealt.select("doc_id", "clause_id", "u", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_with")).select(
+        "doc_id", "clause_id", "u", F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"),
+        F.when(F.col("_own") == F.col("_with"), 2).when(F.col("_own") < F.col("_with"), 0).otherwise(1).alias("side"))
+    kinds = {f.name: f.dataType.simpleString() for f in unit.schema}
+    far = cells.groupBy("doc_id", "_i", "_j").applyInPandas(_close_in_block(floor), f"doc_id {kinds['doc_id']}, a_id {kinds['clause_id']}, "
+                                                            f"b_id {kinds['clause_id']}, similarity double")
+    open_pairs = near.unionByName(far).join(flagged.select("doc_id", "a_id", "b_id"), ["doc_id", "a_id", "b_id"], "left_anti")
     w = Window.partitionBy("doc_id").orderBy(F.col("similarity").desc(), "a_id", "b_id")
-    placed = scored.withColumn("place", F.row_number().over(w))
+    placed = open_pairs.withColumn("place", F.row_number().over(w))
     return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 

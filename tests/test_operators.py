@@ -174,6 +174,22 @@ def test_near_copies(spark):
     assert sorted((r["slot_no"], r["block_no"]) for r in kept.collect()) == [(0, 0), (1, 1), (2, 3)]
 
 
+def test_semantic_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(d, 1000 * d + i, rng.normal(size=8).tolist()) for d, n in ((1, 5), (2, 90), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame([*rows, (3, 9999, None)], "doc_id long, clause_id long, embedding array<double>")
+    unit = {c: np.array(v) / np.linalg.norm(v) for _, c, v in rows}
+    gone = {(2, 2001, 2002), (1, 1000, 1001)}
+    want = {(d, a, b) for d, a, _ in rows for e, b, _ in rows if d == e and a < b and unit[a] @ unit[b] >= 0.35} - gone
+    flagged = spark.createDataFrame(sorted(gone), "doc_id long, a_id long, b_id long")
+    for few, block in ((64, 1024), (0, 20), (3, 1)):
+        monkeypatch.setattr(pairs, "FEW_CLAUSES", few)
+        monkeypatch.setattr(pairs, "BLOCK_CLAUSES", block)
+        got = [(r["doc_id"], r["a_id"], r["b_id"]) for r in pairs.semantic_candidates(df, flagged).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert pairs.semantic_candidates(df, flagged, limit=2).groupBy("doc_id").count().filter("count > 2").isEmpty()
+
+
 def test_near_pairs(spark):
     rng = random.Random(7)
     words = "alpha beta gamma delta eps the of and to".split()
