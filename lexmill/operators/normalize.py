@@ -13,8 +13,19 @@ from ..functions import text as X
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# The zeros of the scripts that are mapped to 0-9. They stand for the fixed digit table: each zero and the nine code points after it.
-DIGIT_ZEROS = [0x09E6, 0x0AE6, 0x0CE6, 0x0966, 0x0660, 0xABF0, 0x0B66, 0x0A66, 0x1C50, 0x06F0, 0x0C66]
+# The native digits that are written as each digit.
+NATIVE = {
+    "0": "\u09e6\u0ae6\u0ce6\u0966\u0660\uabf0\u0b66\u0a66\u1c50\u06f0",
+    "1": "\u09e7\u0ae7\u0967\u0ce7\u06f1\uabf1\u0b67\u0a67\u1c51\u0c67",
+    "2": "\u09e8\u0ae8\u0968\u0ce8\u06f2\uabf2\u0b68\u0a68\u1c52\u0c68",
+    "3": "\u09e9\u0ae9\u0969\u0ce9\u06f3\uabf3\u0b69\u0a69\u1c53\u0c69",
+    "4": "\u09ea\u0aea\u096a\u0cea\u06f4\uabf4\u0b6a\u0a6a\u1c54\u0c6a",
+    "5": "\u09eb\u0aeb\u096b\u0ceb\u06f5\uabf5\u0b6b\u0a6b\u1c55\u0c6b",
+    "6": "\u09ec\u0aec\u096c\u0cec\u06f6\uabf6\u0b6c\u0a6c\u1c56\u0c6c",
+    "7": "\u09ed\u0aed\u096d\u0ced\u06f7\uabf7\u0b6d\u0a6d\u1c57\u0c6d",
+    "8": "\u09ee\u0aee\u096e\u0cee\u06f8\uabf8\u0b6e\u0a6e\u1c58\u0c6e",
+    "9": "\u09ef\u0aef\u096f\u0cef\u06f9\uabf9\u0b6f\u0a6f\u1c59\u0c6f",
+}
 
 # Punctuation replacements, in order.
 PUNCTUATION = [("\r", ""), ("(", " ("), (")", ") "), ("( ", "("), (" )", ")"), (" :", ":"), (" ;", ";"), ("`", "'"), ("„", '"'), ("“", '"'),
@@ -40,8 +51,8 @@ def cache_split(texts: DataFrame, cache: DataFrame, source: str = "en", target:
     return out, misses
 
 
-NATIVE_DIGITS = "".join(chr(zero + d) for zero in DIGIT_ZEROS for d in range(10))
-ROMAN_DIGITS = "0123456789" * len(DIGIT_ZEROS)
+NATIVE_DIGITS = "".join(NATIVE.values())
+ROMAN_DIGITS = "".join(roman * len(native) for roman, native in NATIVE.items())
 
 
 def roman_digits(text: Column) -> Column:

@@ -9,7 +9,7 @@ from .. import rules, rules_documents
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import classify as K
-from .corpus import ansi_clauses, ansi_papers, clauses, papers, table
+from .corpus import ansi_clauses, ansi_papers, clauses, papers, scratch, table
 from .registry import contains_any, in_list, query, quoted, rx
 
 CL = f"WITH c AS MATERIALIZED {ansi_clauses()} "
@@ -26,12 +26,13 @@ def points(r: rules.ClauseRule, low: str = "l", head: str = "h") -> str:
             f"+ 15 * CAST(contains({head}, {quoted(r.category.lower())}) AS INT)")
 
 
-def best_type_sql(source: str, text: str, keep: str) -> str:
+def best_type_sql(source: str, text: str, keep: str, clause_rules: list | None = None) -> str:
     """keep columns plus clause_type and clause_points."""
-    cols = ", ".join(f"{points(r)} AS p{i}" for i, r in enumerate(rules.CLAUSE_RULES))
-    names = [f"p{i}" for i in range(len(rules.CLAUSE_RULES))]
+    clause_rules = clause_rules or rules.CLAUSE_RULES
+    cols = ", ".join(f"{points(r)} AS p{i}" for i, r in enumerate(clause_rules))
+    names = [f"p{i}" for i in range(len(clause_rules))]
     top = f"greatest({', '.join(names)})"
-    pick = " ".join(f"WHEN {n} = {top} THEN {quoted(r.category)}" for n, r in zip(names, rules.CLAUSE_RULES))
+    pick = " ".join(f"WHEN {n} = {top} THEN {quoted(r.category)}" for n, r in zip(names, clause_rules))
     return f"""SELECT {keep}, CASE WHEN {top} = 0 THEN 'General' {pick} END AS clause_type, {top} AS clause_points
  FROM (SELECT *, {cols} FROM (SELECT *, lower({text}) AS l,
    lower(trim(regexp_extract({text}, '^\\s*([^\\n]*)', 1))) AS h FROM {source}))"""
@@ -266,3 +267,19 @@ def label_plain_english(spark, sf):
     from ..operators.report import highlight, plain_english
     return clauses(spark, sf).select("clause_id", plain_english(F.col(T)).alias("plain"),
                                      highlight(F.col(T)).alias("highlighted"))
+
+
+#: A rule file of a user's own: other categories, other order.
+OWN_RULES = [rules.ClauseRule("Handover", ("notice", "registered mail", "written notice"), r"within \d+ weeks|notice period"),
+             rules.ClauseRule("Money", ("usd", "rs.", "late fee", "invoice"), r"shall pay|sum insured"),
+             rules.ClauseRule("Law", ("governed by", "courts", "jurisdiction"), r"laws of the state"),
+             rules.ClauseRule("Secrecy", ("confidential information",), r"shall not disclose")]
+
+
+@query("label_by_rule_file", "S4 C2 C3", CL + f"SELECT clause_id, clause_type, clause_points FROM ({best_type_sql('c', T, '*', OWN_RULES)})")
+def label_by_rule_file(spark, sf):
+    """Clauses labelled by rules that were written to a file and read again."""
+    path = scratch(spark, "rules")
+    rules.save_clause_rules(spark, OWN_RULES, path)
+    return K.with_clause_type(clauses(spark, sf), F.col(T), rules.load_clause_rules(spark, path + "/part-*")).select(
+        "clause_id", "clause_type", "clause_points")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import vectors as V
 from ..operators import features, groups, pairs, report, risk, stats, thresholds
-from ..session import ensure_checkpoint_dir
-from .corpus import ansi_clauses, kind_clauses, table
+from .corpus import ansi_clauses, kind_clauses, scratch, table
 from .facts import SIGNALS_SQL
 from .registry import query, quoted
 
@@ -290,8 +287,7 @@ SELECT doc_id, version AS cut_version, {label_sql("score", "cuts", "document")}
 def risk_levels_as_of(spark, sf):
     """Orders labelled by the cuts that were in force in their year, through stored versions."""
     scores = order_scores(spark, sf)
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cuts-{uuid.uuid4().hex}"
+    path = scratch(spark, "cuts")
     thresholds.store(thresholds.versions(scores, "score", F.col("year"), "document", digits=0), path)
     rows = thresholds.as_of(scores, spark.read.parquet(path), "document", "score", F.col("year"))
     return rows.select("doc_id", "cut_version", "level")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import patterns as P
 from ..operators import graph, pairs, retrieve, segment, vector_index
-from ..session import ensure_checkpoint_dir
-from .corpus import ansi_clauses, clauses, table
+from .corpus import ansi_clauses, clauses, scratch, table
 from .facts import _PARTY_TEXT
 from .registry import query, quoted, rx
 from .scores import ROLL, stored_clauses, with_vectors
@@ -44,12 +41,6 @@ def search_nearest_scores(spark, sf):
     return top_pool(spark, sf, 20).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("similarity"), 4).alias("total"))
 
 
-def scratch(spark, name):
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def clause_index(spark, sf):
     """A vector index of all clauses, written to the shared folder."""
     path = scratch(spark, "index")

@@ -552,29 +552,34 @@ PLAIN_ENGLISH = {
 }
 
 
-def load_clause_rules(path: str) -> list[ClauseRule]:
-    """Read and check a clause rule file; order in the file is rule order."""
+#: A rule file may hold so many bytes; it enters plans as literals.
+RULE_BYTES = 4_000_000
+
+
+def load_clause_rules(spark: SparkSession, path: str) -> list[ClauseRule]:
+    """Read and check a clause rule file (category -> keywords, regex) where Spark reads files; order in the file is rule order."""
+    found = spark.read.format("binaryFile").load(path).select("length", F.when(F.col("length") <= RULE_BYTES, F.col("content")).alias("content")).head(2)
+    if len(found) != 1:
+        raise RuleError(f"{path} is not one file")
+    if found[0]["content"] is None:
+        raise RuleError(f"{path} holds {found[0]['length']} bytes, more than {RULE_BYTES}")
     try:
-        with open(path, encoding="utf-8") as handle:
-            raw = json.load(handle)
-    except (OSError, json.JSONDecodeError) as exc:
+        raw = json.loads(bytes(found[0]["content"]))
+    except ValueError as exc:
         raise RuleError(f"cannot read rule file {path}: {exc}") from exc
     if not raw:
         raise RuleError(f"{path} holds no rules")
-    rules = []
     for category, body in raw.items():
         for key in ("keywords", "regex"):
             if not body.get(key):
                 raise RuleError(f"{path}: '{category}' lacks a non-empty '{key}'")
-        rules.append(ClauseRule(category, tuple(body["keywords"]), body["regex"]))
-    return rules
+    return [ClauseRule(category, tuple(body["keywords"]), body["regex"]) for category, body in raw.items()]
 
 
-def require(table: DataFrame, key: str) -> DataFrame:
-    """Keep the table but fail the job when ``key`` is null or empty anywhere."""
-    bad = F.col(key).isNull() | (F.col(key).cast("string") == "")
-    return table.withColumn(key, F.when(bad, F.raise_error(F.lit(f"rule table lacks '{key}'")))
-                            .otherwise(F.col(key)))
+def save_clause_rules(spark: SparkSession, rules: list[ClauseRule], path: str) -> None:
+    """Write rules as one rule file below path."""
+    text = json.dumps({r.category: {"keywords": list(r.keywords), "regex": r.regex} for r in rules}, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def keyword_table(spark: SparkSession, rules: list[ClauseRule] | None = None) -> DataFrame:

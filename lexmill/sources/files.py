@@ -18,6 +18,16 @@ def pages_of(documents: DataFrame, text: str = "full_text") -> DataFrame:
         "doc_id", (F.col("_i") + 1).alias("page_number"), "raw_text")
 
 
-def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    writer = df.write.mode("append")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+def append(df: DataFrame, path: str, batch: str, owner: str | None = None) -> None:
+    """Add the rows of a batch to a stored table; a batch that is written again replaces itself. A row without its owner fails the job.
+
+    Every batch has a folder of its own, so a lost run is repeated without doubling rows.
+    """
+    if owner is not None:
+        df = df.withColumn(owner, F.when(F.col(owner).isNull(), F.raise_error(F.lit(f"a stored row needs its {owner}"))).otherwise(F.col(owner)))
+    df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of an appended table with their batch_id."""
+    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("string"))

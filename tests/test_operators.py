@@ -358,3 +358,81 @@ def test_wording_of_number_groups_is_compared_between_all_texts(spark):
     first = {i: min(j for h, j, _, _ in rows if h == g and text[j] == text[i]) for g, i, _, _ in rows}
     assert {p for p in want if first[p[1]] == p[1] and first[p[2]] == p[2]} <= found
     assert {(g, c) for g, *p in want for c in p} == {(g, c) for g, *p in found for c in p}
+
+
+def test_appended_batches_replace_themselves(spark, tmp_path):
+    from lexmill.sources import files
+    path = str(tmp_path / "rows")
+    rows = spark.createDataFrame([(1, 7), (2, 8)], "k int, user_id int")
+    files.append(rows, path, "a", "user_id")
+    files.append(rows.limit(1), path, "b", "user_id")
+    files.append(rows, path, "a", "user_id")
+    assert sorted(r["batch_id"] for r in files.stored(spark, path).collect()) == ["a", "a", "b"]
+    with pytest.raises(Exception, match="needs its user_id"):
+        files.append(spark.createDataFrame([(3, None)], "k int, user_id int"), path, "c", "user_id")
+    assert files.stored(spark, path).count() == 3
+
+
+def test_rule_files(spark, tmp_path):
+    from lexmill import rules
+    path = str(tmp_path / "rules")
+    rules.save_clause_rules(spark, rules.CLAUSE_RULES, path)
+    assert rules.load_clause_rules(spark, path + "/part-*") == rules.CLAUSE_RULES
+    for name, text in (("none", "{}"), ("broken", "{"), ("lacking", '{"A": {"keywords": [], "regex": "x"}}')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(rules.RuleError):
+            rules.load_clause_rules(spark, str(tmp_path / name))
+
+
+def test_migration_touches_only_changed_buckets(spark, tmp_path):
+    from lexmill.operators import migrate
+    path = str(tmp_path / "clauses")
+    old = spark.createDataFrame([(d, 10 * d + i, f"S{i}", 20, "Low") for d in range(40) for i in range(3)],
+                                "doc_id long, clause_id long, section_name string, risk_score long, risk_level string")
+    migrate.store(old, path, 8)
+
+    def files_of():
+        return {p.parent.name: (p.name, p.stat().st_mtime_ns) for p in (tmp_path / "clauses").glob("*/*.parquet")}
+    before = files_of()
+    fresh = spark.createDataFrame([(30, 90, "High"), (31, 20, "Low"), (9999, 1, "Low")], "clause_id long, risk_score long, risk_level string")
+    report = {r["doc_id"]: r for r in migrate.dry_run(spark.createDataFrame([(d,) for d in (3, 4, 77)], "doc_id long"), migrate.stored(spark, path), fresh).collect()}
+    assert (report[3]["n_clauses"], report[3]["n_changed"], report[4]["n_changed"], report[77]["error"]) == (3, 1, 0, "no persisted clauses")
+    assert report[3]["score_after"] > report[3]["score_before"] == 20
+    staged = migrate.stage(migrate.stored(spark, path), fresh, path, "r1")
+    assert migrate.checks(migrate.stored(spark, path), staged).first()["all_passed"] and files_of() == before
+    for _ in range(2):  # publishing again changes nothing
+        migrate.publish(spark, path, "r1")
+        got = {r["clause_id"]: (r["risk_score"], r["risk_level"]) for r in migrate.stored(spark, path).collect()}
+        assert len(got) == 120 and got[30] == (90, "High") and got[31] == (20, "Low")
+    after = files_of()
+    assert sum(after[k] != before[k] for k in before) == 1
+    migrate.migrate(path, fresh, "r2")  # a whole run repeated finds nothing to change
+    assert files_of() == after
+    bad = migrate.stored(spark, path).filter("clause_id <> 32").withColumn("risk_score", F.lit(1).cast("long"))
+    assert not migrate.checks(migrate.stored(spark, path), bad).first()["all_passed"]
+
+
+def test_vector_index(spark, tmp_path):
+    from lexmill.operators import vector_index
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, i % 3, (centres[i % 12] + 0.3 * rng.normal(size=16)).tolist()) for i in range(900)] + [(1000 + i, 1, centres[0].tolist()) for i in range(150)]
+    vectors = spark.createDataFrame(rows, "vec_key long, user_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, i % 3, (centres[i % 12] + 0.3 * rng.normal(size=16)).tolist()) for i in range(60)],
+                                  "query_id long, user_id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    vector_index.build(vectors, path, ["user_id"], lists=24, slice_rows=40)
+    exact = vector_index.search(asked, path, 20, ["user_id"], exact=True)
+    unit = {k: (u, np.array(v) / np.linalg.norm(v)) for k, u, v in rows}
+    want = {}
+    for q, u, v in asked.collect():
+        v = np.array(v) / np.linalg.norm(v)
+        want[q] = [k for _, k in sorted((-round(float(x @ v), 9), k) for k, (o, x) in unit.items() if o == u)[:20]]
+    got = {}
+    for r in exact.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_key"])
+    assert got == want
+    probes = spark.read.parquet(path + "/lists").first()["probes"]
+    assert probes < 24
+    found = vector_index.search(asked, path, 20, ["user_id"])
+    assert vector_index.recall_of(found, exact).agg(F.avg("recall")).first()[0] >= 0.95
