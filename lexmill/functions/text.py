@@ -7,6 +7,8 @@ over the text; groups are read from the short matches.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -196,11 +198,27 @@ def financial_terms(text: Column, mentions: Column) -> Column:
     return F.transform(mentions, term)
 
 
+def inflected(word: str) -> list[str]:
+    """The regular forms of a verb or noun, itself first."""
+    if word.endswith("y"):
+        return [word, word[:-1] + "ies", word[:-1] + "ied", word + "ing"]
+    if word.endswith("e"):
+        return [word, word + "s", word + "d", word[:-1] + "ing"]
+    return [word, word + "s", word + "ed", word + "ing"]
+
+
+def action_forms(word: str) -> list[str]:
+    """Forms of a lexicon word that are not lexicon words themselves, so that no text counts twice for one word."""
+    others = {w for w, _ in rules.ACTION_WORDS} - {word}
+    return [f for f in inflected(word) if f not in others]
+
+
 def legal_actions(text: Column) -> Column:
-    """Action types named by a phrase or a lexicon word, with evidence-count confidence."""
+    """Action types named by a phrase or by any form of a lexicon word, with evidence-count confidence."""
     low = F.lower(text)
+    worded = [(os.path.commonprefix(forms), r"\b(?:" + "|".join(forms) + r")\b", k) for w, k in rules.ACTION_WORDS for forms in [action_forms(w)]]
     lexicon = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(P.jvm(p)).alias("p"), F.lit(k).alias("k")) for w, p, k in (
-        *[(w, w, k) for w, k in rules.ACTION_PHRASES], *[(w, P.word(w), k) for w, k in rules.ACTION_WORDS])])
+        *[(w, w, k) for w, k in rules.ACTION_PHRASES], *worded)])
     hits = F.transform(F.filter(lexicon, lambda e: low.contains(e["w"]) & F.rlike(low, e["p"])), lambda e: e["k"])
     counted = F.transform(F.array_sort(F.array_distinct(hits)), lambda k: F.struct(
         k.alias("action_type"), F.size(F.filter(hits, lambda h: h == k)).alias("n")))

@@ -182,9 +182,17 @@ def fact_financial_terms(spark, sf):
     return df.select("c_custkey", F.inline(X.financial_terms(F.col("t"), X.money(F.col("t")))))
 
 
+#: The forms of each action word, written out.
+_FORMS = {"terminate": "terminate|terminates|terminated|terminating", "termination": "termination|terminations",
+          "indemnify": "indemnify|indemnifies|indemnified|indemnifying", "indemnification": "indemnification|indemnifications",
+          "indemnity": "indemnity|indemnities", "waive": "waive|waives|waived|waiving", "waiver": "waiver|waivers",
+          "assign": "assign|assigns|assigned|assigning", "assignment": "assignment|assignments", "comply": "comply|complies|complied|complying",
+          "compliance": "compliance|compliances", "compliant": "compliant", "sanction": "sanction|sanctioned|sanctioning", "sanctions": "sanctions"}
+
+
 def _action_count(kind: str) -> str:
     parts = [f"CAST(contains(l, {quoted(p)}) AS INT)" for p, k in rules.ACTION_PHRASES if k == kind]
-    parts += [f"CAST(regexp_matches(l, {rx(P.word(w))}) AS INT)" for w, k in rules.ACTION_WORDS if k == kind]
+    parts += [f"CAST(regexp_matches(l, '\\b(?:{_FORMS[w]})\\b') AS INT)" for w, k in rules.ACTION_WORDS if k == kind]
     return " + ".join(parts)
 
 

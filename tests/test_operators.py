@@ -436,3 +436,10 @@ def test_vector_index(spark, tmp_path):
     assert probes < 24
     found = vector_index.search(asked, path, 20, ["user_id"])
     assert vector_index.recall_of(found, exact).agg(F.avg("recall")).first()[0] >= 0.95
+
+
+def test_inflected_actions(spark):
+    texts = ["He terminated it.", "She assigns it", "Vendor indemnifies and was complying", "waived", "sanctions", "sanctioned sanctions", "reassigned", "A termination; they terminate."]
+    got = [{a["action_type"]: round(a["confidence"], 4) for a in r} for r in col(spark, texts, X.legal_actions)]
+    assert got == [{"termination": 0.5}, {"assignment": 0.5}, {"indemnification": 0.5, "compliance": 0.5}, {"waiver": 0.5}, {"sanctions": 0.5},
+                   {"sanctions": 0.6667}, {}, {"termination": 0.6667}]
