@@ -265,7 +265,14 @@ def fact_span_overlap(spark, sf):
     return features.span_corroboration(left, right).select("clause_id", "mention_no", "corroborated")
 
 
-@query("fact_subject_agreement", "X18")
+_EDITS = ("CASE WHEN length(s) + length(m) = 0 THEN 1.0 ELSE 2.0 * (least(length(s), length(m)) - (levenshtein(s, m) - abs(length(s) - length(m)))) "
+          "/ (length(s) + length(m)) END")
+
+
+@query("fact_subject_agreement", "X18", CL + f"""
+SELECT corroborated, count(*) AS n FROM (SELECT len(list_filter(subjects, lambda s: {_EDITS} >= 0.5)) > 0 AS corroborated FROM (
+  SELECT subjects, lower(unnest(raw)) AS m FROM (SELECT list_transform({_MM}, lambda m: regexp_extract(m, {rx(P.MODAL_MENTION)}, 1)) AS raw,
+    list_transform({all_of(P.OBLIGATION)}, lambda m: lower(regexp_extract(m, {rx(P.OBLIGATION)}, 1))) AS subjects FROM c))) GROUP BY 1""")
 def fact_subject_agreement(spark, sf):
     c = clauses(spark, sf)
     mentions = c.select("clause_id", F.posexplode(X.modal_mentions(F.col(T))).alias("mention_no", "o")).select(
