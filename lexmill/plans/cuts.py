@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import classify as K
 from ..operators import pairs, segment
 from .corpus import ansi_clauses, ansi_papers, clauses, papers, table
+from .facts import _ob, all_of
 from .registry import bag_sql, contains_any, in_list, query, rx, shared_sql, words_sql
 from .scores import ROLL, stored_clauses, with_vectors
 
@@ -231,7 +232,31 @@ def conflict_duplicates(spark, sf):
     return pairs.first_per_pair(pairs.duplicate_findings(pairs.enriched(clauses(spark, sf))), "detector")
 
 
-@query("conflict_obligations", "J8")
+def _edits(a: str, b: str) -> str:
+    return (f"(CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0 * (least(length({a}), length({b})) - (levenshtein({a}, {b}) - abs(length({a}) - length({b})))) "
+            f"/ (length({a}) + length({b})) END)")
+
+
+def _set(pattern: str) -> str:
+    return f"list_sort(list_distinct(list_transform(regexp_extract_all(t, {rx(pattern, True)}, 0), lambda m: lower(m))))"
+
+
+_UNLIKE = "(len(x.{0}) > 0 AND len(y.{0}) > 0 AND x.{0} <> y.{0})"
+
+
+@query("conflict_obligations", "J8", f"""WITH c AS {ansi_clauses()}, o AS (SELECT doc_id, clause_id, lower({_ob(1)}) AS s, lower({_ob(3)}) AS t,
+   lower({_ob(2)}) LIKE '%not' AS neg FROM (SELECT doc_id, clause_id, unnest({all_of(P.OBLIGATION)}) AS m FROM c)),
+ g AS (SELECT doc_id, s, t, neg, min(clause_id) AS rep FROM o GROUP BY 1, 2, 3, 4),
+ w AS (SELECT *, row_number() OVER () AS k, {_set(P.MONEY)} AS ms, {_set(P.DURATION)} AS us, {words_sql("t")} AS ws FROM g), b AS (SELECT *, {bag_sql("ws")} AS bag FROM w),
+ e AS (SELECT x.doc_id, x.k AS xk, y.k AS yk, x.rep AS xr, y.rep AS yr, x.neg <> y.neg AS opp, {_UNLIKE.format("ms")} AS cash, {shared_sql("x.bag", "y.bag")} AS ratio
+   FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.k < y.k WHERE (x.neg <> y.neg OR {_UNLIKE.format("ms")} OR {_UNLIKE.format("us")})
+    AND {_edits("x.s", "y.s")} >= 0.6),
+ f AS (SELECT *, CASE WHEN opp THEN 'obligation:opposite' WHEN cash THEN 'obligation:amount' ELSE 'obligation:duration' END AS topic FROM e
+   WHERE CASE WHEN opp THEN ratio >= 0.55 ELSE ratio > 0.4 END),
+ v AS (SELECT DISTINCT b.k, o.clause_id FROM o JOIN b ON b.doc_id = o.doc_id AND b.s = o.s AND b.t = o.t AND b.neg = o.neg),
+ p AS (SELECT doc_id, opp, topic, clause_id AS x, yr AS y FROM f JOIN v ON v.k = xk UNION ALL SELECT doc_id, opp, topic, clause_id, xr FROM f JOIN v ON v.k = yk)
+SELECT DISTINCT doc_id, CASE WHEN opp THEN 'Opposite Statements' ELSE 'Conflicting Obligations' END AS contradiction_type, topic,
+ CASE WHEN opp THEN 'High' ELSE 'Medium' END AS severity, least(x, y) AS a_id, greatest(x, y) AS b_id FROM p WHERE x <> y""")
 def conflict_obligations(spark, sf):
     return pairs.obligation_findings(pairs.enriched(clauses(spark, sf), ["obligations"])).drop("detector")
 
