@@ -52,6 +52,8 @@ ENDS = {
 ENDS["tbody"] = ENDS["tfoot"] = ENDS["thead"]
 #: Elements that an end tag inside them does not close.
 WALLS = {"table", "td", "th", "caption", "template", "object"}
+#: A block's start tag ends an open paragraph, unless one of these stands between.
+AROUND_PARAGRAPHS = WALLS | {"button"} | BLOCKS - {"p"}
 THROUGH_WALLS = {"table", "tr", "tbody", "thead", "tfoot", "body"}
 IN_HEAD = set("base link meta noscript script style template title".split())
 #: Bounds of padding and of indents, unless others are given.
@@ -127,7 +129,7 @@ class Tree:
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self.close(len(self.open) - 1)
         if tag in BLOCKS:
-            self.close_through({"p"}, WALLS | {"button"} | BLOCKS - {"p"})
+            self.close_through({"p"}, AROUND_PARAGRAPHS)
         if tag in ENDS:
             self.close_through(*ENDS[tag])
         holder = self.open[-1].tag
