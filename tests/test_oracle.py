@@ -9,7 +9,8 @@ from tests.oracle import connect, rows_of
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["fact_financial_terms", "label_questions", "stat_entropy_weights", "stat_group_percentiles", "cut_page_sections",
-          "conflict_components", "trust_index", "graph_ego", "report_level_percentages", "compare_numbered"]
+          "conflict_components", "trust_index", "graph_ego", "report_level_percentages", "compare_numbered", "risk_levels_as_of",
+          "audit_positions", "files_pages", "cut_near_copies"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
