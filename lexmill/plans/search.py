@@ -138,6 +138,22 @@ def graph_entity_edges(spark, sf):
     return edges.groupBy("doc_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _found(kind: str, pattern: str, part: int, form: str = "x", ci: bool = True) -> str:
+    return (f"SELECT doc_id, '{kind}' AS node_type, {form} AS key FROM (SELECT doc_id, trim(regexp_extract(unnest(regexp_extract_all(t, {rx(pattern, ci)}, 0)), "
+            f"{rx(pattern, ci)}, {part})) AS x FROM d)")
+
+
+@query("graph_document_entities", "H1 B2", f"""WITH c AS {ansi_clauses()}, d AS (SELECT doc_id, string_agg(text_content, chr(10) || chr(10) ORDER BY clause_id) AS t FROM c GROUP BY 1)
+SELECT doc_id, node_type, count(*) AS n FROM ({_found("party", P.PARTY, 2, "lower(x)", False)} UNION {_found("date", P.DATE, 0)} UNION {_found("money", P.MONEY, 0)}
+ UNION {_found("penalty", P.PENALTY, 0, "lower(x)")} UNION {_found("jurisdiction", P.JURISDICTION, 1, "lower(x)")}
+ UNION {_found("party", P.OBLIGATION, 1, "lower(x)", False)} UNION {_found("obligation", P.OBLIGATION, 3, "lower(x)", False)}) GROUP BY 1, 2""")
+def graph_document_entities(spark, sf):
+    """Entities of the whole text of each document."""
+    docs = segment.document_text(clauses(spark, sf), "clause_id", "text_content").select("doc_id", "full_text")
+    nodes, _ = graph.entity_graph(docs, "full_text")
+    return nodes.groupBy("doc_id", "node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("graph_unified", "H2 B2")
 def graph_unified(spark, sf):
     rows = stored_clauses(spark, sf)
