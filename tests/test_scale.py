@@ -4,7 +4,9 @@ import math
 import re
 from collections import Counter
 
-from lexmill.operators import retrieve
+from pyspark.sql import functions as F
+
+from lexmill.operators import near_text, retrieve
 
 
 def plan(df):
@@ -30,3 +32,11 @@ def test_bm25_broadcasts_nothing_and_keeps_its_scores(spark, tmp_path):
             want = sum((0.25 * mean if idf[w] < 0 else idf[w]) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean_length))
                        for w in asked[q].split() if t and w in t)
             assert abs(got[q, d] - want) < 1e-9
+
+
+def test_near_pairs_broadcast_nothing(spark):
+    rows = spark.range(40).select((F.col("id") % 2).alias("doc_id"), "id", F.array(F.lit(1), F.lit(2), F.lit(3), F.col("id") % 4 + 10).cast("array<bigint>").alias("bag"))
+    alone = spark.range(40, 50).select(F.col("id").alias("doc_id"), "id", F.array(F.lit(1)).cast("array<bigint>").alias("bag"))
+    out = near_text.near_pairs(rows.unionByName(alone), ["doc_id"], "id", "bag", 0.9)
+    assert "Broadcast" not in plan(out)
+    assert {(r.a, r.b) for r in out.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 == b % 4}
