@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, similarity
 from ..functions import patterns as P
 from ..functions import text as X
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt
 from . import classify, groups, near_text
 from .pairs import components
 
@@ -237,15 +237,18 @@ def fold_near_copies(clauses: DataFrame, doc: str = "doc_id", order: str = "bloc
     takes the place of its first clause and keeps the one with the highest score, the first of equals.
     """
     best = F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"))
-    texts = clauses.select(doc, F.xxhash64(X.numeric_fingerprint(F.col(text))).alias("_fp"), X.dedup_form(F.col(text)).alias("_norm"), order, score).groupBy(
-        doc, "_fp", "_norm").agg(F.min(order).alias("_id"), F.max(best).alias("_best"))
-    texts = cut_lineage(texts.select(doc, "_fp", "_id", "_best", F.length("_norm").alias("_len"), similarity.bag(F.col("_norm")).alias("_bag")))
-    pairs = near_text.near_pairs(texts.select(doc, "_fp", "_id", "_len", "_bag"), [doc, "_fp"], "_id", "_bag", at_least,
+    keyed = clauses.select(doc, F.xxhash64(X.numeric_fingerprint(F.col(text))).alias("_fp"), X.dedup_form(F.col(text)).alias("_norm"), order, score)
+    texts = keyed.groupBy(doc, "_fp", "_norm").agg(F.min(order).alias("_id"), F.max(best).alias("_best"))
+    # Most texts are the only one with their numbers: their words are never taken, and only the others are kept on disk.
+    several = keyed.groupBy(doc, "_fp").agg(F.count(F.lit(1)).alias("_f")).filter("_f > 1").select(doc, "_fp")
+    near = texts.select(doc, "_fp", "_id", "_norm").join(dealt(several), [doc, "_fp"], "left_semi")
+    near = cut_lineage(near.select(doc, "_fp", "_id", F.length("_norm").alias("_len"), similarity.bag(F.col("_norm")).alias("_bag")))
+    pairs = near_text.near_pairs(near, [doc, "_fp"], "_id", "_bag", at_least,
                                  lambda l, r: F.abs(F.col(f"{l}_len") - F.col(f"{r}_len")) <= longer * F.greatest(f"{l}_len", f"{r}_len"))
     classes = components(pairs.select(doc, "a", "b"), [doc]).withColumnRenamed("node", "_id")
-    kept = texts.join(classes, [doc, "_id"], "left").groupBy(doc, F.coalesce("component", "_id").alias("slot_no")).agg(F.max("_best").alias("_best")).select(
-        doc, "slot_no", (-F.col("_best.o")).cast(clauses.schema[order].dataType).alias(order))
-    return clauses.join(kept, [doc, order])
+    kept = texts.select(doc, "_id", "_best").join(dealt(classes), [doc, "_id"], "left").groupBy(doc, F.coalesce("component", "_id").alias("slot_no")).agg(
+        F.max("_best").alias("_best")).select(doc, "slot_no", (-F.col("_best.o")).cast(clauses.schema[order].dataType).alias(order))
+    return clauses.join(dealt(kept), [doc, order])
 
 
 def unique_titles(df: DataFrame, title: str, order: str, doc: str = "doc_id",

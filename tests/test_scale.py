@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import near_text, retrieve
+from lexmill.operators import near_text, pairs, retrieve, segment
 
 
 def plan(df):
@@ -40,3 +40,20 @@ def test_near_pairs_broadcast_nothing(spark):
     out = near_text.near_pairs(rows.unionByName(alone), ["doc_id"], "id", "bag", 0.9)
     assert "Broadcast" not in plan(out)
     assert {(r.a, r.b) for r in out.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 == b % 4}
+
+
+def test_near_copies_keep_no_words_of_texts_alone_with_their_numbers(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(segment, "cut_lineage", lambda df: kept.append(df) or df)
+    rows = spark.range(30).select((F.col("id") % 3).alias("doc_id"), F.col("id").alias("block_no"), F.lit(1.0).alias("confidence_score"), F.concat(
+        F.lit("The buyer shall pay the price for all goods, whatever else is agreed, on day "), F.when(F.col("id") < 6, F.lit(7)).otherwise(F.col("id") + 100).cast("string"),
+        F.when(F.col("id") < 3, " without delay").otherwise("")).alias("text_content"))
+    out = segment.fold_near_copies(rows)
+    assert "Broadcast" not in plan(out)
+    assert sorted((r.doc_id, r.slot_no, r.block_no) for r in out.collect()) == sorted((i % 3, i, i) for i in range(30) if not 3 <= i < 6)
+    assert [df.count() for df in kept] == [6]
+
+
+def test_issues_broadcast_nothing_that_grows_with_the_documents(spark):
+    rows = spark.range(8).select((F.col("id") % 2).alias("doc_id"), F.col("id").alias("clause_id"), F.array(F.col("id") % 2).alias("m"))
+    assert "Broadcast" not in plan(pairs.value_stars(rows, ["doc_id"], ["m"]))
