@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import similarity
 from lexmill.operators import near_text, pairs, retrieve, segment
 
 
@@ -54,6 +55,17 @@ def test_near_copies_keep_no_words_of_texts_alone_with_their_numbers(spark, monk
     assert [df.count() for df in kept] == [6]
 
 
+def test_differs_settles_by_edits_what_matching_blocks_would_say(spark):
+    import difflib
+    base = "client must notify supplier by registered mail within 3 weeks, see section 3 and clause 5."
+    texts = [base, base.replace("3 weeks", "4 weeks"), base.replace("mail", "post"), "x" + base, base[::-1], base.upper(), "", base * 3]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    out = rows.select("a", "b", similarity.differs(F.col("a"), F.col("b"), 0.97).alias("d"))
+    got = {(r.a, r.b): r.d for r in out.collect()}
+    assert all(d == (difflib.SequenceMatcher(None, a, b).ratio() < 0.97) for (a, b), d in got.items())
+    assert "levenshtein" in plan(out)
+
+
 def test_issues_broadcast_nothing_that_grows_with_the_documents(spark):
     rows = spark.range(8).select((F.col("id") % 2).alias("doc_id"), F.col("id").alias("clause_id"), F.array(F.col("id") % 2).alias("m"))
     assert "Broadcast" not in plan(pairs.value_stars(rows, ["doc_id"], ["m"]))
