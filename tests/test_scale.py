@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import similarity
 from lexmill.operators import near_text, pairs, retrieve, segment
+from lexmill.plans import manage
 
 
 def plan(df):
@@ -69,3 +70,8 @@ def test_differs_settles_by_edits_what_matching_blocks_would_say(spark):
 def test_issues_broadcast_nothing_that_grows_with_the_documents(spark):
     rows = spark.range(8).select((F.col("id") % 2).alias("doc_id"), F.col("id").alias("clause_id"), F.array(F.col("id") % 2).alias("m"))
     assert "Broadcast" not in plan(pairs.value_stars(rows, ["doc_id"], ["m"]))
+
+
+def test_text_windows_of_digits_are_whole(spark, tmp_path):
+    spark.range(111).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {len(r.digits) for r in manage.text_punctuation(spark, str(tmp_path)).collect()} == {9}
