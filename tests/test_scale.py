@@ -6,8 +6,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import similarity
-from lexmill.operators import near_text, pairs, retrieve, segment
+from lexmill import rules
+from lexmill.functions import patterns, similarity
+from lexmill.operators import classify, near_text, pairs, retrieve, segment
 from lexmill.plans import manage
 
 
@@ -75,3 +76,29 @@ def test_issues_broadcast_nothing_that_grows_with_the_documents(spark):
 def test_text_windows_of_digits_are_whole(spark, tmp_path):
     spark.range(111).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
     assert {len(r.digits) for r in manage.text_punctuation(spark, str(tmp_path)).collect()} == {9}
+
+
+def test_categories_are_found_by_prefix_trees_and_are_those_of_each_pattern_alone(spark):
+    own = [rules.ClauseRule("Money", ("usd", "rs.", "late", "late fee", "late fee due"), r"\bpa(y|id)\b|sum insured"),
+           rules.ClauseRule("Law", ("governed by", "late", "courts"), r"\blaws? of\b|\bcourts\b|\bgovern"),
+           rules.ClauseRule("Notice", ("by mail", "by"), r"(?:registered )?mail\b")]
+    texts = ["late fee due", "a late fee is late", "xlate feed by-mail", "Rs.5 rs. x", "misgoverned by courts_", "Law of USD\npaid", "sum insured, resum insured", "Money: by mail", "\u00e9late fee\u00e9", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = classify.with_categories(df, F.col("t"), own)
+    assert "contains(lambda" not in out.drop("t")._jdf.queryExecution().optimizedPlan().toString().lower().replace("contains(_head", "")
+    got = {(r.i, c["category"]): (c["points"], c["keywords"], c["snippet"]) for r in out.collect() for c in r["_cats"]}
+    want = {}
+    for i, t in enumerate(texts):
+        for rule in own:
+            kept = [k for k in rule.keywords if re.search(patterns.word(k), t.lower())]
+            hit = re.search(rule.regex, t.lower())
+            points = 25 * bool(hit and hit.group()) + 10 * min(len(kept), 5) + 15 * (rule.category.lower() in t.lower().split("\n")[0])
+            if points:
+                want[i, rule.category] = (points, kept, hit.group() if hit else "")
+    assert got == want
+
+
+def test_one_pattern_finds_all_keywords():
+    words = [k for r in rules.CLAUSE_RULES for k in r.keywords]
+    tree = re.compile(rf"\b({classify.prefix_tree(sorted(set(words)))})\b")
+    assert all(tree.fullmatch(w) for w in words) and len(tree.pattern) < sum(map(len, words))
