@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill import rules
 from lexmill.functions import patterns, similarity
-from lexmill.operators import classify, near_text, pairs, retrieve, segment
+from lexmill.operators import classify, migrate, near_text, pairs, retrieve, risk, segment
 from lexmill.plans import manage
 
 
@@ -102,3 +102,53 @@ def test_one_pattern_finds_all_keywords():
     words = [k for r in rules.CLAUSE_RULES for k in r.keywords]
     tree = re.compile(rf"\b({classify.prefix_tree(sorted(set(words)))})\b")
     assert all(tree.fullmatch(w) for w in words) and len(tree.pattern) < sum(map(len, words))
+
+
+def test_clause_means_move_no_vectors_when_they_are_few_and_agree_for_hot_documents(spark, tmp_path, monkeypatch):
+    vecs = {k: [math.sin(k * 7 + i) for i in range(4)] for k in range(5)}
+    spark.createDataFrame(list(vecs.items()), "_vec long, embedding array<float>").write.parquet(f"{tmp_path}/v")
+    rows = spark.createDataFrame([(d, c, (d * 3 + c) % 5) for d in range(4) for c in range(d + 1)], "doc_id long, clause_id long, _vec long")
+    out = risk.outlier_signal(rows, spark.read.parquet(f"{tmp_path}/v"), "_vec", dim=4)
+    moved = [line for line in plan(out).split("\n") if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "Aggregate" not in plan(out)
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {}
+    for d in range(4):
+        own = [vecs[(d * 3 + c) % 5] for c in range(d + 1)]
+        mean = [sum(x) / len(own) for x in zip(*own)]
+        want |= {(d, c): 1 - cosine(v, mean) if d else 0.5 for c, v in enumerate(own)}
+    monkeypatch.setattr(risk, "LOOKUP_ROWS", 0)
+    for some in (out, risk.outlier_signal(rows, spark.read.parquet(f"{tmp_path}/v"), "_vec", dim=4),
+                 risk.outlier_signal(rows, spark.read.parquet(f"{tmp_path}/v"), "_vec", dim=4, hot_rows=2)):
+        got = {(r.doc_id, r.clause_id): r.e_ambiguity for r in some.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_scenarios_are_scored_on_one_pass_over_the_signals(spark):
+    one = spark.range(60).select((F.col("id") % 7).alias("doc_id"), F.col("id").alias("clause_id"), *[
+        ((F.col("id") * (i + 3)) % 11 / 11.0).alias(c) for i, c in enumerate([*[f"raw_{d}" for d in risk.RANKED], "f_ambiguity", "feature_confidence", *[f"e_{d}" for d in risk.LOWER]])])
+    runs = {"fixed": {"Legal": 1.0}, "own": None}
+    for hot in (1_000, 8):
+        out = risk.score_scenarios(one, runs, hot_rows=hot)
+        if hot == 1_000:
+            assert plan(out).count("Exchange hashpartitioning") == 1
+        got = {r.clause_id: (r.fixed, r.own) for r in out.collect()}
+        for i, alpha in enumerate(runs.values()):
+            want = {r.clause_id: r.lrsi for r in risk.score_clauses(one, alpha=alpha, hot_rows=hot).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k][i] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_stage_recomputes_once(spark, tmp_path):
+    rows = spark.range(20).select((F.col("id") % 4).alias("doc_id"), F.col("id").alias("clause_id"), F.lit(1).alias("risk_score"))
+    migrate.store(rows, f"{tmp_path}/t", 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    fresh = rows.withColumn("risk_score", F.lit(2)).coalesce(1).mapInPandas(count, rows.schema).select("clause_id", "risk_score")
+    out = migrate.migrate(f"{tmp_path}/t", fresh, "r")
+    assert {r.risk_score for r in out.collect()} == {2} and seen.value == 20
