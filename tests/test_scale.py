@@ -152,3 +152,18 @@ def test_a_stage_recomputes_once(spark, tmp_path):
     fresh = rows.withColumn("risk_score", F.lit(2)).coalesce(1).mapInPandas(count, rows.schema).select("clause_id", "risk_score")
     out = migrate.migrate(f"{tmp_path}/t", fresh, "r")
     assert {r.risk_score for r in out.collect()} == {2} and seen.value == 20
+
+
+def test_vectors_that_rows_share_are_scored_once(spark, monkeypatch):
+    vecs = {v: [float(v % 3), float(v % 5), 1.0] for v in range(12)}
+    vecs[7] = vecs[2]
+    stored = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<float>")
+    rows = spark.range(300).select(F.col("id").alias("vec_key"), (F.col("id") % 2).alias("user_id"), (F.col("id") * 7 % 12).alias("vec_id"))
+    asked = spark.range(6).select(F.col("id").alias("query_id"), (F.col("id") % 2).alias("user_id"), F.array(F.col("id") % 4, F.lit(1), F.lit(1)).cast("array<float>").alias("embedding"))
+    scored = []
+    plain = retrieve.nearest
+    monkeypatch.setattr(retrieve, "nearest", lambda q, v, *a, **b: scored.append(v.count()) or plain(q, v, *a, **b))
+    got = sorted(map(tuple, retrieve.nearest_stored(asked, rows, stored, "vec_id", 30, ["user_id"], slice_rows=4).select("query_id", "rank", "vec_key", "similarity").collect()))
+    assert scored == [12]
+    want = plain(asked, rows.join(stored, "vec_id"), 30, ["user_id"]).select("query_id", "rank", "vec_key", "similarity")
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 180
