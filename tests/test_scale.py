@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill import rules
 from lexmill.functions import patterns, similarity
-from lexmill.operators import classify, migrate, near_text, pairs, retrieve, risk, segment
+from lexmill.operators import classify, compare, migrate, near_text, pairs, retrieve, risk, segment
 from lexmill.plans import manage
 
 
@@ -167,3 +167,29 @@ def test_vectors_that_rows_share_are_scored_once(spark, monkeypatch):
     assert scored == [12]
     want = plain(asked, rows.join(stored, "vec_id"), 30, ["user_id"]).select("query_id", "rank", "vec_key", "similarity")
     assert got == sorted(map(tuple, want.collect())) and len(got) == 180
+
+
+def test_changes_keep_no_texts_or_vectors(spark, monkeypatch):
+    kept, words = [], ["pay", "notify", "deliver", "usd", "within", "days", "supplier", "client"]
+    plain = compare.cut_lineage
+    monkeypatch.setattr(compare, "cut_lineage", lambda df: kept.append(set(df.columns)) or plain(df))
+    texts = {(d, c): " ".join(words[(d + c + i) % 8] for i in range(5 + c % 2)) for d in range(3) for c in range(5)}
+    name = {c: f"Section {c}. Payment" if c < 2 else "Notices" if c == 2 else "Other things" if c == 3 else "" for c in range(5)}
+    vecs = {(d, c): [1.0, (d + c) % 3 - 1.0, c / 5] for d, c in texts}
+    rows = spark.createDataFrame([(d, 10 * d + c, name[(c + d) % 5], texts[d, c], vecs[d, c]) for d, c in texts],
+                                 "doc_id long, clause_id long, section_name string, text_content string, embedding array<float>")
+    pairs_of = spark.createDataFrame([(0, 0, 1), (1, 1, 2)], "pair_id long, doc_a long, doc_b long")
+    got = compare.changes(pairs_of, rows).collect()
+    assert kept and not any(c.startswith(("text_content", "embedding", "bag", "unit")) for columns in kept for c in columns)
+    pairs_seen = [(r.pair_id, r.a_id, r.b_id) for r in got if r.a_id is not None and r.b_id is not None]
+    assert len(pairs_seen) >= 4
+    for r in got:
+        if r.a_id is None or r.b_id is None:
+            continue
+        a, b = (divmod(x, 10) for x in (r.a_id, r.b_id))
+        left, right = Counter(texts[a].split()), Counter(texts[b].split())
+        ratio = 2 * sum((left & right).values()) / sum((left + right).values())
+        va, vb = vecs[a], vecs[b]
+        cos = sum(x * y for x, y in zip(va, vb)) / math.sqrt(sum(x * x for x in va) * sum(y * y for y in vb))
+        assert abs(r.score - (ratio + cos) / 2) < 1e-6 and r.status == ("unchanged" if ratio >= 0.97 else "modified")
+    assert sum(r.status != "added" for r in got) == 10 and sum(r.status != "removed" for r in got) == 10
