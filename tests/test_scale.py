@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexmill import rules
 from lexmill.functions import patterns, similarity
 from lexmill.operators import classify, compare, migrate, near_text, pairs, retrieve, risk, segment
-from lexmill.plans import manage
+from lexmill.plans import manage, migration
 
 
 def plan(df):
@@ -193,3 +193,11 @@ def test_changes_keep_no_texts_or_vectors(spark, monkeypatch):
         cos = sum(x * y for x, y in zip(va, vb)) / math.sqrt(sum(x * x for x in va) * sum(y * y for y in vb))
         assert abs(r.score - (ratio + cos) / 2) < 1e-6 and r.status == ("unchanged" if ratio >= 0.97 else "modified")
     assert sum(r.status != "added" for r in got) == 10 and sum(r.status != "removed" for r in got) == 10
+
+
+def test_relationships_are_made_once_for_all_batches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(migration.files, "append", lambda df, *a: seen.append(plan(df)))
+    monkeypatch.setattr(migration.files, "stored", lambda *a: None)
+    migration.store_relationships(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and not any("FileScan" in p for p in seen)
