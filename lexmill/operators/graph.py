@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt
 from .classify import once
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def _short(text: Column, n: int | None) -> Column:
 
 
 def entity_nodes(docs: DataFrame, text: str, caps: Caps = Caps()) -> DataFrame:
-    """(doc_id, node_no, node_type, label) of each document text.
+    """nodes of each document text, an array of (node_type, label, key), with its obligations and parties.
 
     Order: parties, dates, amounts, penalties, jurisdictions, then obligation
     parties and targets; a repeated key keeps its first place.
@@ -63,39 +63,43 @@ def entity_nodes(docs: DataFrame, text: str, caps: Caps = Caps()) -> DataFrame:
             node("party", o["subject"], F.lower(o["subject"])),
             node("obligation", _short(o["action"], caps.action), F.lower(_short(o["action"], caps.action)))))))
     df = once(df, F.struct(listed.alias("_n")))
-    keys = F.transform("_n", lambda n: n["key"])
-    first = F.filter("_n", lambda n, i: F.array_position(keys, n["key"]) == i + 1)
-    return df.select("doc_id", F.posexplode(_first(first, caps.nodes)).alias("node_no", "_x"), "_o", "_p").select(
-        "doc_id", "node_no", "_x.node_type", "_x.label", "_x.key", "_o", "_p")
-
-
-def entity_graph(docs: DataFrame, text: str, caps: Caps = Caps()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): obligation edges and edges from the first party."""
-    rows = entity_nodes(docs, text, caps)
-    nodes = rows.select("doc_id", F.concat(F.lit("n"), F.col("node_no").cast("string")).alias("node_id"), "node_type", "label", "key", "node_no")
-    duty = rows.filter("node_no = 0").select("doc_id", F.posexplode("_o").alias("ord", "o")).select(
-        "doc_id", "ord", F.concat(F.lit("party:"), F.lower("o.subject")).alias("sk"),
-        F.concat(F.lit("obligation:"), F.lower(_short(F.col("o.action"), caps.action))).alias("tk"), F.col("o.modal").alias("relation"))
-    a = nodes.select("doc_id", F.col("key").alias("sk"), F.col("node_id").alias("source_id"))
-    b = nodes.select("doc_id", F.col("key").alias("tk"), F.col("node_id").alias("target_id"))
-    duties = duty.join(a, ["doc_id", "sk"]).join(b, ["doc_id", "tk"]).select("doc_id", "source_id", "target_id", "relation",
-                                                                            F.lit(0).alias("family"), "ord")
-    anchor = rows.filter((F.col("node_no") == 0) & (F.size("_p") > 0)).select("doc_id", F.lit("n0").alias("source_id"))
-    every = 1 << 30
-    kinds = {"jurisdiction": ("governed by", 1, caps.jurisdictions or every), "date": ("dated", 2, caps.dates or every),
-             "money": ("involves payment", 3, caps.amounts or every), "penalty": ("subject to", 4, caps.penalties or every)}
-    w = Window.partitionBy("doc_id", "node_type").orderBy("node_no")
-    ranked = nodes.filter(F.col("node_type").isin(list(kinds))).withColumn("_k", F.row_number().over(w))
-    meta = F.create_map(*[x for k, (rel, fam, cap) in kinds.items() for x in (
-        F.lit(k), F.struct(F.lit(rel).alias("rel"), F.lit(fam).alias("fam"), F.lit(cap).alias("cap")))])
-    extra = ranked.withColumn("_m", meta[F.col("node_type")]).filter(F.col("_k") <= F.col("_m.cap")).join(anchor, "doc_id").select(
-        "doc_id", "source_id", F.col("node_id").alias("target_id"), F.col("_m.rel").alias("relation"), F.col("_m.fam").alias("family"),
-        F.col("node_no").alias("ord"))
-    cap = Window.partitionBy("doc_id").orderBy("family", "ord")
-    edges = duties.unionByName(extra)
-    if caps.edges is not None:
-        edges = edges.withColumn("_e", F.row_number().over(cap)).filter(F.col("_e") <= caps.edges)
-    return nodes.drop("key", "node_no"), edges.select("doc_id", "source_id", "target_id", "relation")
+    df = once(df, F.struct(F.transform("_n", lambda n: n["key"]).alias("_keys")))
+    first = F.filter("_n", lambda n, i: F.array_position("_keys", n["key"]) == i + 1)
+    return once(df, F.struct(_first(first, caps.nodes).alias("nodes"))).select("doc_id", "nodes", "_o", "_p")
+
+
+def entity_graph(docs: DataFrame, text: str, caps: Caps = Caps(), keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): obligation edges and edges from the first party.
+
+    Both ends of an edge are places in the document's own list of nodes, so edges are made in the row of their document.
+    keep: both are used, so the lists are made once and kept.
+    """
+    df = once(entity_nodes(docs, text, caps), F.struct(F.transform("nodes", lambda n: n["key"]).alias("_at")))
+
+    def edge(source, target, relation):
+        return F.struct(source.alias("source"), target.alias("target"), relation.alias("relation"))
+    duties = F.filter(F.transform("_o", lambda o: edge(
+        F.array_position("_at", F.concat(F.lit("party:"), F.lower(o["subject"]))),
+        F.array_position("_at", F.concat(F.lit("obligation:"), F.lower(_short(o["action"], caps.action)))), o["modal"])),
+        lambda e: (e["source"] > 0) & (e["target"] > 0))
+
+    def extra(kind, relation, cap):
+        own = F.transform("nodes", lambda n, i: F.when(n["node_type"] == kind, edge(F.lit(1).cast("long"), (i + 1).cast("long"), F.lit(relation))))
+        return _first(F.array_compact(own), cap)
+    listed = F.concat(duties, *[F.when(F.size("_p") > 0, extra(*x)).otherwise(F.filter(extra(*x), lambda e: F.lit(False))) for x in (
+        ("jurisdiction", "governed by", caps.jurisdictions), ("date", "dated", caps.dates), ("money", "involves payment", caps.amounts),
+        ("penalty", "subject to", caps.penalties))])
+    df = df.select("doc_id", "nodes", _first(listed, caps.edges).alias("edges"))
+    if keep:
+        df = cut_lineage(df)
+
+    def node(place):
+        return F.concat(F.lit("n"), place.cast("string"))
+    nodes = df.select("doc_id", F.posexplode("nodes").alias("node_no", "_x")).select(
+        "doc_id", node(F.col("node_no")).alias("node_id"), "_x.node_type", "_x.label")
+    edges = df.select("doc_id", F.explode("edges").alias("_e")).select(
+        "doc_id", node(F.col("_e.source") - 1).alias("source_id"), node(F.col("_e.target") - 1).alias("target_id"), "_e.relation")
+    return nodes, edges
 
 
 def unified(clauses: DataFrame, nodes: DataFrame, edges: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +110,8 @@ def unified(clauses: DataFrame, nodes: DataFrame, edges: DataFrame, dependencies
     dep = dependencies.select("doc_id", F.col("source_id").cast("string").alias("source_id"),
                               F.col("target_id").cast("string").alias("target_id"), "relation")
     ids = every.select("doc_id", "node_id")
-    kept = edges.unionByName(dep).join(ids.withColumnRenamed("node_id", "source_id"), ["doc_id", "source_id"], "left_semi").join(
-        ids.withColumnRenamed("node_id", "target_id"), ["doc_id", "target_id"], "left_semi")
+    kept = edges.unionByName(dep).join(dealt(ids.withColumnRenamed("node_id", "source_id")), ["doc_id", "source_id"], "left_semi").join(
+        dealt(ids.withColumnRenamed("node_id", "target_id")), ["doc_id", "target_id"], "left_semi")
     return every, kept.select("doc_id", "source_id", "target_id", "relation")
 
 

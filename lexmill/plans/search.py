@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import patterns as P
 from ..operators import graph, pairs, retrieve, segment, vector_index
+from ..session import spread
 from .corpus import ansi_clauses, clauses, scratch, table
 from .facts import _PARTY_TEXT
 from .registry import query, quoted, rx
@@ -127,7 +128,7 @@ def search_groundedness(spark, sf):
 def entity_docs(spark, sf):
     text = F.concat(F.expr(_PARTY_TEXT), F.lit(" Payment of USD "), (F.col("c_custkey") % 900).cast("string"), F.lit(
         " due 2024-01-0"), (1 + F.col("c_custkey") % 9).cast("string"), F.lit(". Penalty of 5% applies. Governed by the laws of Texas. Buyer shall pay promptly."))
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("full_text"))
+    return spread(table(spark, sf, "customer")).select(F.col("c_custkey").alias("doc_id"), text.alias("full_text"))
 
 
 @query("graph_entities", "H1 B2", """SELECT c_custkey AS doc_id, unnest(['party', 'date', 'money', 'penalty', 'jurisdiction', 'obligation']) AS node_type,
@@ -163,7 +164,7 @@ def graph_document_entities(spark, sf):
 def graph_unified(spark, sf):
     rows = stored_clauses(spark, sf)
     docs = segment.document_text(rows, "clause_id", "text_content").select("doc_id", "full_text")
-    nodes, edges = graph.entity_graph(docs, "full_text")
+    nodes, edges = graph.entity_graph(docs, "full_text", keep=True)
     _, kept = graph.unified(rows, nodes, edges, pairs.dependencies(rows))
     return kept.groupBy("doc_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
