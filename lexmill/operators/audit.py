@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -21,6 +21,15 @@ def set_changes(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(F.col("before_type") != F.col("after_type"), "reclassified").otherwise("same"))
 
 
+def set_changes_of(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+    """The same as set_changes for two choices among one table's rows: its texts are grouped once."""
+    def last(side, name):
+        return F.max_by(F.when(side, F.col("clause_type")), F.when(side, F.col("ord"))).alias(name)
+    both = rows.filter(before | after).groupBy("doc_id", "text").agg(last(before, "before_type"), last(after, "after_type"))
+    return both.withColumn("change", F.when(F.col("before_type").isNull(), "recovered").when(F.col("after_type").isNull(), "dropped")
+                           .when(F.col("before_type") != F.col("after_type"), "reclassified").otherwise("same"))
+
+
 def set_summary(changes: DataFrame, expected: list[str]) -> DataFrame:
     """Counts per document; a reclassification between two types outside ``expected`` is a regression."""
     surprise = (F.col("change") == "reclassified") & ~F.col("before_type").isin(expected) & ~F.col("after_type").isin(expected)
@@ -53,8 +62,7 @@ def funnel(blocks: DataFrame) -> DataFrame:
     Needs doc_id, pos, block, outcome and reason; short and repeated blocks are
     rejected before classification counts.
     """
-    first = blocks.groupBy("doc_id", "block").agg(F.min("pos").alias("_first"))
-    rows = blocks.join(first, ["doc_id", "block"])
+    rows = blocks.withColumn("_first", F.min("pos").over(Window.partitionBy("doc_id", "block")))
     why = (F.when(F.length("block") < 15, "too_short").when(F.col("pos") > F.col("_first"), "duplicate_raw_block")
            .when(F.col("outcome") == "rejected", F.col("reason")).otherwise(F.col("outcome")))
     kinds = ["accepted", "recovered", "too_short", "duplicate_raw_block", "classified_general", "below_min_confidence"]
