@@ -96,3 +96,34 @@ def test_rule_changes_are_found_in_one_pass(spark):
     got = audit.set_changes_of(df, F.col("b"), F.col("a"))
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dependencies_inside_a_document_are_those_of_the_joins(spark):
+    """Windows over rows that lie with their document give the same lists as edges, joins and groupings, and move no row."""
+    from lexmill.operators import features
+    rng = random.Random(8)
+    kinds = ["Termination", "Liability", "Indemnity", "Payment", "Compliance", "Jurisdiction", "Confidentiality", None]
+    rows = []
+    for doc in range(30):
+        for i in range(rng.randrange(1, 12)):
+            names = " and ".join(f"{rng.choice(['Section', 'Clause'])} {rng.randrange(1, 6)}" for _ in range(rng.randrange(4)))
+            rows.append((doc, 100 * doc + i, rng.choice([f"{rng.randrange(1, 6)}. Title", "Section 2", " 3 x"]), "see " + names, rng.choice(kinds)))
+    df = spark.createDataFrame(rows, COLUMNS + ", classification string").repartition("doc_id")
+    joined = features.with_dependencies(df, features.dependency_lists(df, pairs.dependencies(df)))
+    got = features.with_own_dependencies(df)
+    want = {r.clause_id: [tuple(d) for d in r.dependencies] for r in joined.collect()}
+    assert sum(map(len, want.values())) > 50
+    assert {r.clause_id: [tuple(d) for d in r.dependencies] for r in got.collect()} == want
+    assert got.columns == joined.columns or set(got.columns) == set(joined.columns)
+
+
+def test_clauses_are_dealt_once_for_their_scores(spark):
+    """Signals, means, ranks and weights of ordinary documents are made where their lines were dealt, without a join of clauses."""
+    from lexmill.plans import scores
+    out = scores.scored(spark, "/root/testdata/sf0.001", carry=("text_content", "evidence")).select("clause_id", "lrsi", "evidence")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("hashpartitioning(") == 1 and "SortMergeJoin" not in text
