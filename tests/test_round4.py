@@ -127,3 +127,16 @@ def test_clauses_are_dealt_once_for_their_scores(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert text.count("hashpartitioning(") == 1 and "SortMergeJoin" not in text
+
+
+def test_pools_are_dealt_once_for_their_scores(spark):
+    """Word statistics and scores of ordinary pools are made where their lines were dealt."""
+    from lexmill.plans import search
+    out = search.search_fusion(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
+    assert moved and all("hashpartitioning(l_orderkey" in line for line in moved)
