@@ -353,7 +353,7 @@ def identify_clauses(documents: DataFrame, text: str = "full_text", doc: str = "
                      clause_rules=None, rescue_fields: bool = True, hot_rows: int = groups.HOT_ROWS) -> DataFrame:
     """Documents to clauses: blocks, classification, acceptance, near-copy folding, titles, positions."""
     rows = candidate_blocks(documents, text)
-    rows = classify.with_clause_type(rows, F.col("block"), clause_rules)
+    rows = classify.with_type_of_alike(rows, F.col("block"), clause_rules)
     rows = classify.accept_clauses(rows, "block", rescue_fields).filter(F.col("classification").isNotNull())
     rows = classify.once(rows, F.struct(F.coalesce(
         classify.own_heading(F.col("block")),
