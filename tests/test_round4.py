@@ -140,3 +140,16 @@ def test_pools_are_dealt_once_for_their_scores(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     moved = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
     assert moved and all("hashpartitioning(l_orderkey" in line for line in moved)
+
+
+def test_scores_are_the_same_where_a_document_is_very_large(spark, monkeypatch):
+    """With keys of very large documents at hand nothing is dealt by document; scores, evidence and word scores are the same."""
+    from lexmill.plans import scores, search
+    sf = "/root/testdata/sf0.001"
+
+    def made():
+        return [sorted(map(str, run(spark, sf).collect())) for run in (scores.risk_explanations, search.search_fusion)]
+    want = made()
+    monkeypatch.setattr(scores, "counted_keys", scores.document_keys)
+    monkeypatch.setattr(search, "counted_keys", scores.document_keys)
+    assert made() == want
